@@ -1,12 +1,18 @@
 """The queries of this subpackage, with SQL where SQL can express them."""
 
 from flowloom.llm.chat_format import OP1_SQL, op1_chat_formatting
+from flowloom.llm.fertility import op9_fertility_rules
+from flowloom.llm.langid import op7_language_id
 from flowloom.llm.license_scan import op2_license_scan
 from flowloom.llm.mixing import OP4_SQL, op4_mixing
+from flowloom.llm.simhash import op5_simhash_near_dedup
 
 QUERIES = {
     "op1_chat_formatting": op1_chat_formatting,
     "op2_license_scan": op2_license_scan,
     "op4_mixing": op4_mixing,
+    "op5_simhash_near_dedup": op5_simhash_near_dedup,
+    "op7_language_id": op7_language_id,
+    "op9_fertility_rules": op9_fertility_rules,
 }
 ORACLE_SQL = {"op1_chat_formatting": OP1_SQL, "op4_mixing": OP4_SQL}
