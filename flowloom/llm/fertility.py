@@ -10,8 +10,9 @@ from dataclasses import dataclass, field
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from flowloom.llm.common import map_rows, table
+from flowloom.llm.common import map_rows, stage, table
 from flowloom.llm.simhash import space_pieces
 
 _SPACES = " \t\n\v\f\r"
@@ -20,16 +21,20 @@ _SYMBOLS = "#*$%&|<>"
 
 @dataclass(frozen=True)
 class Band:
-    """Least and most characters per token, most byte-fallback tokens, least and most bits of token entropy per log2(tokens)."""
+    """Least and most characters per token, and most byte-fallback tokens, of any text of a script."""
 
-    chars: tuple[float, float] = (1.5, 7.0)
+    chars: tuple[float, float] = (1.2, 7.0)
     fallback: float = 0.05
-    entropy: tuple[float, float] = (0.35, 1.0)
 
 
 @dataclass(frozen=True)
 class Bands:
-    """By main script; other: for scripts without a band of their own."""
+    """by_script: outer bands by main script; other: of scripts without one of their own.
+
+    Within them, each language (without one, script) has a band of its own, from all documents that pass the base rule: the
+    deviations of characters per token and of token entropy from the medians of the language's texts of like length, in robust
+    standard deviations, may add up to -spread at least. Groups under least_rows have the outer band only.
+    """
 
     by_script: dict[str, Band] = field(
         default_factory=lambda: {
@@ -42,8 +47,10 @@ class Bands:
             "hangul": Band((0.3, 2.5), 0.8),
         }
     )
-    other: Band = Band((0.25, 7.0), 0.95, (0.25, 1.0))
+    other: Band = Band((0.25, 7.0), 0.95)
     least_letters: float = 0.5  # of the characters in words: below, a text has no script
+    spread: float = 5.5
+    least_rows: int = 30
 
 
 #: Scripts by the first byte of a character's UTF-8 form.
@@ -123,20 +130,15 @@ def duplicate_lines(text: bytes) -> int:
 
 
 def measure(docs: DataFrame, vocabulary: str, bands: Bands = Bands(), most_words: int = 300_000) -> DataFrame:
-    """Per document: doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept, and what the
-    method measured: n_tokens, chars_per_token, fallback_share, token_entropy (bits), script, method_failed.
+    """Per document: doc_id and key (further columns of docs), the base rule's numbers, and what the method measures:
+    n_tokens, chars_per_token (null without words), fallback_share, token_entropy (bits), script, outer (outside its band).
 
-    docs has doc_id and text; other columns are left out, repeated rows stay, an empty table gives none. Null or empty text: no
-    words, so base_failed; chars_per_token is then null. vocabulary: path of a sentencepiece model with byte fallback.
-    most_words: how many words' tokens a worker keeps between documents.
+    vocabulary: path of a sentencepiece model with byte fallback. most_words: words whose tokens a worker keeps between documents.
     """
-    names = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "n_tokens", "chars_per_token", "fallback_share", "token_entropy", "script", "method_failed")
+    names = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "n_tokens", "chars_per_token", "fallback_share", "token_entropy", "script", "outer")
+    keep = [c for c in docs.columns if c != "text"]
     state: dict[str, Words] = {}
 
-    def verdict(script: str, chars: float, fallback: float, relative: float) -> bool:
-        b = bands.by_script.get(script, bands.other)
-        return not (b.chars[0] <= chars <= b.chars[1] and fallback <= b.fallback and b.entropy[0] <= relative <= b.entropy[1])
-
     def rows(cols: dict[str, list]) -> dict[str, list]:
         if "words" not in state:
             import sentencepiece
@@ -155,28 +157,49 @@ def measure(docs: DataFrame, vocabulary: str, bands: Bands = Bands(), most_words
             by_byte = np.bincount(np.frombuffer(text, np.uint8), minlength=256)
             chars = len(text) - int(by_byte[0x80:0xC0].sum()) - int(by_byte[[ord(c) for c in _SPACES]].sum())
             repeat = repeated_words(idx)
-            failed = n < 50 or 100 * repeat > 50 * n
             tokens = words.tokens(idx)
             total = len(tokens)
             counts = np.bincount(tokens, minlength=1) if total > 4000 else np.unique(tokens, return_counts=True)[1]
             p = counts[counts > 0] / max(1, total)
-            entropy = float(-(p * np.log2(p)).sum()) + 0.0
             fallback = int(words.bytes_[idx].sum()) / total if total else 0.0
             letters = by_byte @ _BY_BYTE
             script = _SCRIPTS[int(letters.argmax())] if chars and letters.sum() >= bands.least_letters * chars else "none"
-            per = chars / total if total else None
-            bad = n > 0 and verdict(script, per, fallback, entropy / np.log2(total) if total > 1 else 0.0)
-            row = (n, chars, int(by_byte[[ord(c) for c in _SYMBOLS]].sum()), duplicate_lines(text), repeat, failed, not failed and not bad, total, per, fallback, entropy, script, bool(bad))
+            band, per = bands.by_script.get(script, bands.other), chars / total if total else None
+            outer = per is not None and not (band.chars[0] <= per <= band.chars[1] and fallback <= band.fallback)
+            row = (n, chars, int(by_byte[[ord(c) for c in _SYMBOLS]].sum()), duplicate_lines(text), repeat, n < 50 or 100 * repeat > 50 * n, total, per, fallback, float(-(p * np.log2(p)).sum()) + 0.0, script, outer)
             for k, v in zip(names, row):
                 out[k].append(v)
-        return {"doc_id": cols["doc_id"]} | out
+        return {k: cols[k] for k in keep} | out
+
+    kinds = ", ".join(f"{k} {docs.schema[k].dataType.simpleString()}" for k in keep)
+    schema = f"{kinds}, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, n_tokens long, chars_per_token double, fallback_share double, token_entropy double, script string, outer boolean"
+    return map_rows(docs.select(*keep, "text"), rows, schema, binary=("text",))
+
 
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    schema = f"doc_id {kind}, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, kept boolean, n_tokens long, chars_per_token double, fallback_share double, token_entropy double, script string, method_failed boolean"
-    return map_rows(docs.select("doc_id", "text"), rows, schema, binary=("text",))
+def _robust(rows: DataFrame, by: list[str], measures: list[str], least: int) -> DataFrame:
+    """Per group of at least `least` rows: mid and sd of each measure, rounded to 0.01, from exact quartiles."""
+    quartiles = [F.percentile(F.round(m, 2), F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))).alias(f"{m}_q") for m in measures]
+    q = rows.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), *quartiles).filter(F.col("n") >= least)
+    return q.select(*by, *[F.col(f"{m}_q")[1].alias(f"{m}_mid") for m in measures], *[F.greatest((F.col(f"{m}_q")[2] - F.col(f"{m}_q")[0]) / 1.349, F.lit(0.01)).alias(f"{m}_sd") for m in measures])
+
+
+def fertility_rules(docs: DataFrame, vocabulary: str, bands: Bands = Bands()) -> DataFrame:
+    """measure(), and kept: false if the base rule fails or the text is outside its outer or language's band.
+
+    docs has doc_id, text and lang; other columns are left out unless the caller selects them, repeated rows stay, an empty table
+    gives none. Null or empty text: no words, so base_failed. Null lang: the script's band.
+    """
+    got = stage(measure(docs, vocabulary, bands), "fertility")
+    grouped = got.withColumn("group", F.coalesce(F.col("lang"), F.col("script"))).withColumn("length", F.floor(F.log2(F.greatest("n_tokens", F.lit(1)))).cast("int"))
+    usual = _robust(grouped.filter("not base_failed"), ["group", "length"], ["chars_per_token", "token_entropy"], bands.least_rows)
+    z = lambda c: F.coalesce((F.col(c) - F.col(f"{c}_mid")) / F.col(f"{c}_sd"), F.lit(0.0))
+    joined = grouped.join(usual, ["group", "length"], "left")
+    deviation = F.least(z("chars_per_token"), F.lit(2.0)) + F.least(z("token_entropy"), F.lit(2.0))
+    return joined.withColumn("deviation", deviation).withColumn("kept", ~F.col("base_failed") & ~F.col("outer") & (F.col("deviation") >= -bands.spread)).drop("group", "length", "chars_per_token_mid", "chars_per_token_sd", "token_entropy_mid", "token_entropy_sd")
 
 
 def op9_fertility_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
-    return measure(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    return fertility_rules(docs, public_tokenizers.path("piece_bpe_32k.model")).drop("lang", "outer")
