@@ -1,5 +1,6 @@
 """The queries of this subpackage, with SQL where SQL can express them."""
 
+from flowloom.llm.bpe import op10_bpe
 from flowloom.llm.chat_format import OP1_SQL, op1_chat_formatting
 from flowloom.llm.fertility import op9_fertility_rules
 from flowloom.llm.langid import op7_language_id
@@ -14,5 +15,6 @@ QUERIES = {
     "op5_simhash_near_dedup": op5_simhash_near_dedup,
     "op7_language_id": op7_language_id,
     "op9_fertility_rules": op9_fertility_rules,
+    "op10_bpe": op10_bpe,
 }
 ORACLE_SQL = {"op1_chat_formatting": OP1_SQL, "op4_mixing": OP4_SQL}
