@@ -7,9 +7,11 @@ once, pair by pair in the order of the vocabulary's ranks.
 
 from __future__ import annotations
 
+import atexit
 import heapq
 import json
 import os
+import shutil
 import tempfile
 import uuid
 from collections import Counter
@@ -412,11 +414,15 @@ def make_lexicon(vocabulary: Vocabulary, words: list[str]) -> Lexicon:
 
 
 def share_file(spark: SparkSession, lexicon: Lexicon) -> str:
-    """Hand the file to all executors, also those that come later; its name among Spark's files."""
+    """Hand the file to all executors, also those that come later; its name among Spark's files.
+
+    The driver serves the file as long as the application runs, so it stays in the driver's temporary folder until then.
+    """
+    folder = tempfile.mkdtemp(prefix="flowloom-")
+    atexit.register(shutil.rmtree, folder, ignore_errors=True)
     name = f"lexicon-{uuid.uuid4().hex}.bin"
-    with tempfile.TemporaryDirectory() as d:
-        lexicon.save(path := os.path.join(d, name))
-        spark.sparkContext.addFile(path)
+    lexicon.save(path := os.path.join(folder, name))
+    spark.sparkContext.addFile(path)
     return name
 
 
