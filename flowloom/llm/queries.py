@@ -7,10 +7,12 @@ from flowloom.llm.langid import op7_language_id
 from flowloom.llm.license_scan import op2_license_scan
 from flowloom.llm.mixing import OP4_SQL, op4_mixing
 from flowloom.llm.simhash import op5_simhash_near_dedup
+from flowloom.llm.suffix_dedup import op3_suffix_dedup
 
 QUERIES = {
     "op1_chat_formatting": op1_chat_formatting,
     "op2_license_scan": op2_license_scan,
+    "op3_suffix_dedup": op3_suffix_dedup,
     "op4_mixing": op4_mixing,
     "op5_simhash_near_dedup": op5_simhash_near_dedup,
     "op7_language_id": op7_language_id,
