@@ -8,6 +8,7 @@ from flowloom.llm.license_scan import op2_license_scan
 from flowloom.llm.mixing import OP4_SQL, op4_mixing
 from flowloom.llm.simhash import op5_simhash_near_dedup
 from flowloom.llm.suffix_dedup import op3_suffix_dedup
+from flowloom.llm.token_files import op8_token_files
 
 QUERIES = {
     "op1_chat_formatting": op1_chat_formatting,
@@ -16,6 +17,7 @@ QUERIES = {
     "op4_mixing": op4_mixing,
     "op5_simhash_near_dedup": op5_simhash_near_dedup,
     "op7_language_id": op7_language_id,
+    "op8_token_files": op8_token_files,
     "op9_fertility_rules": op9_fertility_rules,
     "op10_bpe": op10_bpe,
 }
