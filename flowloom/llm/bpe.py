@@ -426,6 +426,10 @@ def share_file(spark: SparkSession, lexicon: Lexicon) -> str:
     return name
 
 
+#: Of the worker, by vocabulary and lexicon: what it has learned stays from task to task.
+_ENCODERS: dict[tuple[str, str | None], Encoder] = {}
+
+
 def encode_documents(docs: DataFrame, vocabulary: str, lexicon: Lexicon | None = None, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """The columns of keep; ids, packed as little-endian uint32; decoded, the text that the ids stand for.
 
@@ -434,15 +438,16 @@ def encode_documents(docs: DataFrame, vocabulary: str, lexicon: Lexicon | None =
     all machines have.
     """
     name = share_file(docs.sparkSession, lexicon) if lexicon else None
-    state: dict[str, Encoder] = {}
 
     def rows(cols: dict[str, list]) -> dict[str, list]:
-        if not state:
+        e = _ENCODERS.get((vocabulary, name))
+        if e is None:
             from pyspark import SparkFiles
 
-            state["e"] = Encoder(Vocabulary(vocabulary), Lexicon.load(SparkFiles.get(name)) if name else None)
-        ids = state["e"].encode([t or "" for t in cols["text"]])
-        return {k: cols[k] for k in keep} | {"ids": ids, "decoded": [state["e"].v.decode(x) for x in ids]}
+            _ENCODERS.clear()
+            e = _ENCODERS[vocabulary, name] = Encoder(Vocabulary(vocabulary), Lexicon.load(SparkFiles.get(name)) if name else None)
+        ids = e.encode([t or "" for t in cols["text"]])
+        return {k: cols[k] for k in keep} | {"ids": ids, "decoded": [e.v.decode(x) for x in ids]}
 
     kinds = ", ".join(f"`{k}` {docs.schema[k].dataType.simpleString()}" for k in keep)
     return map_rows(docs.select(*keep, "text"), rows, f"{kinds}, ids binary, decoded string")

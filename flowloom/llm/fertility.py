@@ -98,6 +98,10 @@ class Words(dict):
         return self.flat[np.repeat(self.start[idx] - ends + n, n) + np.arange(n.sum())]
 
 
+#: Of the worker, by vocabulary: words stay known from task to task.
+_WORDS: dict[str, Words] = {}
+
+
 def repeated_words(idx: np.ndarray, width: int = 3) -> int:
     """Positions within windows of `width` words that are found twice or more, first places included."""
     n = len(idx) - width + 1
@@ -129,22 +133,21 @@ def duplicate_lines(text: bytes) -> int:
     return len(lines) - len(set(lines))
 
 
-def measure(docs: DataFrame, vocabulary: str, bands: Bands = Bands(), most_words: int = 300_000) -> DataFrame:
-    """Per document: doc_id and key (further columns of docs), the base rule's numbers, and what the method measures:
+def measure(docs: DataFrame, vocabulary: str, bands: Bands = Bands(), most_words: int = 300_000, with_text: bool = False) -> DataFrame:
+    """Per document: the other columns of docs (and its text, if asked for), the base rule's numbers, and what the method measures:
     n_tokens, chars_per_token (null without words), fallback_share, token_entropy (bits), script, outer (outside its band).
 
     vocabulary: path of a sentencepiece model with byte fallback. most_words: words whose tokens a worker keeps between documents.
     """
     names = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "n_tokens", "chars_per_token", "fallback_share", "token_entropy", "script", "outer")
-    keep = [c for c in docs.columns if c != "text"]
-    state: dict[str, Words] = {}
+    keep = [c for c in docs.columns if with_text or c != "text"]
 
     def rows(cols: dict[str, list]) -> dict[str, list]:
-        if "words" not in state:
+        if vocabulary not in _WORDS:
             import sentencepiece
 
-            state["words"] = Words(sentencepiece.SentencePieceProcessor(model_file=vocabulary))
-        words = state["words"]
+            _WORDS[vocabulary] = Words(sentencepiece.SentencePieceProcessor(model_file=vocabulary))
+        words = _WORDS[vocabulary]
         out: dict[str, list] = {k: [] for k in names}
         idxs = []
         if len(words) > most_words:
@@ -171,9 +174,9 @@ def measure(docs: DataFrame, vocabulary: str, bands: Bands = Bands(), most_words
                 out[k].append(v)
         return {k: cols[k] for k in keep} | out
 
-    kinds = ", ".join(f"{k} {docs.schema[k].dataType.simpleString()}" for k in keep)
+    kinds = ", ".join(f"`{k}` {docs.schema[k].dataType.simpleString()}" for k in keep)
     schema = f"{kinds}, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, n_tokens long, chars_per_token double, fallback_share double, token_entropy double, script string, outer boolean"
-    return map_rows(docs.select(*keep, "text"), rows, schema, binary=("text",))
+    return map_rows(docs.select(*[c for c in docs.columns if c != "text"], "text"), rows, schema, binary=("text",))
 
 
 def _robust(rows: DataFrame, by: list[str], measures: list[str], least: int) -> DataFrame:
@@ -183,13 +186,13 @@ def _robust(rows: DataFrame, by: list[str], measures: list[str], least: int) ->
     return q.select(*by, *[F.col(f"{m}_q")[1].alias(f"{m}_mid") for m in measures], *[F.greatest((F.col(f"{m}_q")[2] - F.col(f"{m}_q")[0]) / 1.349, F.lit(0.01)).alias(f"{m}_sd") for m in measures])
 
 
-def fertility_rules(docs: DataFrame, vocabulary: str, bands: Bands = Bands()) -> DataFrame:
+def fertility_rules(docs: DataFrame, vocabulary: str, bands: Bands = Bands(), with_text: bool = False) -> DataFrame:
     """measure(), and kept: false if the base rule fails or the text is outside its outer or language's band.
 
     docs has doc_id, text and lang; other columns are left out unless the caller selects them, repeated rows stay, an empty table
     gives none. Null or empty text: no words, so base_failed. Null lang: the script's band.
     """
-    got = stage(measure(docs, vocabulary, bands), "fertility")
+    got = stage(measure(docs, vocabulary, bands, with_text=with_text), "fertility")
     grouped = got.withColumn("group", F.coalesce(F.col("lang"), F.col("script"))).withColumn("length", F.floor(F.log2(F.greatest("n_tokens", F.lit(1)))).cast("int"))
     usual = _robust(grouped.filter("not base_failed"), ["group", "length"], ["chars_per_token", "token_entropy"], bands.least_rows)
     z = lambda c: F.coalesce((F.col(c) - F.col(f"{c}_mid")) / F.col(f"{c}_sd"), F.lit(0.0))
@@ -198,6 +201,13 @@ def fertility_rules(docs: DataFrame, vocabulary: str, bands: Bands = Bands()) ->
     return joined.withColumn("deviation", deviation).withColumn("kept", ~F.col("base_failed") & ~F.col("outer") & (F.col("deviation") >= -bands.spread)).drop("group", "length", "chars_per_token_mid", "chars_per_token_sd", "token_entropy_mid", "token_entropy_sd")
 
 
+def keep_good(docs: DataFrame, vocabulary: str, bands: Bands = Bands()) -> DataFrame:
+    """The rows of docs that fertility_rules() keeps, with their columns."""
+    renamed = docs.select(*[F.col(f"`{c}`").alias(c if c in ("text", "lang") else f"__{c}") for c in docs.columns])
+    good = fertility_rules(renamed, vocabulary, bands, with_text=True).filter("kept")
+    return good.select(*[F.col(f"`{c}`" if c in ("text", "lang") else f"`__{c}`").alias(c) for c in docs.columns])
+
+
 def op9_fertility_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 

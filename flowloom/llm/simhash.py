@@ -65,7 +65,7 @@ def fingerprints(docs: DataFrame, keep: tuple[str, ...] = ("doc_id",)) -> DataFr
     def rows(cols: dict[str, list]) -> dict[str, list]:
         return {k: cols[k] for k in keep} | {"fp": [fp - (1 << 64) if (fp := fingerprint(t or b"")) >> 63 else fp for t in cols["text"]]}
 
-    kinds = ", ".join(f"{k} {docs.schema[k].dataType.simpleString()}" for k in keep)
+    kinds = ", ".join(f"`{k}` {docs.schema[k].dataType.simpleString()}" for k in keep)
     return map_rows(docs.select(*keep, "text"), rows, f"{kinds}, fp long", binary=("text",))
 
 
@@ -171,5 +171,17 @@ def near_duplicates(docs: DataFrame, radius: int = 4) -> DataFrame:
     return rows.join(named, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
+def one_of_each(docs: DataFrame, radius: int = 4) -> DataFrame:
+    """The row of each component with the smallest doc_id (nulls last; of several such rows, that of the least text digest; of equal
+    rows, one), with the columns of docs."""
+    key = F.unhex(F.md5(F.coalesce(F.col("text"), F.lit("")).cast("binary")))
+    tagged = docs.withColumn("__id", F.coalesce(F.col("doc_id").cast("string"), F.lit(""))).withColumn("__key", key)
+    rows = stage(fingerprints(tagged, ("doc_id", "__id", "__key")), "simhash-rows")
+    each = rows.groupBy("fp").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "__key", "__id")).alias("one"))
+    first = each.join(components(rows, radius), "fp").groupBy("root").agg(F.min("one").alias("one"))
+    chosen = stage(first.select("one.__id", "one.__key"), "simhash-chosen")
+    return tagged.join(chosen, ["__id", "__key"], "left_semi").dropDuplicates(["__id", "__key"]).select(*[F.col(f"`{c}`") for c in docs.columns])
+
+
 def op5_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))

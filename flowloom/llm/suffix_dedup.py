@@ -301,11 +301,12 @@ def text_key(text: str = "text") -> F.Column:
     return F.unhex(F.md5(F.coalesce(F.col(text), F.lit("")).cast("binary")))
 
 
-def remove_repeats(docs: DataFrame, width: int = WIDTH, keep: tuple[str, ...] = ("doc_id",), hot: int = 20_000) -> DataFrame:
+def remove_repeats(docs: DataFrame, width: int = WIDTH, keep: tuple[str, ...] = ("doc_id",), hot: int = 20_000, whole_characters: bool = False) -> DataFrame:
     """The columns of keep; n_bytes, n_removed, spans (start and end of each removed run) and kept (the bytes that are left).
 
     docs has text and the columns of keep; other columns are left out. Null text: as an empty one. Repeated rows are documents of
-    their own, so each is the other's copy. Texts under `width` bytes stay whole. An empty table gives none.
+    their own, so each is the other's copy. Texts under `width` bytes stay whole. An empty table gives none. whole_characters:
+    removed runs shrink to whole UTF-8 characters, so that what is left is text.
     """
     texts = docs.select(text_key().alias("__key"), F.coalesce(F.col("text"), F.lit("")).alias("__text"), *keep)
     windows = repeated_windows(texts.select(F.col("__key").alias("key"), F.col("__text").alias("text")), width, hot)
@@ -321,6 +322,13 @@ def remove_repeats(docs: DataFrame, width: int = WIDTH, keep: tuple[str, ...] =
                     spans[-1][1] = max(b, spans[-1][1])
                 else:
                     spans.append([a, b])
+            if whole_characters:
+                for s in spans:
+                    while s[0] < len(text) and text[s[0]] & 0xC0 == 0x80:
+                        s[0] += 1
+                    while s[1] < len(text) and text[s[1]] & 0xC0 == 0x80:
+                        s[1] -= 1
+                spans = [s for s in spans if s[0] < s[1]]
             edges = [0, *[x for s in spans for x in s], len(text)]
             left = b"".join([text[a:b] for a, b in zip(edges[::2], edges[1::2])])
             for k, v in (("n_bytes", len(text)), ("n_removed", len(text) - len(left)), ("spans", [{"start": a, "end": b} for a, b in spans]), ("kept", left)):
@@ -331,6 +339,16 @@ def remove_repeats(docs: DataFrame, width: int = WIDTH, keep: tuple[str, ...] =
     return map_rows(joined, rows, f"{kinds}n_bytes long, n_removed long, spans array<struct<start: long, end: long>>, kept binary", binary=("__text",))
 
 
+def without_repeats(docs: DataFrame, width: int = WIDTH) -> DataFrame:
+    """docs with repeated strings taken out of the texts (null stays null) and n_chars, if there is one, as it is then."""
+    others = [c for c in docs.columns if c not in ("text", "n_chars")]
+    inner = docs.select("text", F.col("text").isNull().alias("__null"), *[F.col(f"`{c}`").alias(f"__c{i}") for i, c in enumerate(others)])
+    got = remove_repeats(inner, width, ("__null", *[f"__c{i}" for i in range(len(others))]), whole_characters=True)
+    text = F.when(~F.col("__null"), F.decode("kept", "UTF-8"))
+    named = {c: F.col(f"__c{i}") for i, c in enumerate(others)} | {"text": text} | ({"n_chars": F.length(text).cast(docs.schema["n_chars"].dataType)} if "n_chars" in docs.columns else {})
+    return got.select(*[named[c].alias(c) for c in docs.columns])
+
+
 def op3_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     got = remove_repeats(table(spark, sf_dir, "documents"))
     return got.select("doc_id", "n_bytes", "n_removed", F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
