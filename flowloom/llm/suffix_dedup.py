@@ -284,12 +284,13 @@ def repeated_windows(texts: DataFrame, width: int = WIDTH, hot: int = 20_000) ->
     """key, first, count: runs of windows of a text that start elsewhere too. texts: key (a digest of the text) and text, a row
     per document, so that copies count as elsewhere. hot: contexts of a k-gram from which its windows are counted one by one."""
     runs = stage(anchors(texts, width), "dedup-anchors")
-    several = runs.groupBy("g").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("g")
+    # as tables of their own, these sides leave their joins free to split a frequent k-gram
+    several = stage(runs.groupBy("g").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("g"), "dedup-several")
     shared = stage(runs.join(several, "g", "left_semi"), "dedup-shared")
     release(runs)
     classes = stage(shared.groupBy("g", "c1", "c2").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("key", "first", "count", "offset")).alias("one")), "dedup-classes")
     copies = shared.join(classes.filter("n > 1").select("g", "c1", "c2"), ["g", "c1", "c2"], "left_semi").select("key", "first", "count").distinct()
-    sizes = classes.groupBy("g").agg(F.count(F.lit(1)).alias("classes")).filter("classes > 1")
+    sizes = stage(classes.groupBy("g").agg(F.count(F.lit(1)).alias("classes")).filter("classes > 1"), "dedup-sizes")
     wanted = classes.join(sizes, "g").select("g", "one.*", "classes")
     contexts = stage(_contexts(texts, wanted.drop("classes"), width).join(sizes, "g"), "dedup-contexts")
     cool = contexts.filter(F.col("classes") <= hot).drop("classes").repartition("g").sortWithinPartitions("g", "key", "first")
