@@ -556,9 +556,9 @@ def provisional_confirm_asof(spark, sf):
 
 
 @query(
-    """SELECT event_id, pivot, df, round(ln((least(event_id, 1000) + 1000) / (df + 1)), 6) AS rarity FROM
-(SELECT a.event_id, a.pivot, count(o.event_id) AS df FROM piv a LEFT JOIN piv o ON o.pivot = a.pivot AND o.event_id >= a.event_id - 1000 AND o.event_id < a.event_id GROUP BY a.event_id, a.pivot)""",
-    "piv AS (SELECT event_id, 'host:' || user_id AS pivot FROM events UNION ALL SELECT event_id, 'class:' || event_type FROM events)",
+    """SELECT event_id, p AS "pivot", df, round(ln((least(event_id, 1000) + 1000) / (df + 1)), 6) AS rarity FROM
+(SELECT a.event_id, a.p, count(o.event_id) AS df FROM piv a LEFT JOIN piv o ON o.p = a.p AND o.event_id >= a.event_id - 1000 AND o.event_id < a.event_id GROUP BY a.event_id, a.p)""",
+    "piv AS (SELECT event_id, 'host:' || user_id AS p FROM events UNION ALL SELECT event_id, 'class:' || event_type FROM events)",
 )
 def pivot_idf(spark, sf):
     e = t.read(spark, sf, "events")
