@@ -39,7 +39,7 @@ PKT_SQL = """pkt AS (SELECT event_id AS seq, epoch_us(ts) / 1e6 AS ts, user_id A
 
 
 def flows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Order lines as flows from supplier to the customer's nation. ord: the total order in which flows are scored."""
+    """Order lines as flows from supplier to the customer's nation. ord: the total order in which flows are scored; (ok, ln, pk, src) names one, as pk holds part and day."""
     li, o, c = (read(spark, sf_dir, t) for t in ("lineitem", "orders", "customer"))
     joined = li.join(o, li["l_orderkey"] == o["o_orderkey"]).join(c, o["o_custkey"] == c["c_custkey"])
     start = seconds("l_shipdate")
@@ -47,7 +47,7 @@ def flows(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.struct(start.alias("t"), "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey").alias("ord"),
         F.col("l_orderkey").alias("ok"),
         F.col("l_linenumber").alias("ln"),
-        F.col("l_partkey").alias("pk"),
+        (F.col("l_partkey") * 100000 + F.floor(start / DAY).cast("long")).alias("pk"),
         F.col("l_suppkey").alias("src"),
         F.col("c_nationkey").alias("dst"),
         start.alias("start"),
@@ -61,7 +61,7 @@ def flows(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-FLW_SQL = """flw AS (SELECT l_orderkey AS ok, l_linenumber AS ln, l_partkey AS pk, l_suppkey AS src, c_nationkey AS dst, epoch_us(l_shipdate) / 1e6 AS start,
+FLW_SQL = """flw AS (SELECT l_orderkey AS ok, l_linenumber AS ln, l_partkey * 100000 + floor(epoch_us(l_shipdate) / 8.64e10)::BIGINT AS pk, l_suppkey AS src, c_nationkey AS dst, epoch_us(l_shipdate) / 1e6 AS start,
   epoch_us(l_shipdate) / 1e6 + l_linenumber * 3600.0 AS last, l_extendedprice AS bytes, l_quantity AS packets, l_linestatus AS proto,
   l_returnflag = 'R' AS syn_only, l_returnflag <> 'N' AS reverse_seen, (l_partkey % 1024)::INTEGER AS port
   FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey)"""
