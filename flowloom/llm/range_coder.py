@@ -15,25 +15,26 @@ import numpy as np
 BLOCK = 2048
 #: Blocks that go side by side.
 LANES = 4096
-_SLOTS1, _SLOTS2 = 256, 512
+_SLOTS1, _SLOTS2 = 128, 256
 _STATES, _SYMBOLS, _TOTAL_BITS = 16, 8, 12
 #: First id and bits of each range; the guesses need no bits.
-_BASE = np.array([0, 0, 0, 512, 2048, 8192, 16384, 32768], np.int32)
+_BASE = np.array([0, 0, 0, 512, 2048, 8192, 16384, 32768], np.int64)
 _BITS = np.array([0, 0, 9, 11, 13, 13, 14, 15], np.uint64)
-_RANGE_OF = (np.searchsorted(_BASE[3:], np.arange(65536), "right") + 2).astype(np.int32)
+_RANGE_OF = (np.searchsorted(_BASE[3:], np.arange(65536), "right") + 2).astype(np.int64)
 _U16, _U48, _U32 = np.uint64(16), np.uint64(48), np.uint64(1 << 32)
 _U12 = np.uint64(_TOTAL_BITS)
 
 
 class _Model:
     def __init__(self, lanes: int):
-        self.lane = np.arange(lanes, dtype=np.int32)
+        self.lane = np.arange(lanes)  # places are int64, which numpy looks up fastest
         self.lane1, self.lane2, self.lane_row = self.lane * _SLOTS1, self.lane * _SLOTS2, self.lane * _STATES
         self.guess1, self.guess2 = np.zeros(lanes * _SLOTS1, np.int32), np.zeros(lanes * _SLOTS2, np.int32)  # id * 4 + confidence
-        self.p1, self.h2 = np.zeros(lanes, np.int32), np.zeros(lanes, np.int32)
+        self.p1, self.h2 = np.zeros(lanes, np.int64), np.zeros(lanes, np.int64)
         self.count = np.ones((lanes * _STATES, _SYMBOLS), np.int32)
         self.count[:, 2:] = 2
-        self.cum = np.zeros((len(self.count), _SYMBOLS), np.int32)  # where each symbol's share begins; the last ends at the total
+        self.cum = np.zeros((len(self.count), _SYMBOLS + 1), np.int32)  # where each symbol's share begins, and the total
+        self.cum[:, -1] = 1 << _TOTAL_BITS
         self.renew()
 
     def renew(self) -> None:
@@ -41,7 +42,7 @@ class _Model:
         share = self.count * ((1 << _TOTAL_BITS) - _SYMBOLS) // total
         share += 1
         np.cumsum(share[:, :0:-1], axis=1, out=share[:, :0:-1])  # from the end, so that the first symbol takes what is left over
-        self.cum[:, 1:] = (1 << _TOTAL_BITS) - share[:, 1:]
+        self.cum[:, 1:-1] = (1 << _TOTAL_BITS) - share[:, 1:]
         if (old := total[:, 0] > 512).any():
             self.count[old] = (self.count[old] + 1) >> 1
 
@@ -51,7 +52,7 @@ class _Model:
         self.at2 = self.lane2[:n] + (self.h2[:n] & (_SLOTS2 - 1))
         self.e1, self.e2 = self.guess1[self.at1], self.guess2[self.at2]
         self.g1, self.g2 = self.e1 >> 2, self.e2 >> 2
-        self.row = (self.lane_row[:n] + ((self.e2 & 3) << 2) + (self.e1 & 3)) * _SYMBOLS
+        self.row = self.lane_row[:n] + ((self.e2 & 3) << 2) + (self.e1 & 3)
 
     def update(self, n: int, x: np.ndarray, symbol: np.ndarray, step: int) -> None:
         fresh = x << 2
@@ -62,7 +63,7 @@ class _Model:
                 old = e[hit]
                 new[hit] = old + ((old & 3) < 3)
             table[at] = new
-        self.count.ravel()[self.row + symbol] += 1
+        self.count.ravel()[self.row * _SYMBOLS + symbol] += 1
         self.h2[:n] = (self.p1[:n] * 7 + x * 61) ^ (x >> 4)
         self.p1[:n] = x
         if step in (15, 63) or step % 256 == 255:
@@ -76,17 +77,15 @@ def _encode(ids: np.ndarray, sizes: np.ndarray) -> list[bytes]:
     low, rng = np.zeros(lanes, np.uint64), np.full(lanes, 1 << 48, np.uint64)
     cap = 2 * len(ids) + 5
     out, ptr = np.zeros(lanes * cap, np.uint16), np.arange(lanes, dtype=np.int64) * cap
-    begin, end = np.empty(lanes, np.int32), np.empty(lanes, np.int32)
     for step in range(len(ids)):
         n = lanes if step < sizes[-1] else lanes - 1
-        x = ids[step, :n].astype(np.int32)
+        x = ids[step, :n].astype(np.int64)
         model.predict(n)
         symbol = _RANGE_OF[x]
         symbol[x == model.g1] = 1
         symbol[x == model.g2] = 0
-        cum, at = model.cum.ravel(), model.row + symbol
-        begin, end = cum[at], cum[np.minimum(at + 1, cum.size - 1)]
-        end[symbol == _SYMBOLS - 1] = 1 << _TOTAL_BITS
+        cum, at = model.cum.ravel(), model.row * (_SYMBOLS + 1) + symbol
+        begin, end = cum[at], cum[at + 1]
         # the share of the symbol, and within a range of ids that of the id
         r = rng[:n] >> _U12
         add = r * begin.astype(np.uint64)
@@ -133,21 +132,20 @@ def _decode(blocks: list[bytes], sizes: np.ndarray) -> np.ndarray:
     for step in range(steps):
         n = lanes if step < sizes[-1] else lanes - 1
         model.predict(n)
-        cum, row = model.cum.ravel(), model.row
+        cum, row = model.cum.ravel(), model.row * (_SYMBOLS + 1)
         r = rng[:n] >> _U12
         # quotients are whole in doubles: dividends are under 2 ** 48 and quotients under 2 ** 16
-        q = np.minimum(diff[:n] / r, (1 << _TOTAL_BITS) - 1).astype(np.int32)
+        q = np.minimum(diff[:n] / r, (1 << _TOTAL_BITS) - 1).astype(np.int64)
         at = row + 4
         at += np.where(cum[at] <= q, 2, -2)
         at += np.where(cum[at] <= q, 1, -1)
         at -= cum[at] > q
         symbol = at - row
-        begin, end = cum[at], cum[np.minimum(at + 1, cum.size - 1)]
-        end[symbol == _SYMBOLS - 1] = 1 << _TOTAL_BITS
+        begin, end = cum[at], cum[at + 1]
         d = diff[:n] - r * begin.astype(np.uint64)
         r *= (end - begin).astype(np.uint64)
         r >>= _BITS[symbol]
-        raw = (d / r).astype(np.int32)
+        raw = (d / r).astype(np.int64)
         x = raw + _BASE[symbol]
         hit = symbol < 2
         raw[hit] = 0

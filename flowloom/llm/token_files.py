@@ -72,15 +72,20 @@ class _Words(dict):
         self.model = self.library.model
 
     def __missing__(self, word: bytes) -> bytes:
-        text = word.decode()
-        plain = text.rstrip(".,") if text.isascii() else ""
-        if plain.isalpha() and len(text) - len(plain) < 2:  # letters, and one sign perhaps: each is a word of the pattern
-            ids = [t.id for w in (plain.lower(), text[len(plain) :]) if w for t in self.model.tokenize(w)]
+        if word[-1] in b".,;:!?" and word[:-1].isalpha():  # a sign after ASCII letters is a word of the pattern for itself
+            out = self[word[:-1]] + self[word[-1:]]
+        elif word.isalpha() and word.islower():  # so are ASCII letters, and the library's model alone makes their ids
+            out = self._pack([t.id for t in self.model.tokenize(word.decode())])
         else:
-            ids = self.library.encode(text, add_special_tokens=False).ids
-        self[word] = out = np.array(ids, "<u4").astype("<u2").tobytes() if max(ids, default=0) < 65536 else self._wide()
+            out = self._pack(self.library.encode(word.decode(), add_special_tokens=False).ids)
+        self[word] = out
         return out
 
+    def _pack(self, ids: list[int]) -> bytes:
+        if ids and max(ids) > 0xFFFF:
+            self._wide()
+        return struct.pack(f"<{len(ids)}H", *ids)
+
     @staticmethod
     def _wide() -> bytes:
         raise ValueError("ids from 65536 on are not supported")
@@ -89,15 +94,16 @@ class _Words(dict):
 _WORDS: dict[str, _Words] = {}
 
 
-def tokenise(text: bytes, vocabulary: str, most_words: int = 400_000) -> bytes:
-    """Packed ids (uint16) of a text under a vocabulary that drops white space: no normaliser or pattern of it looks across a
-    space, so each word between spaces is encoded for itself, and remembered by the worker."""
+def tokenise(text: bytes, vocabulary: str, most_words: int = 800_000) -> bytes:
+    """Packed ids (uint16) of a text under a vocabulary that drops white space and case: no normaliser or pattern of it looks
+    across a space, so each word between spaces is encoded for itself, and remembered by the worker. ASCII letters are made small
+    first (but where a special string may stand), so that fewer words differ."""
     if vocabulary not in _WORDS:
         _WORDS[vocabulary] = _Words(vocabulary)
     words = _WORDS[vocabulary]
     if len(words) > most_words:
         words.clear()
-    return b"".join(map(words.__getitem__, text.split()))
+    return b"".join(map(words.__getitem__, (text if b"<|" in text else text.lower()).split()))
 
 
 def write_token_files(docs: DataFrame, path: str, vocabulary: str, end_id: int = 2) -> None:
