@@ -194,7 +194,8 @@ def fertility_rules(docs: DataFrame, vocabulary: str, bands: Bands = Bands(), wi
     """
     got = stage(measure(docs, vocabulary, bands, with_text=with_text), "fertility")
     grouped = got.withColumn("group", F.coalesce(F.col("lang"), F.col("script"))).withColumn("length", F.floor(F.log2(F.greatest("n_tokens", F.lit(1)))).cast("int"))
-    usual = _robust(grouped.filter("not base_failed"), ["group", "length"], ["chars_per_token", "token_entropy"], bands.least_rows)
+    # a row per language and length; as a table of its own its size is known, so that Spark broadcasts it only if it is small
+    usual = stage(_robust(grouped.filter("not base_failed"), ["group", "length"], ["chars_per_token", "token_entropy"], bands.least_rows), "fertility-usual")
     z = lambda c: F.coalesce((F.col(c) - F.col(f"{c}_mid")) / F.col(f"{c}_sd"), F.lit(0.0))
     joined = grouped.join(usual, ["group", "length"], "left")
     deviation = F.least(z("chars_per_token"), F.lit(2.0)) + F.least(z("token_entropy"), F.lit(2.0))
