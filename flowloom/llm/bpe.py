@@ -22,8 +22,9 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
-from flowloom.llm.common import map_rows, small_batches, table
+from flowloom.llm.common import map_rows, release, small_batches, stage, table
 
 #: Fixed value: the public pattern that cuts a text before the merges.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
@@ -116,7 +117,7 @@ class Vocabulary:
         """One long word: pairs leave a queue by rank, then place."""
         ids = self.byte_id[np.frombuffer(word, np.uint8)].tolist()
         after, before = list(range(1, len(ids) + 1)), list(range(-1, len(ids) - 1))
-        ranks = self.ranks(np.array(ids[:-1]), np.array(ids[1:])).tolist()
+        ranks = self.ranks(np.array(ids[:-1], np.int64), np.array(ids[1:], np.int64)).tolist()
         queue = [(r, i, ids[i], ids[i + 1]) for i, r in enumerate(ranks) if r < _NONE]
         heapq.heapify(queue)
         known: dict[tuple[int, int], int] = {}
@@ -403,8 +404,14 @@ def frequent_words(docs: DataFrame, keep: int = 65_536) -> list[str]:
             yield pa.RecordBatch.from_arrays([pa.array([w for w, _ in part], pa.string()), pa.array([c for _, c in part], pa.int64())], names=["word", "n"])
 
     counted = docs.select("text").mapInArrow(run, "word string, n long")
-    top = counted.groupBy("word").agg(F.sum("n").alias("n")).filter("n > 1 and length(word) <= 64").orderBy(F.desc("n"), "word").limit(keep)
-    return [r.word for r in top.select("word").collect()]
+    total = stage(counted.groupBy("word").agg(F.sum("n").alias("n")).filter("n > 1 and length(word) <= 64"), "bpe-words")
+    # the least count that at most `keep` words have, so that no more than these go to the driver
+    by_count = total.groupBy("n").agg(F.count(F.lit(1)).alias("words"))
+    upto = F.sum("words").over(Window.orderBy(F.desc("n")).rowsBetween(Window.unboundedPreceding, 0))
+    least = by_count.withColumn("upto", upto).filter(F.col("upto") <= keep).agg(F.min("n")).first()[0]
+    words = [r.word for r in total.filter(F.col("n") >= least).select("word").collect()] if least is not None else []
+    release(total)
+    return sorted(words)
 
 
 def make_lexicon(vocabulary: Vocabulary, words: list[str]) -> Lexicon:
