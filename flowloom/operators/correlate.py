@@ -49,6 +49,7 @@ def join_campaigns(alerts: DataFrame, history: int = 1000, rare: float = math.lo
         recent: list[list[str]] = []
         df: dict[str, int] = {}
         open_: dict[str, dict] = {}
+        having: dict[str, set[str]] = {}  # pivot: open campaigns with it
         for pdf in batches:
             out = []
             for alert, ts, pivots in zip(pdf["alert_id"], pdf["ts"], pdf["pivots"]):
@@ -56,7 +57,7 @@ def join_campaigns(alerts: DataFrame, history: int = 1000, rare: float = math.lo
                 rarity = {p: math.log((len(recent) + history) / (df.get(p, 0) + 1)) for p in pivots}
                 usable = {p for p in pivots if rarity[p] >= rare}
                 best = None
-                for c in open_.values():
+                for c in (open_[i] for i in set().union(*(having.get(p, ()) for p in usable))):
                     shared = usable & c["pivots"]
                     hosts = [p for p in shared if not p.startswith("port:")]
                     if hosts and (len(shared) >= 2 or ts - c["last"] <= near):
@@ -66,11 +67,18 @@ def join_campaigns(alerts: DataFrame, history: int = 1000, rare: float = math.lo
                     c = open_.pop(best[1])
                 else:
                     c = {"id": campaign_id(str(alert)), "order": alert, "pivots": set(), "last": ts}
-                c["pivots"] |= set(sorted(usable - c["pivots"])[: max(0, pivots_kept - len(c["pivots"]))])
+                fresh = set(sorted(usable - c["pivots"])[: max(0, pivots_kept - len(c["pivots"]))])
+                c["pivots"] |= fresh
+                for p in fresh:
+                    having.setdefault(p, set()).add(c["id"])
                 c["last"] = max(c["last"], ts)
                 open_[c["id"]] = c
                 if len(open_) > most:
-                    open_.pop(next(iter(open_)))
+                    gone = open_.pop(next(iter(open_)))
+                    for p in gone["pivots"]:
+                        having[p].discard(gone["id"])
+                        if not having[p]:
+                            del having[p]
                 recent.append(pivots)
                 for p in pivots:
                     df[p] = df.get(p, 0) + 1

@@ -569,20 +569,20 @@ def pivot_idf(spark, sf):
 
 @query()
 def campaigns(spark, sf):
-    e = t.read(spark, sf, "events").filter("event_type = 'error'")
-    pivots = F.array(F.concat(F.lit("host:"), F.col("user_id").cast("string")), F.concat(F.lit("port:"), F.get_json_object("props", "$.k")))
+    e = t.read(spark, sf, "events")
+    pivots = F.array(F.concat(F.lit("host:"), F.col("user_id").cast("string")), F.concat(F.lit("port:"), F.get_json_object("props", "$.k")), F.concat(F.lit("value:"), F.floor("value").cast("string")))
     return correlate.join_campaigns(e.select(F.col("event_id").alias("alert_id"), t.seconds("ts").alias("ts"), pivots.alias("pivots")), near=2 * DAY)
 
 
 # Labels and evaluation.
 
-LABEL_SQL = f"lbl AS (SELECT event_id AS lid, user_id AS key, epoch_us(ts) / 1e6 AS s, epoch_us(ts) / 1e6 + value * 60 AS e, event_type AS code FROM events), flo AS (SELECT event_id AS id, user_id AS key, epoch_us(ts) / 1e6 - 1800 AS start, epoch_us(ts) / 1e6 - 1800 + value * 90 AS last FROM events WHERE event_id % 2 = 0)"
+LABEL_SQL = f"lbl AS (SELECT event_id AS lid, user_id AS key, epoch_us(ts) / 1e6 AS s, epoch_us(ts) / 1e6 + value * 60 AS e, event_type AS code FROM events), flo AS (SELECT event_id AS id, user_id AS key, epoch_us(ts) / 1e6 - 1800 AS start, epoch_us(ts) / 1e6 - 1800 - value * 20 + value * 40 AS last FROM events)"
 
 
 def _overlap(spark, sf):
     e = t.read(spark, sf, "events").withColumn("t", t.seconds("ts"))
     lbl = e.select(F.col("event_id").alias("lid"), F.col("user_id").alias("key"), F.col("t").alias("s"), (F.col("t") + F.col("value") * 60).alias("e"), F.col("event_type").alias("code"))
-    flo = e.filter("event_id % 2 = 0").select(F.col("event_id").alias("id"), F.col("user_id").alias("key"), (F.col("t") - 1800).alias("start"), (F.col("t") - 1800 + F.col("value") * 90).alias("last"))
+    flo = e.select(F.col("event_id").alias("id"), F.col("user_id").alias("key"), (F.col("t") - 1800).alias("start"), (F.col("t") - 1800 - F.col("value") * 20 + F.col("value") * 40).alias("last"))
     return flo, lbl
 
 
@@ -656,14 +656,14 @@ def log_digest(spark, sf):
 
 
 @query(
-    """SELECT a.seq, coalesce(f.code, n.code, 'unknown') AS label FROM pkt a LEFT JOIN (SELECT src, dst, dst_port, min(seq % 3)::VARCHAR AS code FROM pkt WHERE seq % 5 = 0 GROUP BY ALL) f ON f.src = a.src AND f.dst = a.dst AND f.dst_port = a.dst_port
-LEFT JOIN (SELECT src, dst, 'entity' AS code FROM pkt WHERE seq % 7 = 0 GROUP BY ALL) n ON n.src = a.src AND n.dst = a.dst""",
+    """SELECT a.seq, coalesce(f.code, n.code, 'unknown') AS label FROM pkt a LEFT JOIN (SELECT src, dst, dst_port, min(tcp_flags)::VARCHAR AS code FROM pkt WHERE is_reply GROUP BY ALL) f ON f.src = a.src AND f.dst = a.dst AND f.dst_port = a.dst_port
+LEFT JOIN (SELECT src, dst, 'entity' AS code FROM pkt WHERE dst_port < 10 GROUP BY ALL) n ON n.src = a.src AND n.dst = a.dst""",
     t.PKT_SQL,
 )
 def alert_label_fallback(spark, sf):
     p = t.packets(spark, sf)
-    by_flow = p.filter("seq % 5 = 0").groupBy("src", "dst", "dst_port").agg(F.min(F.col("seq") % 3).cast("string").alias("code"))
-    by_entity = p.filter("seq % 7 = 0").select("src", "dst").distinct().withColumn("entity", F.lit("entity"))
+    by_flow = p.filter("is_reply").groupBy("src", "dst", "dst_port").agg(F.min("tcp_flags").cast("string").alias("code"))
+    by_entity = p.filter("dst_port < 10").select("src", "dst").distinct().withColumn("entity", F.lit("entity"))
     return p.join(by_flow, ["src", "dst", "dst_port"], "left").join(by_entity, ["src", "dst"], "left").select("seq", F.coalesce("code", "entity", F.lit("unknown")).alias("label"))
 
 
