@@ -21,6 +21,11 @@ def _c(col: str | Column) -> Column:
     return F.col(col) if isinstance(col, str) else col
 
 
+def let(value: Column, body) -> Column:
+    """body of a value that is worked out once, however often body names it."""
+    return F.transform(F.array(value), body)[0]
+
+
 def port_class(port: str | Column) -> Column:
     """0: none or 0, 1: well known, 2: registered, 3: dynamic."""
     p = _c(port)
@@ -37,22 +42,26 @@ def ipv4_number(ip: str | Column) -> Column:
 def ip_hex(ip: str | Column) -> Column:
     """4 or 16 address bytes as hexadecimal digits."""
     c = _c(ip)
-    four = F.lpad(F.hex(ipv4_number(c)), 8, "0")
-    halves = F.split(c, "::")
     groups = lambda s: F.filter(F.split(s, ":"), lambda g: g != "")
     digits = lambda a: F.array_join(F.transform(a, lambda g: F.lpad(g, 4, "0")), "")
-    left, right = groups(F.try_element_at(halves, F.lit(1))), groups(F.coalesce(F.try_element_at(halves, F.lit(2)), F.lit("")))
-    zeros = F.repeat(F.lit("0"), F.greatest(F.lit(32) - 4 * (F.size(left) + F.size(right)), F.lit(0)))
-    return F.when(ipv4_number(c).isNotNull(), four).otherwise(F.upper(F.concat(digits(left), zeros, digits(right))))
+    zeros = lambda two: F.repeat(F.lit("0"), F.greatest(F.lit(32) - 4 * (F.size(two["left"]) + F.size(two["right"])), F.lit(0)))
+    halves = F.split(c, "::")
+    sides = F.struct(groups(F.try_element_at(halves, F.lit(1))).alias("left"), groups(F.coalesce(F.try_element_at(halves, F.lit(2)), F.lit(""))).alias("right"))
+    six = let(sides, lambda two: F.upper(F.concat(digits(two["left"]), zeros(two), digits(two["right"]))))
+    return F.when(c.isNull(), F.lit(None).cast("string")).when(c.contains(":"), six).otherwise(F.lpad(F.hex(ipv4_number(c)), 8, "0"))
 
 
 def in_networks(ip: str | Column, networks: tuple[str, ...] = INTERNAL) -> Column:
     """If an address lies in one of the networks (both families): prefixes of its digits are compared, in plain expressions."""
-    digits, out = ip_hex(ip), F.lit(False)
-    for n in map(ipaddress.ip_network, networks):
-        low, high = (f"{int(a):0{n.max_prefixlen // 4}X}" for a in (n.network_address, n.broadcast_address))
-        out = out | ((F.length(digits) == len(low)) & (digits >= low) & (digits <= high))
-    return out
+
+    def inside(digits: Column) -> Column:
+        out = F.lit(False)
+        for n in map(ipaddress.ip_network, networks):
+            low, high = (f"{int(a):0{n.max_prefixlen // 4}X}" for a in (n.network_address, n.broadcast_address))
+            out = out | ((F.length(digits) == len(low)) & (digits >= low) & (digits <= high))
+        return out
+
+    return let(ip_hex(ip), inside)
 
 
 def direction(src_inside: Column, dst_inside: Column) -> Column:
@@ -76,17 +85,24 @@ def protocol_number(protocol: str | Column) -> Column:
 
 def community_id(protocol: str, src_ip: str, dst_ip: str, src_port: str, dst_port: str, seed: int = 0) -> Column:
     """Community ID v1: the same for both directions. Of ICMP flows the ports are type and code."""
-    number, sport, dport = protocol_number(protocol), F.coalesce(F.col(src_port), F.lit(0)), F.coalesce(F.col(dst_port), F.lit(0))
     pairs = lambda d: F.create_map(*[F.lit(x) for kv in d.items() for x in kv])
-    answer = F.when(number == 1, F.try_element_at(pairs(ICMP_PAIRS), sport)).when(number == 58, F.try_element_at(pairs(ICMP6_PAIRS), sport))
-    one_way = number.isin(1, 58) & answer.isNull()
-    dport = F.coalesce(answer, dport)
-    a, b = ip_hex(src_ip), ip_hex(dst_ip)
-    swap = ~one_way & ((a > b) | ((a == b) & (sport > dport)))
     two = lambda v: F.lpad(F.hex(v.cast("long")), 4, "0")
-    ports = F.when(number.isin(1, 6, 17, 58, 132), F.concat(two(F.when(swap, dport).otherwise(sport)), two(F.when(swap, sport).otherwise(dport)))).otherwise("")
-    text = F.concat(F.lit(f"{seed:04X}"), F.when(swap, b).otherwise(a), F.when(swap, a).otherwise(b), F.lpad(F.hex(number.cast("long")), 2, "0"), F.lit("00"), ports)
-    return F.concat(F.lit("1:"), F.base64(F.unhex(F.sha1(F.unhex(text)))))
+    sport = F.coalesce(F.col(src_port), F.lit(0)).cast("int")
+    base = F.struct(protocol_number(protocol).cast("int").alias("p"), ip_hex(src_ip).alias("a"), ip_hex(dst_ip).alias("b"), sport.alias("s"), F.coalesce(F.col(dst_port), F.lit(0)).cast("int").alias("d"))
+
+    def turned(x: Column) -> Column:
+        answer = F.when(x["p"] == 1, F.try_element_at(pairs(ICMP_PAIRS), x["s"])).when(x["p"] == 58, F.try_element_at(pairs(ICMP6_PAIRS), x["s"]))
+        return F.struct(x["p"].alias("p"), x["a"].alias("a"), x["b"].alias("b"), x["s"].alias("s"), F.coalesce(answer, x["d"]).alias("d"), (x["p"].isin(1, 58) & answer.isNull()).alias("one_way"))
+
+    def ordered(x: Column) -> Column:
+        swap = ~x["one_way"] & ((x["a"] > x["b"]) | ((x["a"] == x["b"]) & (x["s"] > x["d"])))
+        return F.struct(x["p"].alias("p"), F.when(swap, x["b"]).otherwise(x["a"]).alias("a"), F.when(swap, x["a"]).otherwise(x["b"]).alias("b"), F.when(swap, x["d"]).otherwise(x["s"]).alias("s"), F.when(swap, x["s"]).otherwise(x["d"]).alias("d"))
+
+    def text(x: Column) -> Column:
+        ports = F.when(x["p"].isin(1, 6, 17, 58, 132), F.concat(two(x["s"]), two(x["d"]))).otherwise("")
+        return F.concat(F.lit(f"{seed:04X}"), x["a"], x["b"], F.lpad(F.hex(x["p"].cast("long")), 2, "0"), F.lit("00"), ports)
+
+    return F.concat(F.lit("1:"), F.base64(F.unhex(F.sha1(F.unhex(let(let(let(base, turned), ordered), text))))))
 
 
 def off_hours(ts: Column, offset_minutes: int = 330, opens: int = 9, closes: int = 18) -> Column:
