@@ -195,8 +195,8 @@ class Vocabulary:
                     parts.append(self.specials[m[0]])
                     at = m.end()
                 cut.append(parts + self.pieces(w[at:]))
-            elif (t := w.lstrip(" ")) and len(w) - len(t) < 2 and max(t) < _STABLE and (t.isalpha() or (t[-1] in ".,;:!?" and t[:-1].isalpha())):
-                cut.append([w] if t.isalpha() else [w[:-1], w[-1]])
+            elif _letters(w[1:] if w[:1] == " " else w):
+                cut.append([w])
             else:
                 cut.append(self.pieces(w))
         number: dict[str, int] = {}
@@ -322,14 +322,26 @@ class Lexicon:
         return out
 
 
+_SIGNS = ".,;:!?"
+
+
+def _letters(word: str) -> bool:
+    return word.isalpha() and max(word) < _STABLE
+
+
 class _Memo(dict):
-    """Word (lead + key): packed ids. Unknown words are queued."""
+    """Word (lead + key): packed ids. Unknown words are queued; of letters and one sign, the letters: each is a piece."""
 
-    def __init__(self, lead: str):
+    def __init__(self, lead: str, signs: dict[str, bytes]):
         super().__init__()
-        self.lead, self.queue = lead, {}
+        self.lead, self.signs, self.queue = lead, signs, {}
 
     def __missing__(self, word: str) -> bytes:
+        if word[-1] in _SIGNS and _letters(word[:-1]):
+            if (ids := self.get(word[:-1])) is not None:
+                self[word] = ids = ids + self.signs[word[-1]]
+                return ids
+            word = word[:-1]
         self.queue[word] = None
         return b""
 
@@ -337,9 +349,10 @@ class _Memo(dict):
 class Encoder:
     """Encodes whole texts. most_words: words a worker remembers between batches."""
 
-    def __init__(self, vocabulary: Vocabulary, lexicon: Lexicon | None = None, most_words: int = 300_000):
+    def __init__(self, vocabulary: Vocabulary, lexicon: Lexicon | None = None, most_words: int = 600_000):
         self.v, self.lexicon, self.most = vocabulary, lexicon, most_words
-        self.inner, self.outer = _Memo(" "), _Memo("")
+        signs = dict(zip(_SIGNS, vocabulary.encode_words(list(_SIGNS))))
+        self.inner, self.outer = _Memo(" ", signs), _Memo("", signs)
         self.newline = vocabulary.encode_words(["\n"])[0]
 
     def _learn(self, memo: _Memo) -> None:
