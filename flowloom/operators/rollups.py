@@ -61,7 +61,12 @@ def longterm_distinct(rows: DataFrame, keys: list[str], item: str, name: str, or
 
 
 def running_count(rows: DataFrame, keys: list[str], name: str, order: str = "ord") -> DataFrame:
-    return rows.withColumn(name, F.count(F.lit(1)).over(Window.partitionBy(*keys).orderBy(order).rowsBetween(*ALL)))
+    """Rows of the same keys so far; null where a key is null. Rows without a key are no group, so they are dealt out by their order."""
+    missing = F.lit(False)
+    for k in keys:
+        missing = missing | F.col(k).isNull()
+    w = Window.partitionBy(*keys, F.when(missing, F.xxhash64(F.col(order).cast("string")))).orderBy(order).rowsBetween(*ALL)
+    return rows.withColumn(name, F.when(~missing, F.count(F.lit(1)).over(w)))
 
 
 def periodicity(rows: DataFrame, keys: list[str], start: str = "start", order: str = "ord") -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from flowloom.functions import network, text
-from flowloom.operators import alertlog, correlate, evaluate, fastlane, flows, folds, ml, rollups, rules
+from flowloom.operators import alertlog, correlate, evaluate, fastlane, flows, folds, ml, rollups, rules, sketches
 from flowloom.sources import tables as t
 
 QUERIES: dict = {}
@@ -693,3 +693,50 @@ def iforest_scores(spark, sf):
 @query()
 def gbt_scores(spark, sf):
     return ml.tree_scores(t.flows(spark, sf))
+
+
+@query(
+    """SELECT dst, period, c AS decayed FROM fold""",
+    "RECURSIVE " + t.PKT_SQL,
+    f"""d AS (SELECT dst, floor(ts / {DAY})::BIGINT AS period, count(*) AS n, row_number() OVER (PARTITION BY dst ORDER BY floor(ts / {DAY})::BIGINT) AS i FROM pkt GROUP BY 1, 2),
+fold AS (SELECT dst, period, n AS c, i FROM d WHERE i = 1 UNION ALL SELECT d.dst, d.period, floor(f.c / pow(2, d.period - f.period))::BIGINT + d.n, d.i FROM fold f JOIN d ON d.dst = f.dst AND d.i = f.i + 1)""",
+)
+def decayed_history(spark, sf):
+    return sketches.decayed_counts(t.packets(spark, sf), ["dst"], "ts")
+
+
+@query("SELECT dst, count(*) AS exact, true AS at_least, true AS near FROM flw GROUP BY dst", t.FLW_SQL)
+def count_min_vs_exact(spark, sf):
+    """Count-min estimates are never under the exact counts, and over by little at this width."""
+    f = t.flows(spark, sf)
+    exact = f.groupBy("dst").agg(F.count(F.lit(1)).alias("exact"))
+    both = exact.join(sketches.count_min_estimate(sketches.count_min(f, "dst"), exact, "dst"), "dst")
+    return both.select("dst", "exact", (F.col("estimate") >= F.col("exact")).alias("at_least"), (F.col("estimate") <= 1.5 * F.col("exact")).alias("near"))
+
+
+@query("SELECT dst, true AS bounded FROM flw GROUP BY dst", t.FLW_SQL)
+def bucket_entropy_bound(spark, sf):
+    """Bucketed entropy is within the exact one's and the buckets' bounds."""
+    f = t.flows(spark, sf)
+    exact = sketches.bucket_entropy(f, ["dst"], "src", 1 << 40).withColumnRenamed("entropy", "exact")
+    both = exact.join(sketches.bucket_entropy(f, ["dst"], "src"), "dst")
+    return both.select("dst", ((F.col("entropy") <= F.col("exact") + 1e-9) & (F.col("entropy") <= 7.0)).alias("bounded"))
+
+
+@query(
+    f"""SELECT ok, ln, pk, src, dst, rank FROM (SELECT *, row_number() OVER (PARTITION BY dst, floor(last / {WINDOW}) ORDER BY bytes DESC, start, ok, ln, pk, src)::INTEGER AS rank FROM flw) WHERE rank <= 5""",
+    t.FLW_SQL,
+)
+def window_top_flows(spark, sf):
+    return sketches.top_of_window(t.flows(spark, sf), "dst", "bytes", "last", WINDOW).select(*KEYS, "dst", "rank")
+
+
+@query(
+    """SELECT p.seq AS id, arg_min(a.name, (abs(p.ts - a.first), a.name)) AS attack FROM pkt p LEFT JOIN att a ON a.src = p.src AND p.ts >= a.first - 5 AND p.ts <= a.last + 120 GROUP BY p.seq""",
+    t.PKT_SQL,
+    "att AS (SELECT src, dst AS name, ts AS first, ts + packet_len * 600 AS last FROM pkt WHERE tcp_flags = 4)",
+)
+def attack_attribution(spark, sf):
+    p = t.packets(spark, sf)
+    attacks = p.filter("tcp_flags = 4").select("src", F.col("dst").alias("name"), F.col("ts").alias("first"), (F.col("ts") + F.col("packet_len") * 600).alias("last"))
+    return sketches.attribute(p.select("src", F.col("seq").alias("id"), F.col("ts").alias("t")), attacks, ["src"]).select("id", "attack")
