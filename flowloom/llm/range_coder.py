@@ -4,8 +4,8 @@ Ids are coded in blocks that are reset and checked for themselves. Many blocks g
 model and the coder are array operations over the blocks.
 
 A step's distribution has eight symbols: the id that order 2 predicts (the last one after the same two ids), the one of order 1,
-and six ranges of ids for order 0, within which ids are equally likely. How much each gets is counted under the confidences
-of both guesses, in the block so far; the counts become probabilities at fixed steps, in the decoder as in the encoder.
+and six ranges of ids for order 0, within which ids are equally likely. How much each gets is counted, in the block so far,
+under which of the guesses held lately; the counts become probabilities at fixed steps, in the decoder as in the encoder.
 """
 
 from __future__ import annotations
@@ -21,28 +21,38 @@ _STATES, _SYMBOLS, _TOTAL_BITS = 16, 8, 12
 _BASE = np.array([0, 0, 0, 512, 2048, 8192, 16384, 32768], np.int64)
 _BITS = np.array([0, 0, 9, 11, 13, 13, 14, 15], np.uint64)
 _RANGE_OF = (np.searchsorted(_BASE[3:], np.arange(65536), "right") + 2).astype(np.int64)
+#: Which guesses held in the last two steps (2: none), after a symbol under such a state.
+_NEXT = np.array([(state << 2 & (_STATES - 1)) | min(symbol, 2) for state in range(_STATES) for symbol in range(_SYMBOLS)], np.int64)
 _U16, _U48, _U32 = np.uint64(16), np.uint64(48), np.uint64(1 << 32)
-_U12 = np.uint64(_TOTAL_BITS)
+_U12, _LOW = np.uint64(_TOTAL_BITS), np.uint64(0xFFFF)
 
 
 class _Model:
+    """guess1, guess2: the last id after an order-1 and an order-2 context. seen: which guesses held in the last two steps, by lane;
+    under it the symbols are counted, so that the orders' weights follow how well each has done lately."""
+
     def __init__(self, lanes: int):
         self.lane = np.arange(lanes)  # places are int64, which numpy looks up fastest
         self.lane1, self.lane2, self.lane_row = self.lane * _SLOTS1, self.lane * _SLOTS2, self.lane * _STATES
-        self.guess1, self.guess2 = np.zeros(lanes * _SLOTS1, np.int32), np.zeros(lanes * _SLOTS2, np.int32)  # id * 4 + confidence
-        self.p1, self.h2 = np.zeros(lanes, np.int64), np.zeros(lanes, np.int64)
+        self.guess1, self.guess2 = np.zeros(lanes * _SLOTS1, np.uint16), np.zeros(lanes * _SLOTS2, np.uint16)
+        self.p1, self.h2, self.seen = np.zeros(lanes, np.int64), np.zeros(lanes, np.int64), np.full(lanes, 10)
+        self.met: list[np.ndarray] = []  # what was coded under which state since the counts were last renewed
         self.count = np.ones((lanes * _STATES, _SYMBOLS), np.int32)
         self.count[:, 2:] = 2
-        self.cum = np.zeros((len(self.count), _SYMBOLS + 1), np.int32)  # where each symbol's share begins, and the total
-        self.cum[:, -1] = 1 << _TOTAL_BITS
+        self.begin = np.zeros((len(self.count), _SYMBOLS), np.int32)
+        self.cum = np.zeros((len(self.count), _SYMBOLS), np.uint32)  # where each symbol's share begins, and above it how wide it is
         self.renew()
 
     def renew(self) -> None:
+        if self.met:
+            self.count += np.bincount(np.concatenate(self.met), minlength=self.count.size).astype(np.int32).reshape(self.count.shape)
+            self.met.clear()
         total = self.count.sum(axis=1, keepdims=True, dtype=np.int32)
         share = self.count * ((1 << _TOTAL_BITS) - _SYMBOLS) // total
         share += 1
-        np.cumsum(share[:, :0:-1], axis=1, out=share[:, :0:-1])  # from the end, so that the first symbol takes what is left over
-        self.cum[:, 1:-1] = (1 << _TOTAL_BITS) - share[:, 1:]
+        share[:, 0] += (1 << _TOTAL_BITS) - share.sum(axis=1, dtype=np.int32)
+        np.cumsum(share[:, :-1], axis=1, out=self.begin[:, 1:])
+        self.cum = (self.begin | share << 16).astype(np.uint32)
         if (old := total[:, 0] > 512).any():
             self.count[old] = (self.count[old] + 1) >> 1
 
@@ -50,21 +60,16 @@ class _Model:
         """Of the first n lanes: the guesses and where their distribution lies."""
         self.at1 = self.lane1[:n] + (self.p1[:n] & (_SLOTS1 - 1))
         self.at2 = self.lane2[:n] + (self.h2[:n] & (_SLOTS2 - 1))
-        self.e1, self.e2 = self.guess1[self.at1], self.guess2[self.at2]
-        self.g1, self.g2 = self.e1 >> 2, self.e2 >> 2
-        self.row = self.lane_row[:n] + ((self.e2 & 3) << 2) + (self.e1 & 3)
+        self.g1, self.g2 = self.guess1.take(self.at1), self.guess2.take(self.at2)
+        self.row = self.lane_row[:n] + self.seen[:n]
 
     def update(self, n: int, x: np.ndarray, symbol: np.ndarray, step: int) -> None:
-        fresh = x << 2
-        for table, at, e, g in ((self.guess1, self.at1, self.e1, self.g1), (self.guess2, self.at2, self.e2, self.g2)):
-            new = np.where(e & 3, e - 1, fresh)
-            hit = np.flatnonzero(g == x)
-            if len(hit):
-                old = e[hit]
-                new[hit] = old + ((old & 3) < 3)
-            table[at] = new
-        self.count.ravel()[self.row * _SYMBOLS + symbol] += 1
-        self.h2[:n] = (self.p1[:n] * 7 + x * 61) ^ (x >> 4)
+        self.guess1[self.at1] = x
+        self.guess2[self.at2] = x
+        at = self.row * _SYMBOLS + symbol
+        self.met.append(at)
+        self.seen[:n] = _NEXT.take(at & (_STATES * _SYMBOLS - 1))
+        self.h2[:n] = self.p1[:n] * 7 + x
         self.p1[:n] = x
         if step in (15, 63) or step % 256 == 255:
             self.renew()
@@ -81,19 +86,14 @@ def _encode(ids: np.ndarray, sizes: np.ndarray) -> list[bytes]:
         n = lanes if step < sizes[-1] else lanes - 1
         x = ids[step, :n].astype(np.int64)
         model.predict(n)
-        symbol = _RANGE_OF[x]
-        symbol[x == model.g1] = 1
-        symbol[x == model.g2] = 0
-        cum, at = model.cum.ravel(), model.row * (_SYMBOLS + 1) + symbol
-        begin, end = cum[at], cum[at + 1]
+        symbol = np.where(x == model.g2, 0, np.where(x == model.g1, 1, _RANGE_OF.take(x)))
+        both = model.cum.ravel().take(model.row * _SYMBOLS + symbol).astype(np.uint64)
         # the share of the symbol, and within a range of ids that of the id
         r = rng[:n] >> _U12
-        add = r * begin.astype(np.uint64)
-        r *= (end - begin).astype(np.uint64)
-        r >>= _BITS[symbol]
-        raw = x - _BASE[symbol]
-        raw[symbol < 2] = 0
-        add += r * raw.astype(np.uint64)
+        add = r * (both & _LOW)
+        r *= both >> _U16
+        r >>= _BITS.take(symbol)
+        add += r * ((x - _BASE.take(symbol)) * (symbol > 1)).view(np.uint64)
         rng[:n] = r
         low[:n] += add
         over = np.flatnonzero(low[:n] < add)
@@ -132,25 +132,22 @@ def _decode(blocks: list[bytes], sizes: np.ndarray) -> np.ndarray:
     for step in range(steps):
         n = lanes if step < sizes[-1] else lanes - 1
         model.predict(n)
-        cum, row = model.cum.ravel(), model.row * (_SYMBOLS + 1)
+        begin, row = model.begin.ravel(), model.row * _SYMBOLS
         r = rng[:n] >> _U12
         # quotients are whole in doubles: dividends are under 2 ** 48 and quotients under 2 ** 16
-        q = np.minimum(diff[:n] / r, (1 << _TOTAL_BITS) - 1).astype(np.int64)
+        q = np.minimum(diff[:n] / r, (1 << _TOTAL_BITS) - 1).astype(np.int32)
         at = row + 4
-        at += np.where(cum[at] <= q, 2, -2)
-        at += np.where(cum[at] <= q, 1, -1)
-        at -= cum[at] > q
+        at += np.where(begin.take(at) <= q, 2, -2)
+        at += np.where(begin.take(at) <= q, 1, -1)
+        at -= begin.take(at) > q
         symbol = at - row
-        begin, end = cum[at], cum[at + 1]
-        d = diff[:n] - r * begin.astype(np.uint64)
-        r *= (end - begin).astype(np.uint64)
-        r >>= _BITS[symbol]
-        raw = (d / r).astype(np.int64)
-        x = raw + _BASE[symbol]
-        hit = symbol < 2
-        raw[hit] = 0
-        x[hit] = np.where(symbol[hit] == 0, model.g2[hit], model.g1[hit])
-        diff[:n] = d - r * raw.astype(np.uint64)
+        both = model.cum.ravel().take(at).astype(np.uint64)
+        d = diff[:n] - r * (both & _LOW)
+        r *= both >> _U16
+        r >>= _BITS.take(symbol)
+        raw = (d / r).astype(np.int64) * (symbol > 1)
+        x = np.where(symbol > 1, raw + _BASE.take(symbol), np.where(symbol == 0, model.g2, model.g1))
+        diff[:n] = d - r * raw.view(np.uint64)
         rng[:n] = r
         few = np.flatnonzero(r < _U32)
         while len(few):

@@ -12,15 +12,21 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from flowloom.llm.common import shared_dir, small_batches, table
+from flowloom.llm.bpe import byte_characters
+from flowloom.llm.common import shared_dir, small_batches, stage, table
 from flowloom.llm.range_coder import BLOCK, LANES, decode_ids, encode_ids
 
+#: Fixed value: the public pattern of the vocabulary's words.
+PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"""
 MAGIC = b"TIDS\x01\0\0\0"
 CHUNK_IDS = BLOCK * LANES
+#: Up to so many chunks (of about 8 million ids each), the table of their places is broadcast; beyond, the join shuffles.
+BROADCAST_CHUNKS = 100_000
 
 
 def pack_chunk(doc_ids: list[int | None], counts: list[int], ids: np.ndarray) -> bytes:
@@ -70,6 +76,8 @@ class _Words(dict):
         self.library.no_padding()
         self.library.no_truncation()
         self.model = self.library.model
+        self.pattern = regex.compile(PATTERN)
+        self.characters = {b: c for c, b in byte_characters().items()}
 
     def __missing__(self, word: bytes) -> bytes:
         if word[-1] in b".,;:!?" and word[:-1].isalpha():  # a sign after ASCII letters is a word of the pattern for itself
@@ -77,10 +85,21 @@ class _Words(dict):
         elif word.isalpha() and word.islower():  # so are ASCII letters, and the library's model alone makes their ids
             out = self._pack([t.id for t in self.model.tokenize(word.decode())])
         else:
-            out = self._pack(self.library.encode(word.decode(), add_special_tokens=False).ids)
+            out = self._other(word.decode())
         self[word] = out
         return out
 
+    def _other(self, text: str) -> bytes:
+        """Latin text has one form of each letter, and small ones as in Python; its words under the pattern are kept each for itself.
+        Anything else goes through the library as a whole."""
+        if max(text) >= "\u0250" or "<|" in text:
+            return self._pack(self.library.encode(text, add_special_tokens=False).ids)
+        text = text.lower()
+        parts = self.pattern.findall(text)
+        if parts == [text]:
+            return self._pack([t.id for t in self.model.tokenize(text.encode().decode("latin-1").translate(self.characters))])
+        return b"".join([self[p.encode()] for p in parts])
+
     def _pack(self, ids: list[int]) -> bytes:
         if ids and max(ids) > 0xFFFF:
             self._wide()
@@ -94,7 +113,7 @@ class _Words(dict):
 _WORDS: dict[str, _Words] = {}
 
 
-def tokenise(text: bytes, vocabulary: str, most_words: int = 800_000) -> bytes:
+def tokenise(text: bytes, vocabulary: str, most_words: int = 1_200_000) -> bytes:
     """Packed ids (uint16) of a text under a vocabulary that drops white space and case: no normaliser or pattern of it looks
     across a space, so each word between spaces is encoded for itself, and remembered by the worker. ASCII letters are made small
     first (but where a special string may stand), so that fewer words differ."""
@@ -167,7 +186,9 @@ def read_token_files(spark: SparkSession, path: str) -> DataFrame:
 
     files = spark.read.schema("part int, chunk int, n_ids long, payload binary").parquet(path)
     order = Window.orderBy("part", "chunk").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = files.select("part", "chunk", F.coalesce(F.sum("n_ids").over(order), F.lit(0)).alias("before"))
+    offsets = stage(files.select("part", "chunk", F.coalesce(F.sum("n_ids").over(order), F.lit(0)).alias("before")), "token-offsets")
+    if offsets.count() <= BROADCAST_CHUNKS:
+        offsets = F.broadcast(offsets)
     decoded = files.select("part", "chunk", "payload").mapInArrow(run, "doc_id long, part int, chunk int, within long, ids binary")
     return decoded.join(offsets, ["part", "chunk"]).select("doc_id", (F.col("before") + F.col("within")).alias("start"), "ids")
 
