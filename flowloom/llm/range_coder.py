@@ -103,8 +103,15 @@ def _encode(ids: np.ndarray, sizes: np.ndarray) -> list[bytes]:
                 at = at - 1
                 out[at] += np.uint16(1)
                 at = at[out[at] == 0]
-        few = np.flatnonzero(r < _U32)
-        while len(few):
+        short = r < _U32
+        put = np.flatnonzero(short)
+        out[ptr[put]] = (low[:n] >> _U48)[put]
+        ptr[:n] += short
+        shift = short * _U16
+        low[:n] <<= shift
+        rng[:n] <<= shift
+        few = np.flatnonzero(rng[:n] < _U32)
+        while len(few):  # few lanes have another word
             out[ptr[few]] = low[few] >> _U48
             ptr[few] += 1
             low[few] <<= _U16
@@ -128,7 +135,6 @@ def _decode(blocks: list[bytes], sizes: np.ndarray) -> np.ndarray:
     ptr = ptr + 3
     rng = np.full(lanes, 1 << 48, np.uint64)
     out = np.zeros((steps, lanes), np.uint16)
-    last = len(words) - 1
     for step in range(steps):
         n = lanes if step < sizes[-1] else lanes - 1
         model.predict(n)
@@ -149,9 +155,16 @@ def _decode(blocks: list[bytes], sizes: np.ndarray) -> np.ndarray:
         x = np.where(symbol > 1, raw + _BASE.take(symbol), np.where(symbol == 0, model.g2, model.g1))
         diff[:n] = d - r * raw.view(np.uint64)
         rng[:n] = r
-        few = np.flatnonzero(r < _U32)
+        short = r < _U32
+        got = np.flatnonzero(short)
+        shift = short * _U16
+        diff[:n] <<= shift
+        rng[:n] <<= shift
+        diff[got] |= words.take(ptr[got], mode="clip")
+        ptr[:n] += short
+        few = np.flatnonzero(rng[:n] < _U32)
         while len(few):
-            diff[few] = diff[few] << _U16 | words[np.minimum(ptr[few], last)]
+            diff[few] = diff[few] << _U16 | words.take(ptr[few], mode="clip")
             ptr[few] += 1
             rng[few] <<= _U16
             few = few[rng[few] < _U32]
