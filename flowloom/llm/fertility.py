@@ -21,10 +21,17 @@ _SYMBOLS = "#*$%&|<>"
 
 @dataclass(frozen=True)
 class Band:
-    """Least and most characters per token, and most byte-fallback tokens, of any text of a script."""
+    """Least and most characters per token, and most byte-fallback tokens, of any text of a script.
+
+    thin_chars and thin_entropy hold for languages with too few texts for a band of their own: least characters per token, and
+    least token entropy of an endless text (bits), of which a text of n tokens may lack thin_slope / sqrt(n).
+    """
 
     chars: tuple[float, float] = (1.2, 7.0)
     fallback: float = 0.05
+    thin_chars: float = 0.0
+    thin_entropy: float = 4.0
+    thin_slope: float = 12.0
 
 
 @dataclass(frozen=True)
@@ -33,12 +40,13 @@ class Bands:
 
     Within them, each language (without one, script) has a band of its own, from all documents that pass the base rule: the
     deviations of characters per token and of token entropy from the medians of the language's texts of like length, in robust
-    standard deviations, may add up to -spread at least. Groups under least_rows have the outer band only.
+    standard deviations, may add up to -spread at least. Lengths under least_rows use the texts of the lengths beside them too,
+    then of all lengths of the language; languages under least_rows have their script's fixed band (Band's thin_ limits).
     """
 
     by_script: dict[str, Band] = field(
         default_factory=lambda: {
-            "latin": Band(),
+            "latin": Band(thin_chars=1.6, thin_entropy=6.4),
             "greek": Band((0.6, 4.0), 0.3),
             "cyrillic": Band((1.0, 6.0), 0.2),
             "hebrew": Band((0.4, 4.0), 0.6),
@@ -135,11 +143,11 @@ def duplicate_lines(text: bytes) -> int:
 
 def measure(docs: DataFrame, vocabulary: str, bands: Bands = Bands(), most_words: int = 300_000, with_text: bool = False) -> DataFrame:
     """Per document: the other columns of docs (and its text, if asked for), the base rule's numbers, and what the method measures:
-    n_tokens, chars_per_token (null without words), fallback_share, token_entropy (bits), script, outer (outside its band).
+    n_tokens, chars_per_token (null without words), fallback_share, token_entropy (bits), script, outer (outside its band), thin_outer (outside the fixed band of thin languages).
 
     vocabulary: path of a sentencepiece model with byte fallback. most_words: words whose tokens a worker keeps between documents.
     """
-    names = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "n_tokens", "chars_per_token", "fallback_share", "token_entropy", "script", "outer")
+    names = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "n_tokens", "chars_per_token", "fallback_share", "token_entropy", "script", "outer", "thin_outer")
     keep = [c for c in docs.columns if with_text or c != "text"]
 
     def rows(cols: dict[str, list]) -> dict[str, list]:
@@ -169,37 +177,64 @@ def measure(docs: DataFrame, vocabulary: str, bands: Bands = Bands(), most_words
             script = _SCRIPTS[int(letters.argmax())] if chars and letters.sum() >= bands.least_letters * chars else "none"
             band, per = bands.by_script.get(script, bands.other), chars / total if total else None
             outer = per is not None and not (band.chars[0] <= per <= band.chars[1] and fallback <= band.fallback)
-            row = (n, chars, int(by_byte[[ord(c) for c in _SYMBOLS]].sum()), duplicate_lines(text), repeat, n < 50 or 100 * repeat > 50 * n, total, per, fallback, float(-(p * np.log2(p)).sum()) + 0.0, script, outer)
+            entropy = float(-(p * np.log2(p)).sum()) + 0.0
+            thin = per is not None and (per < band.thin_chars or entropy < band.thin_entropy - band.thin_slope / total**0.5)
+            row = (n, chars, int(by_byte[[ord(c) for c in _SYMBOLS]].sum()), duplicate_lines(text), repeat, n < 50 or 100 * repeat > 50 * n, total, per, fallback, entropy, script, outer, thin)
             for k, v in zip(names, row):
                 out[k].append(v)
         return {k: cols[k] for k in keep} | out
 
     kinds = ", ".join(f"`{k}` {docs.schema[k].dataType.simpleString()}" for k in keep)
-    schema = f"{kinds}, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, n_tokens long, chars_per_token double, fallback_share double, token_entropy double, script string, outer boolean"
+    schema = f"{kinds}, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, n_tokens long, chars_per_token double, fallback_share double, token_entropy double, script string, outer boolean, thin_outer boolean"
     return map_rows(docs.select(*[c for c in docs.columns if c != "text"], "text"), rows, schema, binary=("text",))
 
 
-def _robust(rows: DataFrame, by: list[str], measures: list[str], least: int) -> DataFrame:
-    """Per group of at least `least` rows: mid and sd of each measure, rounded to 0.01, from exact quartiles."""
-    quartiles = [F.percentile(F.round(m, 2), F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))).alias(f"{m}_q") for m in measures]
-    q = rows.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), *quartiles).filter(F.col("n") >= least)
-    return q.select(*by, *[F.col(f"{m}_q")[1].alias(f"{m}_mid") for m in measures], *[F.greatest((F.col(f"{m}_q")[2] - F.col(f"{m}_q")[0]) / 1.349, F.lit(0.01)).alias(f"{m}_sd") for m in measures])
+def _usual(grouped: DataFrame, least: int) -> DataFrame:
+    """Per group and length of any row: mid and sd of each measure, rounded to 0.01, from exact quartiles of the base-passing rows.
+
+    They come from the first with at least `least` rows: the group's texts of that length (level 0), with those of the lengths
+    beside it (1), of all lengths (2); a group with none has no row. Beyond level 0 lengths are mixed: entropy grows with length
+    as a - slope / sqrt(tokens) within a group, so it is taken with slope / sqrt(tokens) added; tokens_mid is the median length.
+    """
+    root = F.sqrt(F.greatest("n_tokens", F.lit(1)))
+    rows = grouped.filter("not base_failed").select("group", "length", "n_tokens", "chars_per_token", "token_entropy", root.alias("root"))
+    fitted = F.round(F.coalesce(-F.regr_slope("token_entropy", 1 / F.col("root")), F.lit(0.0)), 1)
+    slopes = stage(rows.groupBy("group").agg(F.greatest(F.lit(0.0), F.least(F.lit(64.0), fitted)).alias("slope")), "fertility-slopes")
+    pool = lambda level, at: F.struct(F.lit(level).alias("level"), at.cast("int").alias("at"))
+    length, every = F.col("length"), F.lit(-1)
+    pooled = rows.join(slopes, "group").withColumn("pool", F.explode(F.array(pool(0, length), pool(1, length - 1), pool(1, length), pool(1, length + 1), pool(2, every))))
+    slope = F.when(F.col("pool.level") == 0, F.lit(0.0)).otherwise(F.col("slope"))
+    pooled = pooled.select("group", "pool", "n_tokens", "chars_per_token", (F.col("token_entropy") + slope / F.col("root")).alias("token_entropy"), slope.alias("slope"))
+    quartiles = [F.percentile(F.round(m, 2), F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))).alias(f"{m}_q") for m in ("chars_per_token", "token_entropy")]
+    tokens = F.when(F.col("pool.level") == 0, F.lit(0.0)).otherwise(F.percentile(F.exp(F.round(F.log("n_tokens"), 1)), F.lit(0.5)))
+    q = pooled.groupBy("group", "pool").agg(F.count(F.lit(1)).alias("n"), F.first("slope").alias("slope"), tokens.alias("tokens_mid"), *quartiles).filter(F.col("n") >= least)
+    keys = grouped.select("group", "length").distinct().withColumn("pool", F.explode(F.array(pool(0, length), pool(1, length), pool(2, every))))
+    best = keys.join(q, ["group", "pool"]).groupBy("group", "length").agg(F.min_by(F.struct("slope", "tokens_mid", "chars_per_token_q", "token_entropy_q"), F.col("pool.level")).alias("b"))
+    mids = [F.col(f"b.{m}_q")[1].alias(f"{m}_mid") for m in ("chars_per_token", "token_entropy")]
+    sds = [F.greatest((F.col(f"b.{m}_q")[2] - F.col(f"b.{m}_q")[0]) / 1.349, F.lit(0.01)).alias(f"{m}_sd") for m in ("chars_per_token", "token_entropy")]
+    return best.select("group", "length", "b.slope", "b.tokens_mid", *mids, *sds)
 
 
 def fertility_rules(docs: DataFrame, vocabulary: str, bands: Bands = Bands(), with_text: bool = False) -> DataFrame:
     """measure(), and kept: false if the base rule fails or the text is outside its outer or language's band.
 
     docs has doc_id, text and lang; other columns are left out unless the caller selects them, repeated rows stay, an empty table
-    gives none. Null or empty text: no words, so base_failed. Null lang: the script's band.
+    gives none. Null or empty text: no words, so base_failed. Null lang: as a language of all such texts of its script. deviation is 0
+    where the language has no band and the script's fixed one decides.
     """
     got = stage(measure(docs, vocabulary, bands, with_text=with_text), "fertility")
     grouped = got.withColumn("group", F.coalesce(F.col("lang"), F.col("script"))).withColumn("length", F.floor(F.log2(F.greatest("n_tokens", F.lit(1)))).cast("int"))
     # a row per language and length; as a table of its own its size is known, so that Spark broadcasts it only if it is small
-    usual = stage(_robust(grouped.filter("not base_failed"), ["group", "length"], ["chars_per_token", "token_entropy"], bands.least_rows), "fertility-usual")
-    z = lambda c: F.coalesce((F.col(c) - F.col(f"{c}_mid")) / F.col(f"{c}_sd"), F.lit(0.0))
+    usual = stage(_usual(grouped, bands.least_rows), "fertility-usual")
     joined = grouped.join(usual, ["group", "length"], "left")
-    deviation = F.least(z("chars_per_token"), F.lit(2.0)) + F.least(z("token_entropy"), F.lit(2.0))
-    return joined.withColumn("deviation", deviation).withColumn("kept", ~F.col("base_failed") & ~F.col("outer") & (F.col("deviation") >= -bands.spread)).drop("group", "length", "chars_per_token_mid", "chars_per_token_sd", "token_entropy_mid", "token_entropy_sd")
+    tokens = F.greatest("n_tokens", F.lit(1))
+    # of mixed lengths, shorter texts scatter more
+    wider = F.greatest(F.lit(1.0), F.sqrt(F.col("tokens_mid") / tokens))
+    z = lambda m, value: F.least(F.coalesce((value - F.col(f"{m}_mid")) / (F.col(f"{m}_sd") * wider), F.lit(0.0)), F.lit(2.0))
+    deviation = z("chars_per_token", F.col("chars_per_token")) + z("token_entropy", F.col("token_entropy") + F.col("slope") / F.sqrt(tokens))
+    inside = F.when(F.col("token_entropy_mid").isNull(), ~F.col("thin_outer")).otherwise(F.col("deviation") >= -bands.spread)
+    judged = joined.withColumn("deviation", deviation).withColumn("kept", ~F.col("base_failed") & ~F.col("outer") & inside)
+    return judged.drop("group", "length", "thin_outer", *[c for c in usual.columns if c not in ("group", "length")])
 
 
 def keep_good(docs: DataFrame, vocabulary: str, bands: Bands = Bands()) -> DataFrame:

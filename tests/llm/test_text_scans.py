@@ -150,6 +150,28 @@ def test_fertility_separates_junk(spark):
     assert all(r.outer for r in ft.measure(odd.select("doc_id", "text"), PIECE, ft.Bands(other=ft.Band((0.9, 7.0), 0.1))).collect() if r.doc_id == 1)
 
 
+def letters(r, n, words=120):
+    return [" ".join("".join(r.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(r.randint(2, 10))) for _ in range(words)) for _ in range(n)]
+
+
+def test_fertility_thin_groups_face_all_measures(spark):
+    """Junk of thin lengths, languages and tables is rejected, clean texts of theirs are kept."""
+    r, thin = random.Random(9), spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text", "lang")
+    quality = dict(spark.read.parquet("/root/testdata/sf0.001/labels.parquet").select("doc_id", "quality").collect())
+    # a language of its own: random letters, and few tokens over and over in an order without repeated triples
+    few = " ".join(a + b + c for a in ["the", "and", "of"] for b in ["the", "and", "of"] for c in ["the", "and", "of", "in"]) + " " + " ".join(a + b for a in ["the", "and", "of", "in"] for b in ["the", "and", "of", "in"])
+    odd = [(-1 - i, t, "xx") for i, t in enumerate([*letters(r, 3), few, few + " the"])]
+    # one very long text in English, of junk of the same table
+    junk = [x.text for x in thin.collect() if quality.get(x.doc_id) == 0 and x.lang == "en" and len(x.text.split()) >= 50]
+    odd.append((-9, "\n".join(junk), "en"))
+    got = {g.doc_id: g for g in ft.fertility_rules(thin.unionByName(spark.createDataFrame(odd, thin.schema)), PIECE).collect()}
+    for i, _, _ in odd:
+        assert not got[i].base_failed and not got[i].outer and not got[i].kept, got[i]
+    known = [g for i, g in got.items() if i in quality and not g.base_failed]
+    assert sum(g.kept for g in known if quality[g.doc_id] == 0) <= 2
+    assert all(g.kept for g in known if quality[g.doc_id] == 1)
+
+
 def test_fertility_tokens_are_the_librarys(spark):
     import sentencepiece
 
