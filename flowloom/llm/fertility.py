@@ -7,6 +7,7 @@ A text of a script's characters that needs too many tokens or bytes, or repeats
 from __future__ import annotations
 
 from dataclasses import dataclass, field
+from hashlib import blake2b
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
@@ -38,7 +39,7 @@ class Band:
 class Bands:
     """by_script: outer bands by main script; other: of scripts without one of their own.
 
-    Within them, each language (without one, script) has a band of its own, from all documents that pass the base rule: the
+    Within them, each language (without one, script) has a band of its own, from all distinct texts that pass the base rule: the
     deviations of characters per token and of token entropy from the medians of the language's texts of like length, in robust
     standard deviations, may add up to -spread at least. Lengths under least_rows use the texts of the lengths beside them too,
     then of all lengths of the language; languages under least_rows have their script's fixed band (Band's thin_ limits).
@@ -58,6 +59,9 @@ class Bands:
     other: Band = Band((0.25, 7.0), 0.95)
     least_letters: float = 0.5  # of the characters in words: below, a text has no script
     spread: float = 5.5
+    # least standard deviations of a text of n tokens, times sqrt(n): what chance alone makes of them
+    chance_chars: float = 0.7
+    chance_entropy: float = 1.5
     least_rows: int = 30
 
 
@@ -143,11 +147,11 @@ def duplicate_lines(text: bytes) -> int:
 
 def measure(docs: DataFrame, vocabulary: str, bands: Bands = Bands(), most_words: int = 300_000, with_text: bool = False) -> DataFrame:
     """Per document: the other columns of docs (and its text, if asked for), the base rule's numbers, and what the method measures:
-    n_tokens, chars_per_token (null without words), fallback_share, token_entropy (bits), script, outer (outside its band), thin_outer (outside the fixed band of thin languages).
+    n_tokens, chars_per_token (null without words), fallback_share, token_entropy (bits), script, outer (outside its band), thin_outer (outside the fixed band of thin languages), digest (of the text).
 
     vocabulary: path of a sentencepiece model with byte fallback. most_words: words whose tokens a worker keeps between documents.
     """
-    names = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "n_tokens", "chars_per_token", "fallback_share", "token_entropy", "script", "outer", "thin_outer")
+    names = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "n_tokens", "chars_per_token", "fallback_share", "token_entropy", "script", "outer", "thin_outer", "digest")
     keep = [c for c in docs.columns if with_text or c != "text"]
 
     def rows(cols: dict[str, list]) -> dict[str, list]:
@@ -179,25 +183,25 @@ def measure(docs: DataFrame, vocabulary: str, bands: Bands = Bands(), most_words
             outer = per is not None and not (band.chars[0] <= per <= band.chars[1] and fallback <= band.fallback)
             entropy = float(-(p * np.log2(p)).sum()) + 0.0
             thin = per is not None and (per < band.thin_chars or entropy < band.thin_entropy - band.thin_slope / total**0.5)
-            row = (n, chars, int(by_byte[[ord(c) for c in _SYMBOLS]].sum()), duplicate_lines(text), repeat, n < 50 or 100 * repeat > 50 * n, total, per, fallback, entropy, script, outer, thin)
+            row = (n, chars, int(by_byte[[ord(c) for c in _SYMBOLS]].sum()), duplicate_lines(text), repeat, n < 50 or 100 * repeat > 50 * n, total, per, fallback, entropy, script, outer, thin, blake2b(text, digest_size=16).digest())
             for k, v in zip(names, row):
                 out[k].append(v)
         return {k: cols[k] for k in keep} | out
 
     kinds = ", ".join(f"`{k}` {docs.schema[k].dataType.simpleString()}" for k in keep)
-    schema = f"{kinds}, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, n_tokens long, chars_per_token double, fallback_share double, token_entropy double, script string, outer boolean, thin_outer boolean"
+    schema = f"{kinds}, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, n_tokens long, chars_per_token double, fallback_share double, token_entropy double, script string, outer boolean, thin_outer boolean, digest binary"
     return map_rows(docs.select(*[c for c in docs.columns if c != "text"], "text"), rows, schema, binary=("text",))
 
 
 def _usual(grouped: DataFrame, least: int) -> DataFrame:
-    """Per group and length of any row: mid and sd of each measure, rounded to 0.01, from exact quartiles of the base-passing rows.
+    """Per group and length of any row: mid and sd of each measure, rounded to 0.01, from exact quartiles of the base-passing texts.
 
-    They come from the first with at least `least` rows: the group's texts of that length (level 0), with those of the lengths
+    Copies count once. They come from the first with at least `least` texts: the group's texts of that length (level 0), with those of the lengths
     beside it (1), of all lengths (2); a group with none has no row. Beyond level 0 lengths are mixed: entropy grows with length
     as a - slope / sqrt(tokens) within a group, so it is taken with slope / sqrt(tokens) added; tokens_mid is the median length.
     """
     root = F.sqrt(F.greatest("n_tokens", F.lit(1)))
-    rows = grouped.filter("not base_failed").select("group", "length", "n_tokens", "chars_per_token", "token_entropy", root.alias("root"))
+    rows = grouped.filter("not base_failed").select("group", "digest", "length", "n_tokens", "chars_per_token", "token_entropy", root.alias("root")).dropDuplicates(["group", "digest"])
     fitted = F.round(F.coalesce(-F.regr_slope("token_entropy", 1 / F.col("root")), F.lit(0.0)), 1)
     slopes = stage(rows.groupBy("group").agg(F.greatest(F.lit(0.0), F.least(F.lit(64.0), fitted)).alias("slope")), "fertility-slopes")
     pool = lambda level, at: F.struct(F.lit(level).alias("level"), at.cast("int").alias("at"))
@@ -230,11 +234,12 @@ def fertility_rules(docs: DataFrame, vocabulary: str, bands: Bands = Bands(), wi
     tokens = F.greatest("n_tokens", F.lit(1))
     # of mixed lengths, shorter texts scatter more
     wider = F.greatest(F.lit(1.0), F.sqrt(F.col("tokens_mid") / tokens))
-    z = lambda m, value: F.least(F.coalesce((value - F.col(f"{m}_mid")) / (F.col(f"{m}_sd") * wider), F.lit(0.0)), F.lit(2.0))
-    deviation = z("chars_per_token", F.col("chars_per_token")) + z("token_entropy", F.col("token_entropy") + F.col("slope") / F.sqrt(tokens))
+    sd = lambda m, chance: F.greatest(F.col(f"{m}_sd") * wider, F.lit(chance) / F.sqrt(tokens))
+    z = lambda m, value, chance: F.least(F.coalesce((value - F.col(f"{m}_mid")) / sd(m, chance), F.lit(0.0)), F.lit(2.0))
+    deviation = z("chars_per_token", F.col("chars_per_token"), bands.chance_chars) + z("token_entropy", F.col("token_entropy") + F.col("slope") / F.sqrt(tokens), bands.chance_entropy)
     inside = F.when(F.col("token_entropy_mid").isNull(), ~F.col("thin_outer")).otherwise(F.col("deviation") >= -bands.spread)
     judged = joined.withColumn("deviation", deviation).withColumn("kept", ~F.col("base_failed") & ~F.col("outer") & inside)
-    return judged.drop("group", "length", "thin_outer", *[c for c in usual.columns if c not in ("group", "length")])
+    return judged.drop("group", "length", "thin_outer", "digest", *[c for c in usual.columns if c not in ("group", "length")])
 
 
 def keep_good(docs: DataFrame, vocabulary: str, bands: Bands = Bands()) -> DataFrame:

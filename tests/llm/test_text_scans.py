@@ -172,6 +172,20 @@ def test_fertility_thin_groups_face_all_measures(spark):
     assert all(g.kept for g in known if quality[g.doc_id] == 1)
 
 
+def test_fertility_copies_do_not_set_the_band(spark):
+    """Copies of one text, exact or nearly so, reject no clean document of its language and length."""
+    docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text", "lang").filter("lang = 'en'")
+    before = {g.doc_id: g for g in ft.fertility_rules(docs, PIECE).collect()}
+    one = max((g for g in before.values() if 512 <= g.n_tokens < 1024 and g.kept), key=lambda g: g.token_entropy + g.chars_per_token)
+    text = docs.filter(f"doc_id = {one.doc_id}").first().text
+    copies = [(-1 - i, text, "en") for i in range(600)]
+    near = [(-1 - i, text + " of" * (i % 3) + f" {i}", "en") for i in range(100)]
+    for more in copies, near:
+        after = {g.doc_id: g.kept for g in ft.fertility_rules(docs.unionByName(spark.createDataFrame(more, docs.schema)), PIECE).collect()}
+        lost = [i for i, g in before.items() if g.kept and not after[i]]
+        assert len(lost) <= (0 if more is copies else 0.01 * len(before)), (len(lost), len(before))
+
+
 def test_fertility_tokens_are_the_librarys(spark):
     import sentencepiece
 
