@@ -18,24 +18,28 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from flowloom.llm.bpe import byte_characters
-from flowloom.llm.common import shared_dir, small_batches, stage, table
-from flowloom.llm.range_coder import BLOCK, LANES, decode_ids, encode_ids
+from flowloom.llm.common import delete_at_exit, forget, shared_dir, small_batches, stage, table, worker_memo
+from flowloom.llm.range_coder import BLOCK, LANES, Prior, decode_ids, encode_ids
 
 #: Fixed value: the public pattern of the vocabulary's words.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"""
-MAGIC = b"TIDS\x01\0\0\0"
+MAGIC = b"TIDS\x02\0\0\0"
 CHUNK_IDS = BLOCK * LANES
+_HEAD = "<IIIIIQ"
 #: Up to so many chunks (of about 8 million ids each), the table of their places is broadcast; beyond, the join shuffles.
 BROADCAST_CHUNKS = 100_000
 
 
 def pack_chunk(doc_ids: list[int | None], counts: list[int], ids: np.ndarray) -> bytes:
-    """MAGIC; documents, blocks and ids per block (uint32); the ids in all (uint64); per document its id, if it is null, and its
-    count (int64, uint8, uint64); per block its bytes and the CRC-32 of its ids as uint32 (uint32 each); the blocks."""
-    blocks = encode_ids(ids)
+    """MAGIC; documents, blocks, ids per block, and the prior's bytes and CRC-32 (uint32); the ids in all (uint64); the prior, which
+    every block is reset to; per document its id, if it is null, and its count (int64, uint8, uint64); per block its bytes and the
+    CRC-32 of its ids as uint32 (uint32 each); the blocks."""
+    prior = Prior(ids)
+    first = prior.pack()
+    blocks = encode_ids(ids, BLOCK, prior)
     wide = ids.astype("<u4").tobytes()
     checks = [zlib.crc32(wide[4 * BLOCK * i : 4 * BLOCK * (i + 1)]) for i in range(len(blocks))]
-    head = MAGIC + struct.pack("<IIIQ", len(doc_ids), len(blocks), BLOCK, len(ids))
+    head = MAGIC + struct.pack(_HEAD, len(doc_ids), len(blocks), BLOCK, len(first), zlib.crc32(first), len(ids)) + first
     docs = np.array([d or 0 for d in doc_ids], "<i8").tobytes() + np.array([d is None for d in doc_ids], np.uint8).tobytes() + np.array(counts, "<u8").tobytes()
     return b"".join([head, docs, np.array([len(b) for b in blocks], "<u4").tobytes(), np.array(checks, "<u4").tobytes(), *blocks])
 
@@ -44,8 +48,10 @@ def unpack_chunk(data: bytes) -> tuple[list[int | None], np.ndarray, np.ndarray]
     """doc_ids, counts and ids (uint32). A block that does not match its CRC is an error."""
     if data[:8] != MAGIC:
         raise ValueError("not a token-id chunk")
-    n_docs, n_blocks, block, n_ids = struct.unpack_from("<IIIQ", data, 8)
-    at = 8 + struct.calcsize("<IIIQ")
+    n_docs, n_blocks, block, n_first, check, n_ids = struct.unpack_from(_HEAD, data, 8)
+    at = 8 + struct.calcsize(_HEAD) + n_first
+    if zlib.crc32(first := data[at - n_first : at]) != check:
+        raise ValueError("the prior is damaged")
 
     def column(kind: str, n: int) -> np.ndarray:
         nonlocal at
@@ -57,7 +63,7 @@ def unpack_chunk(data: bytes) -> tuple[list[int | None], np.ndarray, np.ndarray]
     sizes, checks = column("<u4", n_blocks), column("<u4", n_blocks)
     ends = at + np.cumsum(sizes, dtype=np.int64)
     blocks = [data[e - n : e] for e, n in zip(ends.tolist(), sizes.tolist())]
-    ids = decode_ids(blocks, n_ids, block).astype("<u4")
+    ids = decode_ids(blocks, n_ids, block, Prior.unpack(first)).astype("<u4")
     wide = ids.tobytes()
     for i, c in enumerate(checks.tolist()):
         if zlib.crc32(wide[4 * block * i : 4 * block * (i + 1)]) != c:
@@ -66,7 +72,7 @@ def unpack_chunk(data: bytes) -> tuple[list[int | None], np.ndarray, np.ndarray]
 
 
 class _Words(dict):
-    """Word between ASCII spaces: its ids, packed as uint16, from the tokenizers library."""
+    """Word between ASCII spaces: its ids, packed as uint16, from the tokenizers library. size: bytes of memory, about."""
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
@@ -78,6 +84,7 @@ class _Words(dict):
         self.model = self.library.model
         self.pattern = regex.compile(PATTERN)
         self.characters = {b: c for c, b in byte_characters().items()}
+        self.size = 0
 
     def __missing__(self, word: bytes) -> bytes:
         if word[-1] in b".,;:!?" and word[:-1].isalpha():  # a sign after ASCII letters is a word of the pattern for itself
@@ -87,6 +94,7 @@ class _Words(dict):
         else:
             out = self._other(word.decode())
         self[word] = out
+        self.size += len(word) + len(out) + 160
         return out
 
     def _other(self, text: str) -> bytes:
@@ -110,18 +118,14 @@ class _Words(dict):
         raise ValueError("ids from 65536 on are not supported")
 
 
-_WORDS: dict[str, _Words] = {}
-
-
-def tokenise(text: bytes, vocabulary: str, most_words: int = 1_200_000) -> bytes:
+def tokenise(text: bytes, vocabulary: str, most_bytes: int = 160 << 20) -> bytes:
     """Packed ids (uint16) of a text under a vocabulary that drops white space and case: no normaliser or pattern of it looks
-    across a space, so each word between spaces is encoded for itself, and remembered by the worker. ASCII letters are made small
-    first (but where a special string may stand), so that fewer words differ."""
-    if vocabulary not in _WORDS:
-        _WORDS[vocabulary] = _Words(vocabulary)
-    words = _WORDS[vocabulary]
-    if len(words) > most_words:
+    across a space, so each word between spaces is encoded for itself, and remembered by the worker, in most_bytes and what one
+    text adds. ASCII letters are made small first (but where a special string may stand), so that fewer words differ."""
+    words = worker_memo(("token files", vocabulary), lambda: _Words(vocabulary))
+    if words.size > most_bytes:
         words.clear()
+        words.size = 0
     return b"".join(map(words.__getitem__, (text if b"<|" in text else text.lower()).split()))
 
 
@@ -170,6 +174,7 @@ def read_token_files(spark: SparkSession, path: str) -> DataFrame:
     small_batches(spark, 500)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget()
         for batch in batches:
             for part, chunk, payload in zip(*(batch.column(i).to_pylist() for i in range(3))):
                 doc_ids, counts, ids = unpack_chunk(payload)
@@ -199,6 +204,7 @@ def op8_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
     path = f"{shared_dir(spark)}/token-files-{uuid.uuid4().hex}"
+    delete_at_exit(spark, path)
     write_token_files(table(spark, sf_dir, "documents"), path, public_tokenizers.path("word_bpe_49k.json"))
     got = read_token_files(spark, path)
     return got.select("doc_id", "start", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), F.crc32("ids").alias("ids_crc32"))

@@ -102,6 +102,30 @@ def test_range_coder_many_blocks(monkeypatch):
         rc.encode_ids(np.array([65536]))
 
 
+def test_range_coder_beats_order_0_and_zlib(spark):
+    tok = Tokenizer.from_file(WORD)
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").orderBy("doc_id").collect()
+    ids = np.array([i for e in tok.encode_batch([r.text or "" for r in docs], add_special_tokens=False) for i in [*e.ids, 2]], np.uint16)
+    prior = rc.Prior(ids)
+    blocks = rc.encode_ids(ids, rc.BLOCK, prior)
+    assert (rc.decode_ids(blocks, len(ids), rc.BLOCK, rc.Prior.unpack(prior.pack())) == ids).all()
+    bits = 8 * (sum(map(len, blocks)) + len(prior.pack())) / len(ids)
+    share = np.bincount(ids) / len(ids)
+    share = share[share > 0]
+    assert bits < -(share * np.log2(share)).sum() < 8 * len(zlib.compress(ids.tobytes(), 9)) / len(ids)
+
+
+@settings(max_examples=40, deadline=None)
+@given(st.lists(st.integers(0, 65535) | st.integers(0, 5), max_size=300))
+def test_priors_round_trip(ids):
+    ids = np.array(ids, np.uint16)
+    prior = rc.Prior(ids)
+    again = rc.Prior.unpack(prior.pack())
+    assert prior.share.sum() == 1 << 16 and (again.share == prior.share).all() and (prior.share[ids] > 0).all()
+    assert (rc.decode_ids(rc.encode_ids(ids, 50, prior), len(ids), 50, again) == ids).all()
+    assert rc.Prior(np.arange(1 << 16)).share.tolist() == [1] * (1 << 16)
+
+
 def test_damage_is_found():
     data = tf.pack_chunk([3, None], [2, 3], np.array([1, 2, 3, 4, 5], "<u2"))
     docs, counts, ids = tf.unpack_chunk(data)
