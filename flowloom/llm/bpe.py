@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from flowloom.llm.common import map_rows, release, small_batches, stage, table
+from flowloom.llm.common import forget, map_rows, release, small_batches, stage, table, worker_memo
 
 #: Fixed value: the public pattern that cuts a text before the merges.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
@@ -330,27 +330,39 @@ def _letters(word: str) -> bool:
 
 
 class _Memo(dict):
-    """Word (lead + key): packed ids. Unknown words are queued; of letters and one sign, the letters: each is a piece."""
+    """Word (lead + key): packed ids. Unknown words are queued; of letters and one sign, the letters: each is a piece.
+
+    size: bytes of memory, about.
+    """
 
     def __init__(self, lead: str, signs: dict[str, bytes]):
         super().__init__()
-        self.lead, self.signs, self.queue = lead, signs, {}
+        self.lead, self.signs, self.queue, self.size = lead, signs, {}, 0
 
     def __missing__(self, word: str) -> bytes:
         if word[-1] in _SIGNS and _letters(word[:-1]):
             if (ids := self.get(word[:-1])) is not None:
-                self[word] = ids = ids + self.signs[word[-1]]
+                ids = ids + self.signs[word[-1]]
+                self.learn(word, ids)
                 return ids
             word = word[:-1]
         self.queue[word] = None
         return b""
 
+    def learn(self, word: str, ids: bytes) -> None:
+        self[word] = ids
+        self.size += len(word) + len(ids) + 200
+
+    def forget(self) -> None:
+        self.clear()
+        self.size = 0
+
 
 class Encoder:
-    """Encodes whole texts. most_words: words a worker remembers between batches."""
+    """Encodes whole texts. most_bytes: of the words that a worker remembers between batches."""
 
-    def __init__(self, vocabulary: Vocabulary, lexicon: Lexicon | None = None, most_words: int = 600_000):
-        self.v, self.lexicon, self.most = vocabulary, lexicon, most_words
+    def __init__(self, vocabulary: Vocabulary, lexicon: Lexicon | None = None, most_bytes: int = 128 << 20):
+        self.v, self.lexicon, self.most = vocabulary, lexicon, most_bytes
         signs = dict(zip(_SIGNS, vocabulary.encode_words(list(_SIGNS))))
         self.inner, self.outer = _Memo(" ", signs), _Memo("", signs)
         self.newline = vocabulary.encode_words(["\n"])[0]
@@ -361,7 +373,8 @@ class Encoder:
         rest = [i for i, x in enumerate(found) if x is None]
         for i, ids in zip(rest, self.v.encode_words([words[i] for i in rest])):
             found[i] = ids
-        memo.update(zip(memo.queue, found))
+        for word, ids in zip(memo.queue, found):
+            memo.learn(word, ids)
         memo.queue = {}
 
     @staticmethod
@@ -374,9 +387,9 @@ class Encoder:
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Where spaces and line breaks stand alone, no piece of the pattern goes across one but a space at a word's head."""
-        if len(self.inner) + len(self.outer) > self.most:
-            self.inner.clear()
-            self.outer.clear()
+        if self.inner.size + self.outer.size > self.most:
+            self.inner.forget()
+            self.outer.forget()
         plain = [self.lines(t) for t in texts]
         whole = [i for i, (t, p) in enumerate(zip(texts, plain)) if p is None and t]
         out = [b""] * len(texts)
@@ -403,6 +416,7 @@ def frequent_words(docs: DataFrame, keep: int = 65_536) -> list[str]:
     small_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget()
         n: Counter = Counter()
         for batch in batches:
             for text in batch.column(0).to_pylist():
@@ -446,10 +460,6 @@ def share_file(spark: SparkSession, lexicon: Lexicon) -> str:
     return name
 
 
-#: Of the worker, by vocabulary and lexicon: what it has learned stays from task to task.
-_ENCODERS: dict[tuple[str, str | None], Encoder] = {}
-
-
 def encode_documents(docs: DataFrame, vocabulary: str, lexicon: Lexicon | None = None, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """The columns of keep; ids, packed as little-endian uint32; decoded, the text that the ids stand for.
 
@@ -460,17 +470,17 @@ def encode_documents(docs: DataFrame, vocabulary: str, lexicon: Lexicon | None =
     name = share_file(docs.sparkSession, lexicon) if lexicon else None
 
     def rows(cols: dict[str, list]) -> dict[str, list]:
-        e = _ENCODERS.get((vocabulary, name))
-        if e is None:
+        def make() -> Encoder:
             from pyspark import SparkFiles
 
-            _ENCODERS.clear()
-            e = _ENCODERS[vocabulary, name] = Encoder(Vocabulary(vocabulary), Lexicon.load(SparkFiles.get(name)) if name else None)
+            return Encoder(Vocabulary(vocabulary), Lexicon.load(SparkFiles.get(name)) if name else None)
+
+        e = worker_memo(("bpe", vocabulary, name), make)
         ids = e.encode([t or "" for t in cols["text"]])
         return {k: cols[k] for k in keep} | {"ids": ids, "decoded": [e.v.decode(x) for x in ids]}
 
     kinds = ", ".join(f"`{k}` {docs.schema[k].dataType.simpleString()}" for k in keep)
-    return map_rows(docs.select(*keep, "text"), rows, f"{kinds}, ids binary, decoded string")
+    return map_rows(docs.select(*keep, "text"), rows, f"{kinds}, ids binary, decoded string", memo=True)
 
 
 def bpe_encode(docs: DataFrame, vocabulary: str, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:

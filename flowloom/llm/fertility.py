@@ -13,7 +13,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from flowloom.llm.common import map_rows, stage, table
+from flowloom.llm.common import map_rows, stage, table, worker_memo
 from flowloom.llm.simhash import space_pieces
 
 _SPACES = " \t\n\v\f\r"
@@ -73,7 +73,7 @@ for _lo, _hi, _s in ((0x41, 0x5A, 0), (0x61, 0x7A, 0), (0xC3, 0xC9, 0), (0xCD, 0
 
 
 class Words(dict):
-    """Word: number. New words are queued; tokenise() gives them their tokens."""
+    """Word: number. New words are queued; tokenise() gives them their tokens. size: bytes of memory, about."""
 
     def __init__(self, model):
         super().__init__()
@@ -84,11 +84,13 @@ class Words(dict):
     def clear_all(self) -> None:
         self.clear()
         self.queue.clear()
+        self.size = 0
         self.flat, self.start, self.count, self.bytes_ = np.zeros(0, np.int32), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64)
 
     def __missing__(self, word: bytes) -> int:
         self[word] = n = len(self)
         self.queue.append(word.decode())
+        self.size += 2 * len(word) + 200
         return n
 
     def tokenise(self) -> None:
@@ -110,10 +112,6 @@ class Words(dict):
         return self.flat[np.repeat(self.start[idx] - ends + n, n) + np.arange(n.sum())]
 
 
-#: Of the worker, by vocabulary: words stay known from task to task.
-_WORDS: dict[str, Words] = {}
-
-
 def repeated_words(idx: np.ndarray, width: int = 3) -> int:
     """Positions within windows of `width` words that are found twice or more, first places included."""
     n = len(idx) - width + 1
@@ -145,24 +143,25 @@ def duplicate_lines(text: bytes) -> int:
     return len(lines) - len(set(lines))
 
 
-def measure(docs: DataFrame, vocabulary: str, bands: Bands = Bands(), most_words: int = 300_000, with_text: bool = False) -> DataFrame:
+def measure(docs: DataFrame, vocabulary: str, bands: Bands = Bands(), most_bytes: int = 96 << 20, with_text: bool = False) -> DataFrame:
     """Per document: the other columns of docs (and its text, if asked for), the base rule's numbers, and what the method measures:
     n_tokens, chars_per_token (null without words), fallback_share, token_entropy (bits), script, outer (outside its band), thin_outer (outside the fixed band of thin languages), digest (of the text).
 
-    vocabulary: path of a sentencepiece model with byte fallback. most_words: words whose tokens a worker keeps between documents.
+    vocabulary: path of a sentencepiece model with byte fallback. most_bytes: of words whose tokens a worker keeps between batches.
     """
     names = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "n_tokens", "chars_per_token", "fallback_share", "token_entropy", "script", "outer", "thin_outer", "digest")
     keep = [c for c in docs.columns if with_text or c != "text"]
 
     def rows(cols: dict[str, list]) -> dict[str, list]:
-        if vocabulary not in _WORDS:
+        def make() -> Words:
             import sentencepiece
 
-            _WORDS[vocabulary] = Words(sentencepiece.SentencePieceProcessor(model_file=vocabulary))
-        words = _WORDS[vocabulary]
+            return Words(sentencepiece.SentencePieceProcessor(model_file=vocabulary))
+
+        words = worker_memo(("fertility", vocabulary), make)
         out: dict[str, list] = {k: [] for k in names}
         idxs = []
-        if len(words) > most_words:
+        if words.size > most_bytes:
             words.clear_all()
         for text in cols["text"]:
             idxs.append(np.concatenate([np.fromiter(map(words.__getitem__, w), np.int32, len(w)) for w in space_pieces(text or b"")] or [np.zeros(0, np.int32)]))
@@ -190,7 +189,7 @@ def measure(docs: DataFrame, vocabulary: str, bands: Bands = Bands(), most_words
 
     kinds = ", ".join(f"`{k}` {docs.schema[k].dataType.simpleString()}" for k in keep)
     schema = f"{kinds}, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, n_tokens long, chars_per_token double, fallback_share double, token_entropy double, script string, outer boolean, thin_outer boolean, digest binary"
-    return map_rows(docs.select(*[c for c in docs.columns if c != "text"], "text"), rows, schema, binary=("text",))
+    return map_rows(docs.select(*[c for c in docs.columns if c != "text"], "text"), rows, schema, binary=("text",), memo=True)
 
 
 def _usual(grouped: DataFrame, least: int) -> DataFrame:

@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from flowloom.llm.common import map_rows, release, small_batches, stage, table
+from flowloom.llm.common import forget, release, small_batches, stage, table
 
 WIDTH = 400
 #: A passage of 51 words is longer than this in the languages here, so that this width finds passages of over 50 words.
@@ -119,6 +119,7 @@ def anchors(texts: DataFrame, widths: tuple[int, ...]) -> DataFrame:
     small_batches(texts.sparkSession, 500)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget()
         for batch in batches:
             of, first, count, offset, size, g, names = anchor_runs(batch.column(1).cast(pa.binary()).to_pylist(), min(widths), max(widths))
             small = [pa.array(x.astype(np.int32)) for x in (count, offset, size)]
@@ -287,6 +288,7 @@ class SuffixFamily:
         widths, reach = self.widths, min(self.widths) - gram(min(self.widths)) + 1
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            forget()
             for batch in batches:
                 hits = _unpacked(batch.column(1), len(widths), reach)
                 edge = np.diff(np.pad(hits.astype(np.int8), ((0, 0), (0, 0), (1, 1))), axis=2)
@@ -340,6 +342,7 @@ class SuffixFamily:
                 yield whole.slice(a, 4096)
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            forget()
             at, tags = None, {}
             for batch in batches:
                 keys = np.stack([batch.column(i).to_numpy() for i in (0, 1)], axis=1)
@@ -386,6 +389,7 @@ def _contexts(texts: DataFrame, classes: DataFrame, widths: tuple[int, ...], bat
     small_batches(texts.sparkSession, 500)
 
     def run(batches_: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget()
         last = None
         for batch in batches_:
             begin, (ids, g, n, first, count, offset, size) = _lists(batch.column(2), "id", "g", "n", "first", "count", "offset", "size")
@@ -515,6 +519,7 @@ def remove_repeats(docs: DataFrame, width: int = WIDTH, keep: tuple[str, ...] =
     kinds = "".join(f"`{k}` {docs.schema[k].dataType.simpleString()}, " for k in keep)
 
     def run(batches_: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget()
         for batch in batches_:
             begin, (j, first, count) = _lists(batch.column(len(keep) + 1), "j", "first", "count")
             j, first, count = j.to_numpy(), first.to_numpy(), count.to_numpy()
