@@ -1,21 +1,23 @@
 """Exact top-k by inner product: a pivot-distance index, annuli around pivots, and triangle-inequality bounds.
 
 With one more coordinate that makes all vectors as long as the longest one, the largest inner product is the least distance to
-the query. Vectors are keyed by their nearest pivot and the annulus of their distance to it. A query first searches the annulus
-it would itself lie in, and then exactly those others whose distance bound can still beat its k-th score so far.
+the query. Vectors are keyed by their nearest pivot and the annulus of their distance to it, and lie by that distance. A query
+takes annuli in the order of their bounds, in rounds; its k-th score so far stops it before those that cannot beat it, and within
+an annulus leaves out the distances from which no vector can.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Accumulator
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from flowloom.llm.common import release, small_batches, stage, table
+from flowloom.llm.common import forget, release, small_batches, stage, table
 
 #: Doubles hold products and sums exactly up to here.
 _EXACT = float(1 << 53)
@@ -82,69 +84,80 @@ def _products(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return (a.astype(float) @ b.T.astype(float)).astype(np.int64) if top < _EXACT else a @ b.T
 
 
-def _search(rows: DataFrame, dim: int, k: int) -> DataFrame:
-    """rows: pivot, ring, part, is_query, id, v, least (of a query: no score below counts). Within each (pivot, ring, part), whose
-    vectors come before its queries, each query's k best of the block: query_id, vec_id, score. Queries pass as a stream."""
+def _search(rows: DataFrame, dim: int, k: int, reach: Callable[[np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray]], scored: Accumulator | None) -> DataFrame:
+    """rows: block, part, is_query, dist (to the block's pivot), id, v, least (of a query: no score below counts). Within each (block,
+    part), whose vectors come before its queries and lie by distance, each query's k best: query_id, vec_id, score. Queries pass as
+    a stream, in tiles of like distance; a tile is multiplied with the vectors within reach of one of its queries."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        at, ids, vectors, ready = None, [], [], None
+        forget()
+        at, held, ready, pairs = None, [], None, 0
         for batch in batches:
-            keys = np.stack([batch.column(i).to_numpy(zero_copy_only=False).astype(np.int64) for i in range(4)], axis=1)
+            keys = np.stack([batch.column(i).to_numpy(zero_copy_only=False).astype(np.int64) for i in range(3)], axis=1)
             cuts = [0, *(np.flatnonzero((keys[1:] != keys[:-1]).any(axis=1)) + 1).tolist(), len(keys)]
             got: list[list[np.ndarray]] = [[], [], []]
             for a, b in zip(cuts, cuts[1:]):
                 if a == b:
                     continue
-                key, is_query = tuple(keys[a, :3].tolist()), keys[a, 3]
+                key, is_query = tuple(keys[a, :2].tolist()), keys[a, 2]
                 if key != at:
-                    at, ids, vectors, ready = key, [], [], None
+                    at, held, ready = key, [], None
                 part = batch.slice(a, b - a)
-                own, m = part.column(4).to_numpy(), _matrix(part.column(5), dim)
+                own = (part.column(3).to_numpy(), part.column(4).to_numpy(), _matrix(part.column(5), dim))
                 if not is_query:
-                    ids.append(own)
-                    vectors.append(m)
+                    held.append(own)
                     continue
                 if ready is None:
-                    ready = (np.concatenate(ids), np.concatenate(vectors)) if ids else (np.zeros(0, np.int64), np.zeros((0, dim), np.int64))
-                    order = np.argsort(ready[0], kind="stable")
-                    ready = (ready[0][order], ready[1][order])
+                    ready = [np.concatenate(x) for x in zip(*held)] if held else [np.zeros(0), np.zeros(0, np.int64), np.zeros((0, dim), np.int64)]
+                dist, ids, vectors = ready
                 least = part.column(6).to_numpy()
-                for c in range(0, len(own), 256):
-                    score = _products(m[c : c + 256], ready[1])
-                    fit = (score >= least[c : c + 256, None]) & (ready[0] != own[c : c + 256, None])
+                nearest, farthest = reach(own, least)
+                first, last = np.searchsorted(dist, nearest, "left"), np.searchsorted(dist, farthest, "right")
+                for c in range(0, len(own[1]), 256):
+                    lo, hi = int(first[c : c + 256].min()), int(last[c : c + 256].max())
+                    if lo >= hi:
+                        continue
+                    score = _products(own[2][c : c + 256], vectors[lo:hi])
+                    pairs += score.size
+                    fit = (score >= least[c : c + 256, None]) & (ids[lo:hi] != own[1][c : c + 256, None])
                     for i in np.flatnonzero(fit.any(axis=1)):
                         there = np.flatnonzero(fit[i])
-                        if len(there) > k:  # vectors lie by id, so that a stable sort leaves ties to the smaller one
-                            there = there[np.argsort(-score[i, there], kind="stable")[:k]]
-                        got[0].append(np.full(len(there), own[c + i]))
-                        got[1].append(ready[0][there])
+                        if len(there) > k:
+                            there = there[np.lexsort((ids[lo + there], -score[i, there]))[:k]]
+                        got[0].append(np.full(len(there), own[1][c + i]))
+                        got[1].append(ids[lo + there])
                         got[2].append(score[i, there])
             if got[0]:
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in got], names=["query_id", "vec_id", "score"])
+        if scored is not None:
+            scored.add(pairs)
 
-    sorted_ = rows.repartition("pivot", "ring", "part").sortWithinPartitions("pivot", "ring", "part", "is_query", "id")
-    return sorted_.select("pivot", "ring", "part", "is_query", "id", "v", "least").mapInArrow(run, "query_id long, vec_id long, score long")
+    dealt = rows.repartition("block", "part").sortWithinPartitions("block", "part", "is_query", "dist", "id")
+    return dealt.select("block", "part", "is_query", "dist", "id", "v", "least").mapInArrow(run, "query_id long, vec_id long, score long")
 
 
-def top_k(vectors: DataFrame, queries: DataFrame, k: int = 5, n_pivots: int = 64, rings: int = 8, sample_rows: int = 20_000, block_rows: int = 4096, seed: int = 1) -> DataFrame:
+def top_k(vectors: DataFrame, queries: DataFrame, k: int = 5, n_pivots: int = 64, most_blocks: int = 4096, sample_rows: int = 20_000, block_rows: int = 4096, seed: int = 1, scored: Accumulator | None = None) -> DataFrame:
     """query_id, rank, vec_id, score: each query's k highest inner products among all vectors of another id; ties to smaller ids.
 
-    vectors and queries: vec_id and v (integers), as quantise() gives them. Repeated vectors count as rows of their own, a query
-    given twice is answered once, by the best of its vectors. Fewer than k others: all. No vectors or no queries: none.
-    sample_rows: rows that pivots and annuli are fitted on, the ones with the least hashes; every vector is indexed. block_rows:
-    an annulus with more is cut into parts.
+    vectors and queries: vec_id and v (integers), as quantise() gives them; other columns are left out. Repeated vectors count as
+    rows of their own, a query given twice is answered once, by the best of its vectors. Fewer than k others: all. No vectors or no
+    queries: none. sample_rows: rows that pivots and annuli are fitted on, the ones with the least hashes; every vector is indexed.
+    block_rows: vectors of an annulus, on average, until there are most_blocks of them; beyond, an annulus is cut into parts.
+    A query takes its annuli in the order of their bounds: the best one, then 4 more, 16 more and so on, and after each round those
+    go whose bound is under its k-th score so far. scored: gets the number of products that were worked out.
     """
     spark = vectors.sparkSession
     small_batches(spark)
-    held = stage(vectors, "topk-vectors")
+    held = stage(vectors.select("vec_id", "v"), "topk-vectors")
     facts = held.agg(F.max(F.aggregate("v", F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double"))).alias("norm"), F.max(F.size("v")).alias("dim"), F.count(F.lit(1)).alias("n")).first()
-    dim = int(facts.dim or 0)
+    dim, wanted = int(facts.dim or 0), min(most_blocks, -(-facts.n // block_rows))
     few = held.select("v").orderBy(F.xxhash64(F.lit(seed), "vec_id")).limit(sample_rows)
     sample = [r.v for r in few.collect()]
     matrix = np.zeros((len(sample), dim), np.int64)
     for i, v in enumerate(sample):
         matrix[i, : len(v)] = v
-    index = Pivots(matrix, float(facts.norm or 0.0), n_pivots, rings)
+    n_pivots = max(1, min(n_pivots, wanted))
+    index = Pivots(matrix, float(facts.norm or 0.0), n_pivots, max(1, -(-wanted // n_pivots)))
     slack = 1e-6 * (1.0 + index.norm)
 
     def keyed(df: DataFrame) -> DataFrame:
@@ -160,51 +173,67 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 5, n_pivots: int = 64
 
     placed = stage(keyed(held), "topk-placed")
     release(held)
-    # at most n_pivots * rings rows
-    annuli = placed.groupBy("pivot", "ring").agg(F.min("dist").alias("inner"), F.max("dist").alias("outer"), F.count(F.lit(1)).alias("n")).withColumn("parts", F.ceil(F.col("n") / block_rows).cast("int")).collect()
+    # at most n_pivots more than most_blocks rows
+    annuli = placed.groupBy("pivot", "ring").agg(F.min("dist").alias("inner"), F.max("dist").alias("outer"), F.count(F.lit(1)).alias("n")).orderBy("pivot", "ring").withColumn("parts", F.ceil(F.col("n") / (4 * block_rows)).cast("int")).collect()
     if not annuli:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score long")
-    table_ = spark.createDataFrame([(r.pivot, r.ring, r.parts) for r in annuli], "pivot int, ring int, parts int")
-    blocks = placed.join(F.broadcast(table_), ["pivot", "ring"]).select("pivot", "ring", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int").alias("part"), F.lit(0).alias("is_query"), "id", "v", F.lit(0).cast("long").alias("least"))
+    pivot, ring, parts = (np.array([r[x] for r in annuli]) for x in ("pivot", "ring", "parts"))
+    inner, outer = (np.array([r[x] for r in annuli]) for x in ("inner", "outer"))
+    table_ = spark.createDataFrame([(r.pivot, r.ring, i, r.parts) for i, r in enumerate(annuli)], "pivot int, ring int, block int, parts int")
+    blocks = placed.join(F.broadcast(table_), ["pivot", "ring"]).select("block", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int").alias("part"), F.lit(0).alias("is_query"), "dist", "id", "v", F.lit(0).cast("long").alias("least"))
 
-    def routed(df: DataFrame, first: bool) -> DataFrame:
-        """A row per query and block to search: first one near the query; then all whose bound can beat `least` but that one."""
-        pivot, ring, parts = (np.array([r[x] for r in annuli]) for x in ("pivot", "ring", "parts"))
-        inner, outer = (np.array([r[x] for r in annuli]) for x in ("inner", "outer"))
+    def lifted(m: np.ndarray) -> np.ndarray:
+        """A query has its own squared length; in the lifted space its further coordinate is 0."""
+        return np.hstack([m.astype(float), np.zeros((len(m), 1))])
+
+    def reach(own: tuple[np.ndarray, ...], least: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Distances to the pivot between which a vector has to lie to score `least`: |query - vector| bounds the score."""
+        dist, _, m = own
+        room = (m.astype(float) ** 2).sum(axis=1) + index.norm + 2 * slack - 2 * least.astype(float)
+        apart = np.sqrt(np.maximum(0.0, room)) + 1e-6 * (1 + dist)
+        return np.where(room < 0, 1.0, dist - apart), np.where(room < 0, 0.0, dist + apart)
+
+    def routed(df: DataFrame, begin: int, end: int) -> DataFrame:
+        """A row per query and annulus from the begin-th to before the end-th by bound, where the bound can still beat `least`."""
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 if not len(batch):
                     continue
-                m = _matrix(batch.column(1), dim)
-                # the query has its own squared length; in the lifted space its further coordinate is 0
-                lifted = np.hstack([m.astype(float), np.zeros((len(m), 1))])
-                d = index.distances(lifted)[:, pivot]
+                rows = lifted(_matrix(batch.column(1), dim))
+                d = index.distances(rows)[:, pivot]
                 apart = np.maximum(0.0, np.maximum(inner - d, d - outer))
-                best = ((lifted**2).sum(axis=1)[:, None] + index.norm - np.maximum(0.0, apart - 1e-7 * (1 + d)) ** 2) / 2 + slack
-                if first:
-                    to = best.argmax(axis=1)[:, None] == np.arange(len(annuli))
-                else:
-                    to = best >= batch.column(2).to_numpy()[:, None].astype(float)
-                q, a = np.nonzero(to)
-                least = batch.column(2).take(pa.array(q))
-                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(q)), batch.column(1).take(pa.array(q)), least, pa.array(pivot[a].astype(np.int32)), pa.array(ring[a].astype(np.int32)), pa.array(parts[a].astype(np.int32))], names=["id", "v", "least", "pivot", "ring", "parts"])
-
-        went = df.select(F.col("id").cast("long"), "v", "least").mapInArrow(run, "id long, v array<long>, least long, pivot int, ring int, parts int")
-        part = F.array(F.pmod(F.xxhash64("id"), F.col("parts")).cast("int")) if first else F.sequence(F.lit(0), F.col("parts") - 1)
-        return went.select("pivot", "ring", F.explode(part).alias("part"), F.lit(1).alias("is_query"), "id", "v", "least")
+                best = ((rows**2).sum(axis=1)[:, None] + index.norm - np.maximum(0.0, apart - 1e-7 * (1 + d)) ** 2) / 2 + slack
+                order = np.argsort(-best, axis=1, kind="stable")[:, begin:end]
+                q, c = np.nonzero(np.take_along_axis(best, order, axis=1) >= batch.column(2).to_numpy()[:, None].astype(float))
+                a = order[q, c]
+                cols = [batch.column(i).take(pa.array(q)) for i in range(3)]
+                yield pa.RecordBatch.from_arrays([*cols, pa.array(a.astype(np.int32)), pa.array(d[q, a]), pa.array(parts[a].astype(np.int32))], names=["id", "v", "least", "block", "dist", "parts"])
+
+        went = df.select("id", "v", "least").mapInArrow(run, "id long, v array<long>, least long, block int, dist double, parts int")
+        return went.select("block", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.lit(1).alias("is_query"), "dist", "id", "v", "least")
 
     asked = stage(queries.select(F.col("vec_id").cast("long").alias("id"), "v").distinct(), "topk-queries")
-    lowest = F.lit(-(1 << 62)).cast("long")
-    start = _search(blocks.unionByName(routed(asked.withColumn("least", lowest), True)), dim, k)
+    # with a query's vectors of one id apart, its k-th score is no bound for each of them
+    repeated = asked.groupBy("id").agg(F.count(F.lit(1)).alias("times"))
+    open_ = asked.join(repeated, "id").select("id", "v", "times", F.lit(-(1 << 62)).cast("long").alias("least"))
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    # with a query's vectors of one id apart, the least of their k-th scores is a bound for each
-    kth = stage(start.withColumn("r", F.row_number().over(order)).filter(F.col("r") == k).select(F.col("query_id").alias("id"), F.col("score").alias("least")), "topk-bounds")
-    repeated = asked.groupBy("id").agg(F.count(F.lit(1)).alias("n"))
-    bounds = kth.join(repeated.filter("n = 1"), "id").select("id", "least")
-    second = asked.join(bounds, "id", "left").withColumn("least", F.coalesce("least", lowest))
-    found = _search(blocks.unionByName(routed(second, False)), dim, k)
-    return found.withColumn("rank", F.row_number().over(order).cast("int")).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    best: DataFrame | None = None
+    begin, step = 0, 1
+    while begin < len(annuli):
+        found = _search(blocks.unionByName(routed(open_, begin, begin + step)), dim, k, reach, scored)
+        found = found if best is None else found.unionByName(best)
+        begin, step = begin + step, step * 4
+        now = stage(found.withColumn("rank", F.row_number().over(order).cast("int")).filter(F.col("rank") <= k), "topk-best")
+        if best is not None:
+            release(best._kept)
+        best = now.drop("rank")
+        best._kept = now
+        if begin < len(annuli):
+            kth = now.filter(F.col("rank") == k).select(F.col("query_id").alias("id"), F.col("score").alias("kth"))
+            known = F.when(F.col("times") == 1, F.col("kth"))
+            open_ = asked.join(repeated, "id").join(kth, "id", "left").select("id", "v", "times", F.coalesce(known, F.lit(-(1 << 62))).cast("long").alias("least"))
+    return best._kept.select("query_id", "rank", "vec_id", "score")
 
 
 def op6_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,9 +1,13 @@
+from collections import Counter
+
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from flowloom.llm import topk
 from flowloom.llm.common import stage
+from flowloom.llm.suffix_dedup import PASSAGE
 from tests.llm.test_near_and_exact_copies import slow_components, slow_fingerprint, slow_removal
 
 SF = "/root/testdata/sf0.001"
@@ -41,14 +45,25 @@ def test_top_k_small_tables(spark):
     assert topk.top_k(one, none).count() == 0
 
 
-def test_search_skips_blocks(spark):
-    """Far clusters are not searched: the bound keeps a query's rows at few blocks."""
+@pytest.mark.parametrize("spread, most", [(0.05, 0.25), (4.0, 1.05)])
+def test_search_skips_what_cannot_win(spark, spread, most):
+    """Of clusters, few products are worked out; of vectors without any, each pair at most once."""
     r = np.random.default_rng(1)
-    centres = np.eye(16) * 4
-    data = np.vstack([c + r.normal(size=(200, 16)) * 0.05 for c in centres])
-    index = topk.Pivots((data * 256).astype(np.int64), float(((data * 256) ** 2).sum(axis=1).max()), 16, 4)
-    near, dist = index.nearest(index.lift((data * 256).astype(np.int64)))
-    assert len(set(near.tolist())) == 16 and (index.ring(near, dist) < 4).all()
+    data = np.vstack([c + r.normal(size=(100, 16)) * spread for c in np.eye(16) * 4])
+    rows = [(i, [float(np.float32(x)) for x in v]) for i, v in enumerate(data)]
+    df = topk.quantise(spark.createDataFrame([(i, v, "x") for i, v in rows], VECTORS))
+    scored = spark.sparkContext.accumulator(0)
+    got = topk.top_k(df, df.filter("vec_id % 50 = 0"), block_rows=25, n_pivots=16, scored=scored)
+    assert sorted(map(tuple, got.collect())) == slow_top(rows, 5)
+    assert 0 < scored.value <= most * len(rows) * len(rows) / 50
+
+
+def test_top_k_ignores_other_columns(spark):
+    rows = [(i, [float(i % 7), 1.0], i, i, "x") for i in range(60)]
+    df = topk.quantise(spark.createDataFrame([(i, v) for i, v, *_ in rows], "vec_id long, embedding array<float>"))
+    clash = df.withColumn("block", F.lit(1)).withColumn("part", F.lit("x")).withColumn("score", F.lit(0)).withColumn("id", F.lit(9))
+    got = topk.top_k(clash, clash.filter("vec_id % 50 = 0"))
+    assert sorted(map(tuple, got.collect())) == slow_top([r[:2] for r in rows], 5)
 
 
 def test_pipeline_stages(spark):
@@ -73,9 +88,13 @@ def test_pipeline_stages(spark):
     # repeated strings: what the bytes rule leaves, but for cut characters
     _, before, after = kept[2]
     rows = before.collect()
-    want = {r.doc_id: x for r, x in zip(rows, slow_removal([r.text.encode() for r in rows], 400))}
+    want = {r.doc_id: x for r, x in zip(rows, slow_removal([r.text.encode() for r in rows], PASSAGE))}
+    passages = Counter()
     for r in after.collect():
         assert 0 <= len(r.text.encode()) - (want[r.doc_id][0] - want[r.doc_id][1]) <= 6 * want[r.doc_id][2]
+        words = r.text.split()
+        passages.update({" ".join(words[i : i + 51]) for i in range(len(words) - 50)})
+    assert max(passages.values()) == 1  # no passage of 51 words is in two documents
     # mixing repeats documents twice at most; token ids go on from there
     _, before, after = kept[3]
     assert set(ids(after)) <= set(ids(before)) and max(map(ids(after).count, ids(after))) <= 2
