@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from flowloom.llm.common import map_rows, stage, table
+from flowloom.llm.common import map_rows, release, stage, table
 
 _LETTER = re.compile(r"[^\W\d_]")
 
@@ -155,20 +155,37 @@ class ContextTree:
         return out
 
 
-def learn(docs: DataFrame, per_language: int = 200, max_bytes: int = 65536, order: int = 3) -> ContextTree:
-    """Learns from a bounded sample: of each language, per_language documents by hash order, those of up to max_bytes first.
+def learn(docs: DataFrame, per_language: int = 200, max_bytes: int = 65536, most_bytes: int = 64 << 20, order: int = 3) -> ContextTree:
+    """Learns from a bounded sample: of each language, up to per_language distinct texts by hash order, those of up to max_bytes first.
 
-    docs has doc_id, text and lang. Rows without lang or text are left out; so is what the caller has held out.
+    docs has doc_id, text and lang. Rows without lang or text are left out; so is what the caller has held out. Repeated texts
+    count once, however many there are. The sample has most_bytes at the most, shared by the languages alike: each takes texts until
+    its share is used; of a text that is longer than what a language may take from one (max_bytes, or its share), it learns that much
+    from a place that the hash chooses. A label with over most_bytes / 1024 languages is an error.
     """
-    rows = docs.filter("lang is not null and text is not null and length(text) > 0").select("lang", "text", F.octet_length("text").alias("size"), F.xxhash64("doc_id", "text").alias("h"))
-    pick = Window.partitionBy("lang").orderBy((F.col("size") > max_bytes).asc(), F.col("h").asc(), F.col("size").asc())
-    few = rows.select("lang", "size", "h").withColumn("r", F.row_number().over(pick)).filter(F.col("r") <= per_language)
-    chosen = stage(few.select("lang", "h").distinct(), "langid-sample")
+    rows = docs.filter("lang is not null and text is not null and length(text) > 0").select("lang", "text", F.octet_length("text").alias("size"), F.xxhash64("text").alias("h"))
+    kinds = stage(rows.groupBy("lang").agg(F.approx_count_distinct("h").alias("n")), "langid-kinds")
+    languages = kinds.count()
+    if languages > most_bytes >> 10:
+        raise ValueError(f"{languages} languages are too many for a sample of {most_bytes} bytes")
+    share = most_bytes // max(1, languages)
+    longest = min(max_bytes, share)
+    # about 8 times as many texts as are needed pass by their hash, so that copies and most texts never leave their task
+    near = kinds.select("lang", (F.lit(8.0 * per_language) / F.col("n")).alias("part"))
+    close = rows.select("lang", "size", "h").join(near, "lang").filter((F.pmod("h", F.lit(1 << 30)) < F.col("part") * F.lit(1 << 30)) | (F.col("part") >= 1)).select("lang", "size", "h").distinct()
+    pick = Window.partitionBy("lang").orderBy((F.col("size") > longest).asc(), F.col("h").asc())
+    few = close.withColumn("r", F.row_number().over(pick)).filter(F.col("r") <= per_language)
+    used = F.sum(F.least("size", F.lit(longest))).over(pick.rowsBetween(Window.unboundedPreceding, 0))
+    chosen = stage(few.withColumn("used", used).filter((F.col("used") <= share) | (F.col("r") == 1)).select("lang", "h"), "langid-sample")
+    # at most per_language rows a language
     few = F.broadcast(chosen) if chosen.count() <= 100_000 else chosen
-    sample = rows.join(few, ["lang", "h"], "left_semi").select("lang", "text").collect()
+    begin = F.pmod(F.xxhash64("h"), F.greatest(F.lit(1), F.col("size") - longest + 1)) + 1
+    part = F.substring(F.col("text").cast("binary"), begin.cast("int"), F.lit(longest)).alias("text")
+    sample = rows.join(few, ["lang", "h"], "left_semi").dropDuplicates(["lang", "h"]).select("lang", part).collect()
+    release(chosen, kinds)
     texts: dict[str, list[bytes]] = {}
-    for lang, text in sorted(set(map(tuple, sample))):
-        texts.setdefault(lang, []).append(text.encode())
+    for lang, text in sorted((r.lang, bytes(r.text)) for r in sample):
+        texts.setdefault(lang, []).append(text)
     return ContextTree(texts, order)
 
 

@@ -5,9 +5,11 @@ from collections import Counter
 import numpy as np
 import pytest
 import xxhash
+from pyspark.sql import functions as F
 
 from flowloom.llm import graph, simhash
 from flowloom.llm import suffix_dedup as sd
+from flowloom.llm.common import stage
 
 DOCS = "doc_id long, text string, count string"
 
@@ -147,6 +149,46 @@ def test_suffix_dedup_pieces_levels_and_edges(spark, monkeypatch):
     assert family.finish().hits.sum() == 27
 
 
+def test_two_widths_in_one_pass_equal_brute_force(spark):
+    r = random.Random(5)
+    make = lambda letters, n: "".join(r.choice(letters) for _ in range(n))
+    passages = [make("abcdé", n) for n in (14, 20, 25, 60)]
+    texts = [make("abcdefghij", r.randint(0, 30)) + r.choice(passages)[r.randint(0, 3) :] + make("abcdefghij", r.randint(0, 30)) for _ in range(80)]
+    texts += [*texts[:4], None, "", "z" * 70, "xy" * 9, passages[0], passages[1]]
+    raw = [(t or "").encode() for t in texts]
+    df = spark.createDataFrame([(i, t, "c") for i, t in enumerate(texts)], DOCS).repartition(3)
+    for hot, batches in ((20000, 4), (3, 3)):
+        got = {g.doc_id: (g.n_bytes, g.n_removed, len(g.spans), hashlib.sha256(bytes(g.kept)).hexdigest(), g.n_also) for g in sd.remove_repeats(df, 24, hot=hot, also=13, batches=batches).collect()}
+        short = slow_removal(raw, 13)
+        assert [got[i] for i in range(len(texts))] == [(*x, s[1]) for x, s in zip(slow_removal(raw, 24), short)]
+
+
+def test_levels_merge_geometrically(spark):
+    texts = [f"{i}:" + "abcdefghijklmnopqrstuvwxyz" + str(i) for i in range(64)]
+    keyed = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i long, text string").withColumn("key", sd.text_key())
+    runs = stage(sd.anchors(keyed.select("key", "text"), (20,)), "runs")
+    classes = runs.groupBy("id", "g").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("key", "first", "count", "offset", "size")).alias("one")).select("id", "g", "n", "one.*")
+    rows = stage(sd._contexts(keyed.select("key", "text"), classes, (20,), 1), "contexts").withColumn("part", F.pmod(F.xxhash64("id"), F.lit(8))).collect()
+    family, sizes, batches = sd.SuffixFamily(spark, (20,), 3), [], {}
+    for r in rows:
+        batches.setdefault(r.part, []).append(r)
+    schema = sd._ROW + ", batch int, part long"
+    for b in sorted(batches):
+        family.add(spark.createDataFrame([tuple(r) for r in batches[b]], schema), len(batches[b]))
+        sizes.append([n for n, _ in family.levels])
+        for n, level in family.levels:
+            assert level.count() == n
+            there = level.orderBy("shard", "pos").collect()
+            for x, y in zip(there, there[1:]):  # a suffix array by suffix, and by prefix
+                if x.shard == y.shard:
+                    assert bytes(x.right).ljust(20, b"\0") <= bytes(y.right).ljust(20, b"\0")
+    assert all(x[-1] < 2 * x[-2] for x in sizes if len(x) > 1) and max(map(len, sizes)) < len(batches) and sum(sizes[-1]) == len(rows)
+    apart = {(h.id, x) for h in family.finish().collect() for x in range(h.x0, h.x1 + 1)}
+    whole = sd.SuffixFamily(spark, (20,), 3)
+    whole.add(spark.createDataFrame([tuple(r) for r in rows], schema), len(rows))
+    assert apart == {(h.id, x) for h in whole.finish().collect() for x in range(h.x0, h.x1 + 1)} and apart
+
+
 def test_texts_stay_texts(spark):
     texts = ["é" * 300 + "ab", "xé" * 10 + "é" * 290, None, "short"]
     df = spark.createDataFrame([(i, t, "c", 1) for i, t in enumerate(texts)], DOCS + ", n_chars int")
