@@ -11,7 +11,7 @@ from flowloom.llm.common import stage, table
 from flowloom.llm.fertility import keep_good
 from flowloom.llm.mixing import emit, mix
 from flowloom.llm.simhash import one_of_each
-from flowloom.llm.suffix_dedup import without_repeats
+from flowloom.llm.suffix_dedup import PASSAGE, without_repeats
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -25,8 +25,8 @@ def simhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 
 def suffix_array_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Strings of 400 bytes that start elsewhere too are taken out of the texts; the documents stay."""
-    return without_repeats(docs)
+    """Strings of PASSAGE bytes (so, passages of over 50 words) that start elsewhere too are taken out of the texts; the documents stay."""
+    return without_repeats(docs, PASSAGE)
 
 
 def source_mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
