@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
+import hashlib
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from flowloom.operators.ordered import fold_sorted
+
 
 def ewma_baseline(rows: DataFrame, key: str, bucket: str, values: list[str], alpha: float = 0.1, catch_up: int = 60) -> DataFrame:
     """rows: one per (key, bucket) with values. Returns them with, per value, mean, var and closed buckets of the smoothed
@@ -14,48 +19,51 @@ def ewma_baseline(rows: DataFrame, key: str, bucket: str, values: list[str], alp
     A run of m empty buckets has a closed form (the mean shrinks by (1 - alpha) ** m, the variance by the same and by what the shrinking adds),
     so that the fold has a step per row and no series is filled up.
     """
-    pairs = F.array_sort(F.collect_list(F.struct(F.col(bucket).alias("b"), *values)))
-    grouped = rows.groupBy(key).agg(pairs.alias("p"))
-    stats = ", ".join(f"{v}_mean:double,{v}_var:double" for v in values)
-    kind = f"array<struct<b:bigint,{','.join(f'{v}:double' for v in values)},{stats.replace(' ', '')},n:bigint>>"
-    zero = F.struct(F.lit(None).cast("bigint").alias("b"), *[F.lit(0.0).alias(f"{v}_{x}") for v in values for x in ("last", "mean", "var")], F.lit(0).cast("bigint").alias("n"), F.array().cast(kind).alias("out"))
-    a, keep = alpha, 1.0 - alpha
-
-    def step(acc: Column, x: Column) -> Column:
-        first = acc["b"].isNull()
-        fields, shown = [], []
-        empties = F.when(first, F.lit(0)).otherwise(F.least(x["b"] - acc["b"] - 1, F.lit(catch_up))).cast("double")
-        for v in values:
-            last, mean, var = acc[f"{v}_last"], acc[f"{v}_mean"], acc[f"{v}_var"]
-            fresh = acc["n"] == 0
-            d = last - mean
-            m1 = F.when(fresh, last).otherwise(mean + a * d)
-            v1 = F.when(fresh, F.lit(0.0)).otherwise(keep * (var + a * d * d))
-            shrink = F.pow(F.lit(keep), empties)
-            # k-th empty bucket: var <- keep * (var + a * mean_k ** 2), mean_k = m1 * keep ** (k - 1)
-            added = m1 * m1 * shrink * (1.0 - shrink)
-            m2, v2 = F.when(first, F.lit(0.0)).otherwise(m1 * shrink), F.when(first, F.lit(0.0)).otherwise(v1 * shrink + added)
-            fields += [x[v].cast("double").alias(f"{v}_last"), m2.alias(f"{v}_mean"), v2.alias(f"{v}_var")]
-            shown += [m2.alias(f"{v}_mean"), v2.alias(f"{v}_var")]
-        n = F.when(first, F.lit(0)).otherwise(acc["n"] + 1 + empties.cast("bigint")).cast("bigint")
-        row = F.struct(x["b"].alias("b"), *[x[v].cast("double").alias(v) for v in values], *shown, n.alias("n"))
-        return F.struct(x["b"].alias("b"), *fields, n.alias("n"), F.concat(acc["out"], F.array(row)).alias("out"))
-
-    out = grouped.select(key, F.explode(F.aggregate("p", zero, step, lambda s: s["out"])).alias("o"))
-    return out.select(key, F.col("o.b").alias(bucket), *[F.col(f"o.{c}").alias(c) for v in values for c in (v, f"{v}_mean", f"{v}_var")], F.col("o.n").alias("closed"))
+    keep = 1.0 - alpha
+
+    def make() -> Callable[..., tuple]:
+        at, closed, state = None, 0, [[0.0, 0.0, 0.0] for _ in values]  # of each value the last one, mean and variance
+
+        def step(b: int, *now: float) -> tuple:
+            nonlocal at, closed
+            if at is not None:
+                empties = min(b - at - 1, catch_up)
+                for s in state:
+                    last, mean, var = s
+                    d = last - mean
+                    m1, v1 = (last, 0.0) if closed == 0 else (mean + alpha * d, keep * (var + alpha * d * d))
+                    shrink = keep**empties
+                    # k-th empty bucket: var <- keep * (var + alpha * mean_k ** 2), mean_k = m1 * keep ** (k - 1)
+                    s[1], s[2] = m1 * shrink, v1 * shrink + m1 * m1 * shrink * (1.0 - shrink)
+                closed += 1 + empties
+            at = b
+            for s, v in zip(state, now):
+                s[0] = v
+            return (*[x for s in state for x in s[1:]], closed)
+
+        return step
+
+    slim = rows.select(key, F.col(bucket).cast("bigint").alias(bucket), *[F.col(v).cast("double").alias(v) for v in values])
+    outputs = ", ".join([*[f"{v}_{x} double" for v in values for x in ("mean", "var")], "closed bigint"])
+    return fold_sorted(slim, [key], [bucket], [bucket, *values], make, outputs)
 
 
 def suppress(hits: DataFrame, keys: list[str], quiet: float, time: str = "ts", seq: str = "seq") -> DataFrame:
     """Of each key's hits in order, those at least `quiet` after the last one kept; each decision depends on the one before."""
-    p = hits.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct(F.col(time).alias("t"), F.col(seq).alias("s")))).alias("p"))
-    zero = F.struct(F.lit(None).cast("double").alias("last"), F.array().cast("array<bigint>").alias("kept"))
 
-    def step(acc: Column, x: Column) -> Column:
-        keep = acc["last"].isNull() | (x["t"] - acc["last"] >= quiet)
-        return F.struct(F.when(keep, x["t"]).otherwise(acc["last"]).alias("last"), F.when(keep, F.concat(acc["kept"], F.array(x["s"].cast("bigint")))).otherwise(acc["kept"]).alias("kept"))
+    def make() -> Callable[..., tuple]:
+        last = None
+
+        def step(t: float) -> tuple:
+            nonlocal last
+            if last is None or t - last >= quiet:
+                last = t
+                return (True,)
+            return (False,)
+
+        return step
 
-    kept = p.select(*keys, F.explode(F.aggregate("p", zero, step, lambda a: a["kept"])).alias(seq))
-    return hits.join(kept, [*keys, seq], "left_semi")
+    return fold_sorted(hits, keys, [time, seq], [time], make, "__kept boolean").filter("__kept").drop("__kept")
 
 
 GENESIS = "0" * 64
@@ -63,16 +71,46 @@ GENESIS = "0" * 64
 
 def chain(records: DataFrame, keys: list[str], document: Column, seq: str) -> DataFrame:
     """seq, prev_hash and record_hash: sha256 of the previous hash and the record's canonical text, per log (keys)."""
-    p = records.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct(F.col(seq).alias("s"), document.alias("d")))).alias("p"))
-    kind = "array<struct<s:bigint,prev:string,hash:string>>"
-    zero = F.struct(F.lit(GENESIS).alias("h"), F.array().cast(kind).alias("out"))
 
-    def step(acc: Column, x: Column) -> Column:
-        h = F.sha2(F.concat(acc["h"], x["d"]), 256)
-        return F.struct(h.alias("h"), F.concat(acc["out"], F.array(F.struct(x["s"].cast("bigint").alias("s"), acc["h"].alias("prev"), h.alias("hash")))).alias("out"))
+    def make() -> Callable[..., tuple]:
+        head = GENESIS
+
+        def step(text: str | None) -> tuple:
+            nonlocal head
+            before, head = head, None if text is None or head is None else hashlib.sha256((head + text).encode()).hexdigest()
+            return before, head
+
+        return step
+
+    slim = records.select(*keys, F.col(seq).cast("bigint").alias(seq), document.cast("string").alias("__d"))
+    return fold_sorted(slim, keys, [seq], ["__d"], make, "prev_hash string, record_hash string").drop("__d")
+
 
-    out = p.select(*keys, F.explode(F.aggregate("p", zero, step, lambda a: a["out"])).alias("o"))
-    return out.select(*keys, F.col("o.s").alias(seq), F.col("o.prev").alias("prev_hash"), F.col("o.hash").alias("record_hash"))
+#: Why a record of a log is refused, in the order of the checks.
+REASONS = ("unreadable", "sequence gap", "wrong link", "wrong hash", "confidence differs", "column differs")
+
+
+def inspect_chain(log: DataFrame, keys: list[str], document: Column, seq: str, copies: dict[str, Column] | None = None, confidence: tuple[str, Column] | None = None) -> DataFrame:
+    """Per log: records, ok, first_bad (its place), reason and head (the last hash; null unless ok).
+
+    Every record is checked for itself, against the one before: its document can be read; its place is the next one; prev_hash is
+    the hash before; the hash is that of the content; columns kept beside the document are equal to what it says (copies: column
+    and expression over the document; confidence: the same within 1e-9). Only the hash before comes from another row.
+    """
+    w = Window.partitionBy(*keys).orderBy(seq)
+    place = F.row_number().over(w) - 1
+    link = F.coalesce(F.lag("record_hash").over(w), F.lit(GENESIS))
+    differ = F.lit(False)
+    for name, said in (copies or {}).items():
+        differ = differ | ~F.col(name).eqNullSafe(said)
+    off = F.lit(False) if confidence is None else F.col(confidence[0]).isNull() | (F.abs(F.col(confidence[0]) - F.coalesce(confidence[1], F.lit(0.0))) > 1e-9)
+    tests = [document.isNull(), F.col(seq) != place, ~F.col("prev_hash").eqNullSafe(link), ~F.col("record_hash").eqNullSafe(F.sha2(F.concat("prev_hash", document), 256)), off, differ]
+    reason = F.coalesce(*[F.when(t, F.lit(r)) for t, r in zip(tests, REASONS)])
+    marked = log.select(*keys, place.alias("__at"), reason.alias("__why"), "record_hash")
+    first = F.min(F.when(F.col("__why").isNotNull(), F.struct("__at", "__why")))
+    per = marked.groupBy(*keys).agg(F.count(F.lit(1)).alias("records"), first.alias("__bad"), F.max_by("record_hash", "__at").alias("__head"))
+    ok = F.col("__bad").isNull()
+    return per.select(*keys, "records", ok.alias("ok"), F.col("__bad.__at").cast("long").alias("first_bad"), F.col("__bad.__why").alias("reason"), F.when(ok, F.col("__head")).alias("head"))
 
 
 def verify_chain(log: DataFrame, keys: list[str], document: Column, seq: str) -> DataFrame:

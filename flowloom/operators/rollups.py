@@ -29,29 +29,36 @@ def own(rows: DataFrame) -> DataFrame:
     return rows.filter("cur = 1").drop("cur", "eff")
 
 
-def running_sums(rows: DataFrame, keys: list[str], sums: dict[str, Column], time: str = "last", width: float = 60.0, order: str = "ord") -> DataFrame:
+def running_all(rows: DataFrame, keys: list[str], sums: dict[str, Column] | None = None, distinct: dict[str, str] | None = None, entropy: dict[str, str] | None = None, time: str = "last", width: float = 60.0, order: str = "ord") -> DataFrame:
+    """Several running aggregates over one expansion and one exchange. sums: of values; distinct: the number of different items (a
+    column; nulls do not count), whose first sights are marked, then added up; entropy: in bits, of the items so far: the c-th sight
+    of one adds c log2 c - (c - 1) log2 (c - 1) to what log2 n is lessened by. A key's window is a task's; a key is cut by time."""
+    out = two_windows(rows, time, width).repartition(*keys, "eff")  # the windows below need no other dealing
     w = running(keys, order)
-    return own(two_windows(rows, time, width).withColumns({name: F.sum(value).over(w) for name, value in sums.items()}))
+    nth = lambda item: F.row_number().over(Window.partitionBy(*keys, "eff", item).orderBy("cur", order))
+    marks = {}
+    for name, item in (distinct or {}).items():
+        marks[f"__{name}"] = ((nth(item) == 1) & F.col(item).isNotNull()).cast("long")
+    for name, item in (entropy or {}).items():
+        n = nth(item).cast("double")
+        marks[f"__{name}"] = n * F.log2(n) - F.when(n > 1, (n - 1) * F.log2(F.greatest(n - 1, F.lit(1.0)))).otherwise(0.0)
+    out = out.withColumns(marks) if marks else out
+    made = {name: F.sum(value).over(w) for name, value in (sums or {}).items()} | {name: F.sum(f"__{name}").over(w) for name in distinct or ()}
+    total = F.count(F.lit(1)).over(w)
+    made |= {name: F.log2(total) - F.sum(f"__{name}").over(w) / total for name in entropy or ()}
+    return own(out.withColumns(made).drop(*marks))
+
+
+def running_sums(rows: DataFrame, keys: list[str], sums: dict[str, Column], time: str = "last", width: float = 60.0, order: str = "ord") -> DataFrame:
+    return running_all(rows, keys, sums, time=time, width=width, order=order)
 
 
 def running_distinct(rows: DataFrame, keys: list[str], items: dict[str, str], time: str = "last", width: float = 60.0, order: str = "ord") -> DataFrame:
-    """For each name, the number of different items (a column; nulls do not count): first sights are marked, then added up."""
-    out = two_windows(rows, time, width)
-    for name, item in items.items():
-        seen = Window.partitionBy(*keys, "eff", item).orderBy("cur", order)
-        out = out.withColumn(f"__{name}", ((F.row_number().over(seen) == 1) & F.col(item).isNotNull()).cast("long"))
-    w = running(keys, order)
-    return own(out.withColumns({name: F.sum(f"__{name}").over(w) for name in items}).drop(*[f"__{n}" for n in items]))
+    return running_all(rows, keys, distinct=items, time=time, width=width, order=order)
 
 
 def running_entropy(rows: DataFrame, keys: list[str], item: str, name: str, time: str = "last", width: float = 60.0, order: str = "ord") -> DataFrame:
-    """Entropy in bits of the items so far: the c-th sight of one adds c log2 c - (c - 1) log2 (c - 1) to what log2 n is lessened by."""
-    nth = F.row_number().over(Window.partitionBy(*keys, "eff", item).orderBy("cur", order)).cast("double")
-    part = nth * F.log2(nth) - F.when(nth > 1, (nth - 1) * F.log2(F.greatest(nth - 1, F.lit(1.0)))).otherwise(0.0)
-    w = running(keys, order)
-    marked = two_windows(rows, time, width).withColumn("__part", part)
-    n = F.count(F.lit(1)).over(w)
-    return own(marked.withColumn(name, F.log2(n) - F.sum("__part").over(w) / n).drop("__part"))
+    return running_all(rows, keys, entropy={name: item}, time=time, width=width, order=order)
 
 
 def longterm_distinct(rows: DataFrame, keys: list[str], item: str, name: str, order: str = "ord") -> DataFrame:

@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from flowloom.operators.ordered import fold_sorted
+
 
 def distinct_estimate(item: Column, log2_registers: int = 12) -> Column:
     """An aggregate: estimated number of different items."""
@@ -36,18 +40,21 @@ def bucket_entropy(rows: DataFrame, by: list[str], item: str, buckets: int = 128
 
 
 def decayed_counts(rows: DataFrame, keys: list[str], time: str, period: float = 86400.0) -> DataFrame:
-    """Per (keys, period) with rows: count so far, where what was there halves, rounded down, at each period's end. A fold over a
-    key's periods, of which there are few."""
+    """Per (keys, period) with rows: count so far, where what was there halves, rounded down, at each period's end."""
     per = rows.groupBy(*keys, F.floor(F.col(time) / period).cast("long").alias("period")).agg(F.count(F.lit(1)).alias("n"))
-    p = per.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("period", "n"))).alias("p"))
-    zero = F.struct(F.lit(None).cast("bigint").alias("at"), F.lit(0).cast("bigint").alias("c"), F.array().cast("array<struct<period:bigint,c:bigint>>").alias("out"))
 
-    def step(acc: Column, x: Column) -> Column:
-        gone = F.least(F.coalesce(x["period"] - acc["at"], F.lit(0)), F.lit(62)).cast("int")
-        c = F.floor(acc["c"] / F.pow(F.lit(2.0), gone)).cast("bigint") + x["n"]
-        return F.struct(x["period"].alias("at"), c.alias("c"), F.concat(acc["out"], F.array(F.struct(x["period"].alias("period"), c.alias("c")))).alias("out"))
+    def make() -> Callable[..., tuple]:
+        at, count = None, 0
+
+        def step(now: int, n: int) -> tuple:
+            nonlocal at, count
+            count = (count >> min(62, now - at) if at is not None else 0) + n
+            at = now
+            return (count,)
 
-    return p.select(*keys, F.explode(F.aggregate("p", zero, step, lambda a: a["out"])).alias("o")).select(*keys, "o.period", F.col("o.c").alias("decayed"))
+        return step
+
+    return fold_sorted(per, keys, ["period"], ["period", "n"], make, "decayed bigint").drop("n")
 
 
 def top_of_window(rows: DataFrame, key: str, weight: str, time: str, width: float, k: int = 5, tie: str = "ord") -> DataFrame:
@@ -57,6 +64,19 @@ def top_of_window(rows: DataFrame, key: str, weight: str, time: str, width: floa
     return rows.withColumn("w", w).withColumn("rank", rank.cast("int")).filter(F.col("rank") <= k)
 
 
+def contributing_flows(alerts: DataFrame, flows: DataFrame, key: str, weight: str, time: str, width: float, flow: str, k: int = 5, order: str = "ord") -> DataFrame:
+    """alerts (aid, key, order, time and flow, the one that set it off) with `contributing`: that flow first, then the others of its key's
+    k heaviest in the window so far, equal weights in order. Alerts are few beside flows: only the flows of their windows meet them."""
+    wid = F.floor(F.col(time) / width).cast("long")
+    mine = alerts.select("aid", key, F.col(order).alias("__o"), F.col(flow).alias("__f"), wid.alias("__w"))
+    met = mine.join(flows.select(key, wid.alias("__w"), F.col(order).alias("__fo"), F.col(weight).alias("__n"), F.col(flow).alias("__c")), [key, "__w"]).filter("__fo <= __o")
+    rank = F.row_number().over(Window.partitionBy("aid").orderBy(F.desc("__n"), "__fo"))
+    top = met.withColumn("__r", rank).filter(F.col("__r") <= k)
+    listed = F.transform(F.array_sort(F.collect_list(F.when(F.col("__c") != F.col("__f"), F.struct("__r", "__c")))), lambda x: x["__c"])
+    per = top.groupBy("aid").agg(listed.alias("__l"))
+    return alerts.join(per, "aid", "left").withColumn("contributing", F.concat(F.array(flow), F.slice(F.coalesce("__l", F.array().cast("array<string>")), 1, k - 1))).drop("__l")
+
+
 def attribute(alerts: DataFrame, attacks: DataFrame, keys: list[str], before: float = 5.0, after: float = 120.0, bucket: float = 3600.0) -> DataFrame:
     """alerts (keys, id, t) with the attack (keys, name, first, last) whose span, widened by before and after, holds t and begins
     nearest to it; null without one. Spans are spread over time buckets, so that alerts and attacks meet by an equal key."""

@@ -92,7 +92,7 @@ def flow_tier1_features(spark, sf):
 
 @query("SELECT src, string_agg(dst, ',' ORDER BY first) AS kinds, count(*) AS n FROM (SELECT src, dst, min(seq) AS first FROM pkt GROUP BY src, dst) GROUP BY src", t.PKT_SQL)
 def ordered_distinct_lists(spark, sf):
-    return t.packets(spark, sf).groupBy("src").agg(F.array_join(flows.ordered_distinct("dst", "seq"), ",").alias("kinds"), F.count_distinct("dst").alias("n"))
+    return flows.first_sights(t.packets(spark, sf), ["src"], "dst", "seq", "kinds").select("src", F.array_join("kinds", ",").alias("kinds"), F.size("kinds").cast("long").alias("n"))
 
 
 @query("SELECT src, arg_min(ts, seq) FILTER (tcp_flags = 2) AS syn_ts, arg_min(is_reply, seq) FILTER (tcp_flags = 4) AS reset_reply, arg_min(dst_port, seq) AS first_port FROM pkt GROUP BY src", t.PKT_SQL)
@@ -377,8 +377,7 @@ def fast_top5(spark, sf):
 
 def _pair_features(spark, sf):
     f = rollups.periodicity(t.flows(spark, sf), ["src", "dst"])
-    w = rollups.running_distinct(f, ["src"], {"dsts": "dst", "ports": "port"}, width=WINDOW)
-    return rollups.running_sums(w, ["src"], {"flows": F.lit(1), "syn": F.col("syn_only").cast("long"), "egress": F.col("bytes")}, width=WINDOW)
+    return rollups.running_all(f, ["src"], {"flows": F.lit(1), "syn": F.col("syn_only").cast("long"), "egress": F.col("bytes")}, {"dsts": "dst", "ports": "port"}, width=WINDOW)
 
 
 HITS_SQL = [
