@@ -55,14 +55,17 @@ def _sha12(text: Column) -> Column:
     return F.when(text == "", F.lit("0" * 12)).otherwise(F.substring(F.sha2(text, 256), 1, 12))
 
 
-def ja4(version: str, sni: str, alpn: str, ciphers: str, extensions: str, signatures: str, transport: str = "t") -> Column:
-    """JA4 of a client hello: version is the highest supported one, sni and alpn may be null, lists are as on the wire."""
+def ja4(version: str, alpn: str, ciphers: str, extensions: str, signatures: str, transport: str = "t") -> Column:
+    """JA4 of a client hello: version is the highest supported one, alpn (the first protocol, a character per byte) may be null, lists
+    are as on the wire."""
     names = {0x0304: "13", 0x0303: "12", 0x0302: "11", 0x0301: "10", 0x0300: "s3"}
     v = F.coalesce(F.element_at(F.create_map(*[F.lit(x) for kv in names.items() for x in kv]), F.col(version)), F.lit("00"))
     two = lambda n: F.lpad(F.least(n, F.lit(99)).cast("string"), 2, "0")
     own, ext = without_grease(ciphers), without_grease(extensions)
-    first = F.when(F.coalesce(F.length(alpn), F.lit(0)) > 0, F.concat(F.substring(alpn, 1, 1), F.substring(F.col(alpn), -1, 1))).otherwise("00")
-    a = F.concat(F.lit(transport), v, F.when(F.col(sni).isNotNull(), "d").otherwise("i"), two(F.size(own)), two(F.size(ext)), first)
+    hexed = F.lower(F.hex(F.encode(F.col(alpn), "ISO-8859-1")))
+    shown = F.when(F.col(alpn).rlike(r"(?s)^[0-9A-Za-z](.*[0-9A-Za-z])?$"), F.col(alpn)).otherwise(hexed)
+    ends = F.when(F.coalesce(F.length(alpn), F.lit(0)) > 0, F.concat(F.substring(shown, 1, 1), F.substring(shown, -1, 1))).otherwise("00")
+    a = F.concat(F.lit(transport), v, F.when(F.array_contains(ext, 0), "d").otherwise("i"), two(F.size(own)), two(F.size(ext)), ends)
     kept = F.filter(ext, lambda e: ~e.isin(0x0000, 0x0010))
     signs = _hex_list(without_grease(signatures), sort=False)
     c = F.when(signs == "", _hex_list(kept)).otherwise(F.concat(_hex_list(kept), F.lit("_"), signs))

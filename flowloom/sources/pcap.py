@@ -1,14 +1,16 @@
-"""Capture files as a packet table: classic and next-generation formats, decoded in Arrow batches, a file per row.
+"""Capture files as a packet table: classic and next-generation formats, decoded in Arrow batches.
 
-Decoding never fails on a packet: what cannot be read stays null. Files are read through Spark, so any of its stores will do.
+Decoding never fails on a packet: what cannot be read stays null.
 """
 
 from __future__ import annotations
 
 import hashlib
 import ipaddress
+import json
 import struct
 from collections.abc import Iterator
+from typing import BinaryIO
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -24,23 +26,51 @@ PROTOCOL_NAMES = {1: "ICMP", 6: "TCP", 17: "UDP", 58: "ICMPv6"}
 TLS_VERSIONS = {0x0300: "SSLv3", 0x0301: "TLS 1.0", 0x0302: "TLS 1.1", 0x0303: "TLS 1.2", 0x0304: "TLS 1.3"}
 
 
-def records(data: bytes) -> Iterator[tuple[float, bytes, int]]:
-    """time, bytes and wire length of each packet; ends silently at a cut record; nothing of an unknown file."""
-    if data[:4] in CLASSIC and len(data) >= 24:
-        order, unit = CLASSIC[data[:4]]
-        at = 24
-        while at + 16 <= len(data):
-            sec, frac, size, wire = struct.unpack_from(order + "IIII", data, at)
-            if at + 16 + size > len(data):
-                return
-            yield sec + frac / unit, data[at + 16 : at + 16 + size], wire
-            at += 16 + size
-    elif data[:4] == struct.pack("<I", SECTION):
-        yield from _blocks(data)
+def start_state(head: bytes) -> dict | None:
+    """How to read a file that begins with these bytes (24 at least), and where its first record or block is; None if it is unknown."""
+    if head[:4] in CLASSIC and len(head) >= 24:
+        order, unit = CLASSIC[head[:4]]
+        return {"kind": "classic", "order": order, "unit": unit, "at": 24}
+    if head[:4] == struct.pack("<I", SECTION):
+        return {"kind": "blocks", "order": "<", "units": [], "at": 0}
+    return None
 
 
-def _blocks(data: bytes) -> Iterator[tuple[float, bytes, int]]:
-    at, order, units = 0, "<", []
+def records(data: bytes, state: dict | None = None) -> Iterator[tuple[float, bytes, int]]:
+    """time, bytes and wire length of each packet; ends silently at a cut record; nothing of an unknown file. state: of a part of a
+    file, as split_points() gives it; data then begins at the part."""
+    state = dict(state, at=0) if state else start_state(data[:24])
+    if state is None:
+        return
+    if state["kind"] == "blocks":
+        yield from _blocks(data, state)
+        return
+    at, head, unit = state["at"], struct.Struct(state["order"] + "IIII"), state["unit"]
+    while at + 16 <= len(data):
+        sec, frac, size, wire = head.unpack_from(data, at)
+        if at + 16 + size > len(data):
+            return
+        yield sec + frac / unit, data[at + 16 : at + 16 + size], wire
+        at += 16 + size
+
+
+def _interface(body: bytes, order: str) -> tuple[float, int]:
+    """Time unit and offset of an interface block."""
+    unit, offset, o = 1e6, 0, 8
+    while o + 4 <= len(body):
+        code, n = struct.unpack_from(order + "HH", body, o)
+        if code == 0:
+            break
+        if code == 9 and n:
+            unit = float(2 ** (body[o + 4] & 0x7F)) if body[o + 4] & 0x80 else float(10 ** body[o + 4])
+        if code == 14 and n == 8:
+            offset = struct.unpack_from(order + "q", body, o + 4)[0]
+        o += 4 + n + (-n % 4)
+    return unit, offset
+
+
+def _blocks(data: bytes, state: dict) -> Iterator[tuple[float, bytes, int]]:
+    at, order, units = state["at"], state["order"], [tuple(u) for u in state["units"]]
     while at + 12 <= len(data):
         if data[at : at + 4] == struct.pack("<I", SECTION):
             order = "<" if data[at + 8 : at + 12] == b"\x4d\x3c\x2b\x1a" else ">"
@@ -50,17 +80,7 @@ def _blocks(data: bytes) -> Iterator[tuple[float, bytes, int]]:
             return
         body = data[at + 8 : at + size - 4]
         if kind == INTERFACE:
-            unit, offset, o = 1e6, 0, 8
-            while o + 4 <= len(body):
-                code, n = struct.unpack_from(order + "HH", body, o)
-                if code == 0:
-                    break
-                if code == 9 and n:
-                    unit = float(2 ** (body[o + 4] & 0x7F)) if body[o + 4] & 0x80 else float(10 ** body[o + 4])
-                if code == 14 and n == 8:
-                    offset = struct.unpack_from(order + "q", body, o + 4)[0]
-                o += 4 + n + (-n % 4)
-            units.append((unit, offset))
+            units.append(_interface(body, order))
         elif kind in (PACKET, OLD_PACKET) and len(body) >= 20:
             if kind == PACKET:
                 face, high, low, got, wire = struct.unpack_from(order + "IIIII", body)
@@ -72,6 +92,35 @@ def _blocks(data: bytes) -> Iterator[tuple[float, bytes, int]]:
         at += size
 
 
+def split_points(f: BinaryIO, size: int, every: int) -> Iterator[tuple[int, dict]]:
+    """Offsets at which a file may be cut, about `every` bytes apart, with the state that reading from there on takes. Only the heads
+    of records are read, and the bodies of blocks that tell how to read others."""
+    state = start_state(f.read(24))
+    if state is None:
+        return
+    at = last = state["at"]
+    yield at, state
+    small = 16 if state["kind"] == "classic" else 12
+    while at + small <= size:
+        f.seek(at)
+        head = f.read(small)
+        if state["kind"] == "classic":
+            n = 16 + struct.unpack(state["order"] + "IIII", head)[2]
+        else:
+            if head[:4] == struct.pack("<I", SECTION):
+                state = {"kind": "blocks", "order": "<" if head[8:12] == b"\x4d\x3c\x2b\x1a" else ">", "units": [], "at": 0}
+            kind, n = struct.unpack(state["order"] + "II", head[:8])
+            if n < 12:
+                return
+            if kind == INTERFACE:
+                f.seek(at + 8)
+                state = state | {"units": [*state["units"], _interface(f.read(n - 12), state["order"])]}
+        at += n
+        if at - last >= every and at < size:
+            last = at
+            yield at, state
+
+
 def network_layer(data: bytes) -> bytes | None:
     """The IP packet within a frame: Ethernet (tagged or not), cooked Linux, or none around it."""
     at, kind = 12, None
@@ -130,51 +179,64 @@ class _Reader:
     def number(self, n: int) -> int:
         return int.from_bytes(self.take(n), "big")
 
-    def numbers(self, size: int, each: int = 2) -> list[int]:
-        part = self.take(min(size, self.left()))
-        return [int.from_bytes(part[i : i + each], "big") for i in range(0, len(part) - each + 1, each)]
+    def upto(self, n: int) -> bytes:
+        """n bytes, or what is there."""
+        return self.take(min(n, self.left()))
+
+
+def _numbers(part: bytes, each: int = 2) -> list[int]:
+    return [int.from_bytes(part[i : i + each], "big") for i in range(0, len(part) - each + 1, each)]
 
 
 def grease(v: int) -> bool:
     return v & 0x0F0F == 0x0A0A and v >> 8 == v & 0xFF
 
 
+def _extension(h: dict, kind: int, body: _Reader) -> None:
+    """What one extension says; lists that say to be longer than they are give what is there."""
+    if kind == 0 and body.left() >= 5:
+        body.take(2)
+        if body.number(1) == 0:
+            name = body.upto(body.number(2))
+            h["sni"] = name.decode("ascii") if name.isascii() else h["sni"]
+    elif kind == 10:
+        h["groups"] = _numbers(body.upto(body.number(2)))
+    elif kind == 11:
+        h["formats"] = _numbers(body.upto(body.number(1)), 1)
+    elif kind == 13:
+        h["signatures"] = _numbers(body.upto(body.number(2)))
+    elif kind == 16:
+        names = _Reader(body.upto(body.number(2)))
+        h["alpn"] = names.upto(names.number(1)).decode("latin-1")
+    elif kind == 43:
+        h["supported"] = _numbers(body.upto(body.number(1) if h["client"] else 2))
+
+
 def hello(payload: bytes) -> dict | None:
-    """What a client's or server's hello says, as far as it was captured; None for other payloads."""
-    if len(payload) < 9 or payload[0] != 22 or payload[1] != 3 or payload[5] not in (1, 2):
+    """What a client's or server's hello says, as far as it was captured; None for other payloads. The hello ends with its record,
+    its extensions with their block, whatever follows in the segment. A list of ciphers that is cut is not taken, and nor is what
+    would come after it; an extension with a body that makes no sense is listed, and the next ones are read."""
+    if len(payload) < 9 or payload[0] != 22:
         return None
-    h: dict = {"client": payload[5] == 1, "version": None, "ciphers": [], "extensions": [], "groups": [], "formats": [], "signatures": [], "alpn": None, "sni": None, "supported": []}
-    r = _Reader(payload[9:])
+    message = payload[5 : 5 + int.from_bytes(payload[3:5], "big")]
+    if len(message) < 6 or message[0] not in (1, 2):
+        return None
+    h: dict = {"client": message[0] == 1, "version": int.from_bytes(message[4:6], "big"), "ciphers": [], "extensions": [], "groups": [], "formats": [], "signatures": [], "alpn": None, "sni": None, "supported": []}
+    r = _Reader(message[6:])
     try:
-        h["version"] = r.number(2)
         r.take(32)
         r.take(r.number(1))
-        if h["client"]:
-            h["ciphers"] = r.numbers(r.number(2))
-            r.take(r.number(1))
-        else:
-            h["ciphers"] = [r.number(2)]
-            r.number(1)
-        end = r.number(2)
-        del end
-        while r.left() >= 4:
-            kind, size = r.number(2), r.number(2)
+        h["ciphers"] = _numbers(r.take(r.number(2) if h["client"] else 2))
+        r.take(r.number(1) if h["client"] else 1)
+        block = _Reader(r.upto(r.number(2)))
+        while block.left() >= 4:
+            kind, size = block.number(2), block.number(2)
             h["extensions"].append(kind)
-            body = _Reader(r.take(size))
-            if kind == 0 and h["client"] and body.left() > 5:
-                body.take(3)
-                h["sni"] = body.take(body.number(2)).decode("ascii", "replace")
-            elif kind == 10:
-                h["groups"] = body.numbers(body.number(2))
-            elif kind == 11:
-                h["formats"] = body.numbers(body.number(1), 1)
-            elif kind == 13:
-                h["signatures"] = body.numbers(body.number(2))
-            elif kind == 16:
-                body.number(2)
-                h["alpn"] = body.take(body.number(1)).decode("ascii", "replace")
-            elif kind == 43:
-                h["supported"] = body.numbers(body.number(1)) if h["client"] else body.numbers(2)
+            body = _Reader(block.take(size))
+            try:
+                _extension(h, kind, body)
+            except _Cut:
+                pass
     except _Cut:
         pass
     return h
@@ -193,12 +255,14 @@ def fingerprints(h: dict) -> dict:
     ja3 = ",".join([str(h["version"]), *(_dashes(h[k]) for k in ("ciphers", "extensions", "groups")), "-".join(map(str, h["formats"]))])
     own, ext = ([v for v in h[k] if not grease(v)] for k in ("ciphers", "extensions"))
     alpn = h["alpn"] or ""
+    if alpn and not (alpn[0].isascii() and alpn[0].isalnum() and alpn[-1].isascii() and alpn[-1].isalnum()):
+        alpn = alpn.encode("latin-1").hex()
     sha = lambda s: hashlib.sha256(s.encode()).hexdigest()[:12] if s else "0" * 12
     listed = lambda v: ",".join(f"{x:04x}" for x in v)
     kept = listed(sorted(v for v in ext if v not in (0, 16)))
     signs = listed([v for v in h["signatures"] if not grease(v)])
     version = {0x0304: "13", 0x0303: "12", 0x0302: "11", 0x0301: "10", 0x0300: "s3"}.get(best, "00")
-    head = f"t{version}{'d' if h['sni'] is not None else 'i'}{min(99, len(own)):02d}{min(99, len(ext)):02d}{alpn[0] + alpn[-1] if alpn else '00'}"
+    head = f"t{version}{'d' if 0 in ext else 'i'}{min(99, len(own)):02d}{min(99, len(ext)):02d}{alpn[0] + alpn[-1] if alpn else '00'}"
     return out | {"tls_ja3": md5(ja3), "tls_ja4": f"{head}_{sha(listed(sorted(own)))}_{sha(kept + ('_' + signs if signs else '')) if kept else '0' * 12}", "tls_cipher_suites": h["ciphers"]}
 
 
@@ -238,41 +302,80 @@ def decode(ts: float, data: bytes, wire: int) -> dict:
     return row
 
 
-def read_captures(spark: SparkSession, path: str) -> DataFrame:
+#: Files up to this size come whole through Spark, from any of its stores; larger ones are read in parts of about PART.
+WHOLE, PART = 256 << 20, 64 << 20
+
+
+def read_captures(spark: SparkSession, path: str, whole: int = WHOLE, part: int = PART) -> DataFrame:
     """The packets of all capture files under path, as schemas.PACKETS and file. seq goes on over files in order of their paths.
 
-    A missing path is an error, an unknown format gives no rows. A file is one task's work; long captures are best kept as several.
+    A missing path is an error, an unknown format gives no rows. A file of up to `whole` bytes is one task's work. Of a larger one a
+    task first looks for places where it can be cut, and each part is then decoded for itself; such files are opened by their
+    address through pyarrow, which has to reach their store. Packets are decoded once, into a table in the shared folder.
     """
-    from pyspark.sql.pandas.types import to_arrow_schema
     from pyspark.sql.types import _parse_datatype_string
 
-    struct_ = _parse_datatype_string("file string, place long, " + PACKETS.replace("seq long, ", ""))
+    from flowloom.staging import staged
+
+    struct_ = _parse_datatype_string("file string, part long, place long, " + PACKETS.replace("seq long, ", ""))
     names = [f.name for f in struct_.fields]
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def made(rows: list[dict]) -> pa.RecordBatch:
+        from pyspark.sql.pandas.types import to_arrow_schema
+
         schema = to_arrow_schema(struct_)
+        return pa.RecordBatch.from_arrays([pa.array([r.get(n) for r in rows], schema.field(n).type) for n in names], schema=schema)
 
-        def made(rows: list[dict]) -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array([r.get(n) for r in rows], schema.field(n).type) for n in names], schema=schema)
+    def decoded(file: str, at: int, found: Iterator[tuple[float, bytes, int]]) -> Iterator[pa.RecordBatch]:
+        rows = []
+        for i, (ts, data, wire) in enumerate(found):
+            rows.append(decode(ts, data, wire) | {"file": file, "part": at, "place": i})
+            if len(rows) == 10_000:
+                yield made(rows)
+                rows = []
+        yield made(rows)
 
+    def whole_files(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for file, content in zip(batch.column(0).to_pylist(), batch.column(1)):
-                rows = []
-                for i, (ts, data, wire) in enumerate(records(content.as_py() or b"")):
-                    rows.append(decode(ts, data, wire) | {"file": file, "place": i})
-                    if len(rows) == 10_000:
-                        yield made(rows)
-                        rows = []
-                yield made(rows)
+                yield from decoded(file, 0, records(content.as_py() or b""))
 
-    files = spark.read.format("binaryFile").load(path).select("path", "content")
-    packets = files.mapInArrow(run, struct_)
-    # places within a file are counted; a file's first number is what the files before it hold
-    counts = packets.groupBy("file").agg(F.count(F.lit(1)).alias("n"))
+    def cuts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for file, size in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                with _opened(file) as f:
+                    points = list(split_points(f, size, part))
+                ends = [*[at for at, _ in points[1:]], size]
+                yield pa.RecordBatch.from_arrays([pa.array([file] * len(points), pa.string()), pa.array([at for at, _ in points], pa.int64()), pa.array(ends[: len(points)], pa.int64()), pa.array([json.dumps(s) for _, s in points], pa.string())], names=["file", "begin", "end", "state"])
+
+    def parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for file, begin, end, state in zip(*(c.to_pylist() for c in batch.columns)):
+                with _opened(file) as f:
+                    f.seek(begin)
+                    data = f.read(end - begin)
+                yield from decoded(file, begin, records(data, json.loads(state)))
+
+    listed = spark.read.format("binaryFile").load(path)
+    small = listed.filter(F.col("length") <= whole).select("path", "content").mapInArrow(whole_files, struct_)
+    large = listed.filter(F.col("length") > whole).select("path", "length")
+    places = staged(large.mapInArrow(cuts, "file string, begin long, end long, state string"), "capture-parts")
+    # a part is a row; each is dealt to a task of its own
+    n = max(1, places.count())
+    packets = staged(small.unionByName(places.repartition(n, "file", "begin").mapInArrow(parts, struct_)), "packets")
+    # places within a part are counted; a part's first number is what the files and parts before it hold
+    counts = packets.groupBy("file", "part").agg(F.count(F.lit(1)).alias("n"))
     from pyspark.sql.window import Window
 
-    before = counts.withColumn("before", F.coalesce(F.sum("n").over(Window.orderBy("file").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).select("file", "before")
-    return packets.join(before, "file").withColumn("seq", F.col("before") + F.col("place")).select("file", "seq", *[n for n in names if n not in ("file", "place")])
+    before = counts.withColumn("before", F.coalesce(F.sum("n").over(Window.orderBy("file", "part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).select("file", "part", "before")
+    return packets.join(before, ["file", "part"]).withColumn("seq", F.col("before") + F.col("place")).select("file", "seq", *[n for n in names if n not in ("file", "part", "place")])
+
+
+def _opened(file: str) -> BinaryIO:
+    from pyarrow import fs
+
+    store, name = fs.FileSystem.from_uri(file if "://" in file else "file://" + file.removeprefix("file:"))
+    return store.open_input_file(name)
 
 
 def capture_facts(packets: DataFrame) -> DataFrame:

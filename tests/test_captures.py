@@ -43,10 +43,50 @@ def test_hello_fingerprints(spark, tmp_path):
     assert got[1].tls_sni is None and got[1].tls_ja3 is not None
     # the column functions give what the decoder gives
     row = spark.createDataFrame([(h["version"], h["ciphers"], h["extensions"], h["groups"], h["formats"], h["signatures"], h["sni"], h["alpn"], 0x0304)], "v int, c array<int>, e array<int>, g array<int>, f array<int>, s array<int>, sni string, alpn string, best int")
-    made = row.select(text.ja3("v", "c", "e", "g", "f").alias("ja3"), text.ja4("best", "sni", "alpn", "c", "e", "s").alias("ja4")).first()
+    made = row.select(text.ja3("v", "c", "e", "g", "f").alias("ja3"), text.ja4("best", "alpn", "c", "e", "s").alias("ja4")).first()
     assert (made.ja3, made.ja4) == (got[0].tls_ja3, got[0].tls_ja4)
 
 
+def test_hello_ends_with_its_record():
+    """What follows in the segment is no extension of it; cut lists and broken bodies do as the format says."""
+    whole = c.client_hello()
+    more = whole + b"\x14\x03\x03\x00\x01\x01" + b"\x17\x03\x03\x00\x20" + bytes(range(32))
+    assert pcap.hello(more) == pcap.hello(whole) and pcap.fingerprints(pcap.hello(more)) == pcap.fingerprints(pcap.hello(whole))
+    # bytes behind the block of extensions, within the record
+    longer = whole[:3] + (len(whole) - 5 + 9).to_bytes(2, "big") + whole[5:] + b"\x00\x17\x00\x01\x00\x00\x17\x00\x00"
+    assert pcap.hello(longer) == pcap.hello(whole)
+    cut = pcap.hello(whole[:50])
+    assert cut["ciphers"] == [] and cut["extensions"] == [] and cut["version"] == 0x0303
+    assert pcap.hello(whole[:20])["ciphers"] == [] and pcap.hello(b"\x17" + whole[1:]) is None and pcap.hello(b"") is None
+    server = b"\x02\x00\x00\x2e" + b"\x03\x03" + bytes(32) + b"\x00" + b"\x13\x01\x00" + b"\x00\x06" + b"\x00\x2b\x00\x02\x03\x04"
+    record = b"\x16\x03\x03" + len(server).to_bytes(2, "big") + server
+    h = pcap.hello(record + b"\x14\x03\x03\x00\x01\x01\x17\x03\x03\x00\x04abcd")
+    assert (h["ciphers"], h["extensions"], h["supported"]) == ([0x1301], [43], [0x0304])
+    assert pcap.fingerprints(h)["tls_ja3s"] == __import__("hashlib").md5(b"771,4865,43").hexdigest()
+
+
+def test_published_ja4():
+    """The worked example of the published JA4 description."""
+    ciphers = [0x0A0A, 0x1301, 0x1302, 0x1303, 0xC02B, 0xC02F, 0xC02C, 0xC030, 0xCCA9, 0xCCA8, 0xC013, 0xC014, 0x009C, 0x009D, 0x002F, 0x0035]
+    extensions = [0x1A1A, 0x001B, 0x0000, 0x0033, 0x0010, 0x4469, 0x0017, 0x002D, 0x000D, 0x0005, 0x0023, 0x0012, 0x002B, 0xFF01, 0x000B, 0x000A, 0x0015]
+    h = {"client": True, "version": 0x0303, "ciphers": ciphers, "extensions": extensions, "groups": [], "formats": [], "signatures": [0x0403, 0x0804, 0x0401, 0x0503, 0x0805, 0x0501, 0x0806, 0x0601], "alpn": "h2", "sni": "x", "supported": [0x0A0A, 0x0304, 0x0303]}
+    assert pcap.fingerprints(h)["tls_ja4"] == "t13d1516h2_8daaf6152771_e5627efa2ab1"
+    assert pcap.fingerprints(h | {"alpn": "\xab\xcd", "extensions": extensions[:2]})["tls_ja4"].startswith("t13i1501ad_")
+
+
+def test_large_files_are_read_in_parts(spark, tmp_path):
+    rows = [(float(i), c.udp("10.0.0.1", f"10.0.{i // 200}.{i % 200}", 9, 53, c.dns(f"n{i}.example"))) for i in range(500)]
+    (tmp_path / "a.pcap").write_bytes(c.classic(rows, cut=3))
+    (tmp_path / "b.pcapng").write_bytes(c.next_generation(rows[:300]))
+    (tmp_path / "c.pcap").write_bytes(c.classic(rows[:3]))
+    (tmp_path / "d.pcap").write_bytes(b"not a capture" * 1000)
+    columns = ["file", "seq", "ts", "src_ip", "dst_ip", "dns_query_name", "packet_len"]
+    whole = pcap.read_captures(spark, str(tmp_path)).select(columns)
+    parts = pcap.read_captures(spark, str(tmp_path), whole=2000, part=4000).select(columns)
+    assert whole.count() == 499 + 300 + 3
+    assert sorted(map(tuple, whole.collect())) == sorted(map(tuple, parts.collect()))
+
+
 #: Published Community ID vectors, seed 0.
 VECTORS = [
     ("TCP", "128.232.110.120", "66.35.250.204", 34855, 80, "1:LQU9qZlK+B5F3KDmev6m5PMibrg="),
@@ -66,6 +106,18 @@ def test_community_id(spark):
     assert [r[0] for r in back.collect()] == [v[5] for v in VECTORS[:3]]
 
 
+def test_community_id_seed_1(spark):
+    df = spark.createDataFrame([("TCP", "128.232.110.120", "66.35.250.204", 34855, 80)], "p string, s string, d string, sp int, dp int")
+    import base64
+    import hashlib
+    import ipaddress
+    import struct
+
+    ends = [ipaddress.ip_address(x).packed for x in ("66.35.250.204", "128.232.110.120")]  # the smaller end first
+    plain = struct.pack("!H4s4sBBHH", 1, *ends, 6, 0, 80, 34855)
+    assert df.select(network.community_id("p", "s", "d", "sp", "dp", seed=1)).first()[0] == "1:" + base64.b64encode(hashlib.sha1(plain).digest()).decode()
+
+
 def test_networks(spark):
     df = spark.createDataFrame([("10.1.2.3",), ("172.32.0.1",), ("172.31.0.1",), ("fd00::1",), ("2001:db8::1",), (None,), ("junk",)], "ip string")
     assert [r[0] for r in df.select(F.coalesce(network.in_networks("ip"), F.lit(False))).collect()] == [True, False, True, True, False, False, False]
