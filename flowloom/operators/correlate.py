@@ -4,23 +4,84 @@ from __future__ import annotations
 
 import hashlib
 import math
-from collections.abc import Iterator
+from collections import deque
+from collections.abc import Callable
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-#: The tactic that each class belongs to.
+from flowloom.operators.ordered import fold_sorted
+from flowloom.staging import staged
+
+#: Number and name of the tactic that each class belongs to.
 TACTICS = {
-    "THREAT_RECON": "Discovery", "THREAT_C2_BEACON": "Command and Control", "THREAT_DNS_DGA": "Command and Control", "THREAT_DNS_TUNNEL": "Exfiltration",
-    "THREAT_EXFIL": "Exfiltration", "THREAT_DDOS_VOLUME": "Impact", "THREAT_TLS_FINGERPRINT": "Command and Control",
+    "THREAT_RECON_PORTSCAN": ("TA0007", "Discovery"), "THREAT_C2_BEACON": ("TA0011", "Command and Control"), "THREAT_DNS_DGA": ("TA0011", "Command and Control"), "THREAT_DNS_TUNNEL": ("TA0011", "Command and Control"),
+    "THREAT_ENCRYPTED_ANOMALY": ("TA0011", "Command and Control"), "THREAT_EXFILTRATION": ("TA0010", "Exfiltration"), "THREAT_DDOS_VOLUME": ("TA0040", "Impact"),
 }
+#: From so many sources on, a resolver is shared and one of the TOP_FAN_IN destinations is common.
+SHARED, TOP_FAN_IN = 5, 10
+
+
+def _looked_up(values: dict[str, str], key: str | Column, other: str) -> Column:
+    m = F.create_map(*[F.lit(x) for kv in values.items() for x in kv])
+    return F.coalesce(F.try_element_at(m, F.col(key) if isinstance(key, str) else key), F.lit(other))
+
+
+def tactic(threat_class: str | Column) -> Column:
+    return _looked_up({k: v[1] for k, v in TACTICS.items()}, threat_class, "Unclassified")
+
+
+def tactic_id(threat_class: str | Column) -> Column:
+    return _looked_up({k: v[0] for k, v in TACTICS.items()}, threat_class, "unclassified")
+
 
+def top_fan_in(rows: DataFrame, window: float, k: int = TOP_FAN_IN, least: int = SHARED, ip: str = "ip", n: str = "n", time: str = "last_time") -> DataFrame:
+    """w, ip: the k destinations with the highest fan-in (n, as of each row) of those seen in the window and the one before, with
+    `least` sources at least; ties by address. A table of k rows a window, whatever the traffic."""
+    wid = F.floor(F.col(time) / window).cast("long")
+    per = rows.groupBy(ip, wid.alias("w")).agg(F.max(n).alias("n")).filter(F.col("n") >= least)
+    spread = per.select(F.col(ip).alias("ip"), "n", F.explode(F.array(F.col("w"), F.col("w") + 1)).alias("w")).groupBy("w", "ip").agg(F.max("n").alias("n"))
+    rank = F.row_number().over(Window.partitionBy("w").orderBy(F.desc("n"), "ip"))
+    return spread.withColumn("r", rank).filter(F.col("r") <= k).select("w", "ip")
 
-def tactic(threat_class: str) -> Column:
-    m = F.create_map(*[F.lit(x) for kv in TACTICS.items() for x in kv])
-    return F.coalesce(F.try_element_at(m, F.col(threat_class)), F.lit("unclassified"))
+
+def refusals(flows: DataFrame, window: float) -> DataFrame:
+    """flows (ord, src_ip, dst_ip, dst_port, way, last_time, dst_distinct_srcs_longterm) with dst_common and src_common: why that end is
+    common infrastructure (a resolver that several ask, or one of the highest fan-ins), or null. The windows' highest fan-ins stand
+    for a list that is renewed every few flows."""
+    from flowloom.operators import rollups
+
+    top = top_fan_in(flows.select(F.col("dst_ip").alias("ip"), "last_time", F.col("dst_distinct_srcs_longterm").alias("n")), window)
+    tier = flows.select(F.col("dst_ip").alias("ip"), "ord", F.col("dst_distinct_srcs_longterm").alias("n"))
+    at_src = rollups.probe(tier, flows.select(F.col("src_ip").alias("ip"), "ord"), ["ip"]).select("ord", F.coalesce("n", F.lit(0)).alias("src_fan_in"))
+    wid = F.floor(F.col("last_time") / window).cast("long")
+    mark = lambda end: top.select(F.col("w").alias("__w"), F.col("ip").alias(f"{end}_ip"), F.lit(True).alias(f"__{end}_top"))
+    f = flows.withColumn("__w", wid).join(mark("dst"), ["__w", "dst_ip"], "left").join(mark("src"), ["__w", "src_ip"], "left").join(at_src, "ord", "left")
+
+    def why(end: str, n: Column, resolver: Column) -> Column:
+        common = F.concat(F.lit("high fan-in destination "), F.col(f"{end}_ip"), F.lit(" ("), n.cast("long").cast("string"), F.lit(" sources)"))
+        return F.when(resolver & (n >= SHARED), F.concat(F.lit("shared resolver "), F.col(f"{end}_ip"))).when(F.coalesce(F.col(f"__{end}_top"), F.lit(False)) & (n >= SHARED), common)
+
+    return f.withColumns({"dst_common": why("dst", F.col("dst_distinct_srcs_longterm"), F.col("dst_port") == 53), "src_common": why("src", F.coalesce("src_fan_in", F.lit(0)), F.lit(False))}).drop("__w", "__dst_top", "__src_top", "src_fan_in")
+
+
+def flow_pivots(flows: DataFrame) -> DataFrame:
+    """ord, host, pivots (in order: host, dst, port, fingerprints, names) and refused (those of common infrastructure: that end, and
+    the port of the same server), of flows with dst_common and src_common. The host is the inside end; of two, the one that is not
+    common, as of a resolver's answer."""
+    from flowloom.operators.tier1 import port_class
+
+    inside = F.col("way").isin("outbound", "internal") | (F.col("way") == "external")
+    swap = (F.col("way") == "internal") & F.col("src_common").isNotNull() & F.col("dst_common").isNull()
+    at_src = inside & ~swap
+    host, other = F.when(at_src, F.col("src_ip")).otherwise(F.col("dst_ip")), F.when(at_src, F.col("dst_ip")).otherwise(F.col("src_ip"))
+    why = F.when(at_src, F.col("dst_common")).otherwise(F.col("src_common"))
+    port = F.concat(F.lit("port:"), F.col("protocol"), F.lit("/"), port_class(F.col("dst_port"), F.col("protocol")).cast("int").cast("string"))
+    names = F.transform(F.concat("dns_queries", "tls_snis"), lambda n: F.concat(F.lit("name:"), F.regexp_replace(F.lower(n), r"\.+$", "")))
+    shown = F.concat(F.array(F.concat(F.lit("host:"), host), F.concat(F.lit("dst:"), other), port), F.transform("tls_ja4", lambda j: F.concat(F.lit("ja4:"), j)), names)
+    refused = F.when(why.isNotNull(), F.array(F.concat(F.lit("dst:"), other), port)).otherwise(F.array().cast("array<string>"))
+    return flows.select("ord", host.alias("host"), F.array_distinct(shown).alias("pivots"), refused.alias("refused"), why.alias("refused_why"))
 
 
 def pivot_rarity(alerts: DataFrame, pivots: Column, seq: str = "alert_id", history: int = 1000, block: str | None = None) -> DataFrame:
@@ -39,56 +100,81 @@ def campaign_id(first_alert: str) -> str:
 
 
 def join_campaigns(alerts: DataFrame, history: int = 1000, rare: float = math.log(10), near: float = 900.0, most: int = 512, pivots_kept: int = 64) -> DataFrame:
-    """alert_id, campaign_id: alerts (alert_id long, ts double, pivots array<string>) in order join the campaign they share most
-    rare pivots with: two of them, or one within `near` seconds; a port never alone; ties go to the older; campaigns do not merge.
+    """alert_id, campaign_id, joined_on and not_merged of alerts (alert_id long, ts double, pivots array<string>; refused array<string>,
+    refused_why and seed, if there are such columns), in order of time and id.
+
+    An alert joins the open campaign that it shares most rare pivots with, refused ones left out: two of them, or one within `near`
+    seconds of its last alert; a port never alone; ties go to the older; campaigns do not merge. A campaign keeps its alerts' pivots,
+    pivots_kept at most, refused ones too: not_merged names up to 3 campaigns that only these would have joined, and why not. A
+    campaign's id is of the seed (else the id) of its first alert. Of more than `most` open ones, that least lately joined closes.
 
-    Each decision depends on the last, so the few alerts (not flows) pass through one task, a batch at a time, with bounded state.
+    Each decision depends on the last, so the alerts (not flows) pass through one task, a batch at a time, with bounded state.
     """
+    have = alerts.columns
+    rows = alerts.select(
+        "alert_id", "ts", "pivots", (F.col("refused") if "refused" in have else F.array().cast("array<string>")).alias("refused"), (F.col("refused_why") if "refused_why" in have else F.lit(None).cast("string")).alias("refused_why"), (F.col("seed") if "seed" in have else F.col("alert_id").cast("string")).alias("seed")
+    )
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        recent: list[list[str]] = []
+    def make() -> Callable[..., tuple]:
+        recent: deque[list[str]] = deque()
         df: dict[str, int] = {}
         open_: dict[str, dict] = {}
         having: dict[str, set[str]] = {}  # pivot: open campaigns with it
-        for pdf in batches:
-            out = []
-            for alert, ts, pivots in zip(pdf["alert_id"], pdf["ts"], pdf["pivots"]):
-                pivots = sorted(set(pivots))
-                rarity = {p: math.log((len(recent) + history) / (df.get(p, 0) + 1)) for p in pivots}
-                usable = {p for p in pivots if rarity[p] >= rare}
-                best = None
-                for c in (open_[i] for i in set().union(*(having.get(p, ()) for p in usable))):
-                    shared = usable & c["pivots"]
-                    hosts = [p for p in shared if not p.startswith("port:")]
-                    if hosts and (len(shared) >= 2 or ts - c["last"] <= near):
-                        key = (-len(shared), c["order"])
-                        best = min(best, (key, c["id"])) if best else (key, c["id"])
-                if best:
-                    c = open_.pop(best[1])
-                else:
-                    c = {"id": campaign_id(str(alert)), "order": alert, "pivots": set(), "last": ts}
-                fresh = set(sorted(usable - c["pivots"])[: max(0, pivots_kept - len(c["pivots"]))])
-                c["pivots"] |= fresh
-                for p in fresh:
-                    having.setdefault(p, set()).add(c["id"])
-                c["last"] = max(c["last"], ts)
-                open_[c["id"]] = c
-                if len(open_) > most:
-                    gone = open_.pop(next(iter(open_)))
-                    for p in gone["pivots"]:
-                        having[p].discard(gone["id"])
-                        if not having[p]:
-                            del having[p]
-                recent.append(pivots)
-                for p in pivots:
-                    df[p] = df.get(p, 0) + 1
-                if len(recent) > history:
-                    for p in recent.pop(0):
-                        df[p] -= 1
-                        if not df[p]:
-                            del df[p]
-                out.append((alert, c["id"]))
-            yield pd.DataFrame(out, columns=["alert_id", "campaign_id"])
-
-    ordered = alerts.select("alert_id", "ts", "pivots").repartition(1).sortWithinPartitions("ts", "alert_id")
-    return ordered.mapInPandas(run, "alert_id long, campaign_id string")
+        count = 0
+
+        def joins(shared: set[str], c: dict, ts: float) -> bool:
+            return any(not p.startswith("port:") for p in shared) and (len(shared) >= 2 or abs(ts - c["last"]) <= near)
+
+        def step(ts: float, pivots: list[str], refused: list[str], why: str | None, seed: str) -> tuple:
+            nonlocal count
+            pivots, held = list(dict.fromkeys(pivots)), set(refused)
+            usable = {p for p in pivots if math.log((len(recent) + history) / (df.get(p, 0) + 1)) >= rare}
+            best, on, notes = None, [], []
+            for c in sorted((open_[i] for i in set().union(*(having.get(p, ()) for p in usable))), key=lambda c: c["order"]):
+                shared = usable & c["pivots"]
+                if joins(shared - held, c, ts):
+                    if best is None or len(shared - held) > len(on):
+                        best, on = c, sorted(shared - held)
+                elif joins(shared, c, ts) and len(notes) < 3:
+                    notes.append(f"{c['id']}: not merged: {why or 'common infrastructure'}")
+            if best is None:
+                best = {"id": campaign_id(seed), "order": count, "pivots": set(), "last": ts}
+                best = open_.pop(best["id"], best)
+                count += 1
+            else:
+                del open_[best["id"]]
+            for p in pivots:
+                if len(best["pivots"]) < pivots_kept:
+                    best["pivots"].add(p)
+                    having.setdefault(p, set()).add(best["id"])
+            best["last"] = max(best["last"], ts)
+            open_[best["id"]] = best
+            if len(open_) > most:
+                gone = open_.pop(next(iter(open_)))
+                for p in gone["pivots"]:
+                    having[p].discard(gone["id"])
+                    if not having[p]:
+                        del having[p]
+            recent.append(pivots)
+            for p in pivots:
+                df[p] = df.get(p, 0) + 1
+            if len(recent) > history:
+                for p in recent.popleft():
+                    df[p] -= 1
+                    if not df[p]:
+                        del df[p]
+            return best["id"], on, notes
+
+        return step
+
+    got = fold_sorted(rows, [], ["ts", "alert_id"], ["ts", "pivots", "refused", "refused_why", "seed"], make, "campaign_id string, joined_on array<string>, not_merged array<string>")
+    return got.select("alert_id", "campaign_id", "joined_on", "not_merged")
+
+
+def correlate(alerts: DataFrame, pivots: DataFrame) -> DataFrame:
+    """alerts (of operators/alerts.py, with ord) with campaign_id, host, tactic_id, tactic, joined_on, not_merged and refused_pivots.
+    pivots: of flow_pivots(), by ord."""
+    met = staged(alerts.join(pivots, "ord").withColumn("seed", F.concat_ws("|", "flow_id", "timestamp", "threat_class")), "pivots")
+    found = join_campaigns(met.select("alert_id", "ts", "pivots", "refused", "refused_why", "seed"))
+    named = met.drop("seed", "pivots", "refused_why", "ord").withColumnRenamed("refused", "refused_pivots")
+    return named.join(found, "alert_id").withColumns({"tactic_id": tactic_id("threat_class"), "tactic": tactic("threat_class")})

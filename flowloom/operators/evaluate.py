@@ -46,11 +46,14 @@ def group_folds(rows: DataFrame, group: str, y: str) -> DataFrame:
     return per.crossJoin(F.broadcast(total)).select(group, "test_n", "test_pos", (F.col("n") - F.col("test_n")).alias("train_n"), (F.col("pos") - F.col("test_pos")).alias("train_pos"))
 
 
-def budget_threshold(rows: DataFrame, group: str, y: str, score: str, rate: float) -> DataFrame:
-    """Per group, the score of the benign row that floor(rate * n) benign rows are ranked above."""
+def budget_threshold(rows: DataFrame, group: str, y: str, score: str, rate: float, least: float = 0.0) -> DataFrame:
+    """Per group, the score of the benign row that floor(rate * n) benign rows are ranked above. Where rate * n is under `least`, there
+    are too few rows to tell the rate, and it widens to least / n; of fewer rows than that, it is the lowest score."""
     w = Window.partitionBy(group)
     ranked = rows.filter(F.col(y) == 0).select(group, score, F.row_number().over(w.orderBy(F.desc(score))).alias("r"), F.count(F.lit(1)).over(w).alias("n"))
-    return ranked.filter(F.col("r") == F.floor(F.col("n") * rate) + 1).select(group, F.col(score).alias("threshold"))
+    wide = F.when(F.col("n") * rate < least, F.lit(least) / F.col("n")).otherwise(F.lit(rate))
+    allowed = F.least(F.floor(F.col("n") * wide + 1e-9), F.col("n") - 1)
+    return ranked.filter(F.col("r") == allowed + 1).select(group, F.col(score).alias("threshold"))
 
 
 def at_threshold(y: str, hit: Column) -> list[Column]:
@@ -98,9 +101,131 @@ def sweep(rows: DataFrame, y: str, bounds: dict[str, list[float]], keep_recall:
     return ok.withColumn("rank", F.row_number().over(order)).drop("pos")
 
 
-def digest(rows: DataFrame, document: Column, by: list[str]) -> DataFrame:
-    """A digest of each group's records that does not depend on their order."""
-    return rows.groupBy(*by).agg(F.sha2(F.array_join(F.array_sort(F.collect_list(F.sha2(document, 256))), ""), 256).alias("digest"), F.count(F.lit(1)).alias("n"))
+def digest(rows: DataFrame, document: Column, by: list[str], prefix: int = 3) -> DataFrame:
+    """A digest of each group's records that does not depend on their order: the sorted sha256 of those that share the first `prefix`
+    digits are digested, and then these digests in order. No group is gathered as a whole."""
+    each = rows.select(*by, F.sha2(document, 256).alias("__h"))
+    some = each.groupBy(*by, F.substring("__h", 1, prefix).alias("__p")).agg(F.sha2(F.array_join(F.array_sort(F.collect_list("__h")), ""), 256).alias("__d"), F.count(F.lit(1)).alias("__n"))
+    listed = F.transform(F.array_sort(F.collect_list(F.struct("__p", "__d"))), lambda x: x["__d"])
+    return some.groupBy(*by).agg(F.sha2(F.array_join(listed, ""), 256).alias("digest"), F.sum("__n").cast("long").alias("n"))
+
+
+def label_code(label: str | Column) -> Column:
+    """The code of a labelled list's text, by how it begins."""
+    c = F.col(label) if isinstance(label, str) else label
+    out = None
+    #: Beginnings of labels and the code each stands for.
+    for begins, code in {"flow=From-Botnet": "botnet", "flow=From-Normal": "normal", "flow=To-Botnet": "to-botnet", "flow=To-Normal": "to-normal"}.items():
+        out = F.when(c.startswith(begins), code) if out is None else out.when(c.startswith(begins), code)
+    return out.otherwise("background")
+
+
+def train_label(code: str | Column) -> Column:
+    """1: an attacker's flow, 0: a normal one; null: neither, not to be learned from."""
+    c = F.col(code) if isinstance(code, str) else code
+    return F.when(c == "botnet", 1).when(c == "normal", 0)
+
+
+def constructed_label(src: str, dst: str, endpoint: str, threat_class: str) -> Column:
+    """Label and class of a flow of a made scene: those that touch the attack's endpoint are malicious."""
+    hit = (F.col(src) == F.lit(endpoint)) | (F.col(dst) == F.lit(endpoint))
+    return F.struct(hit.cast("int").alias("y"), F.when(hit, threat_class).otherwise("benign-baseline").alias("class"))
+
+
+def labelled_rows(rows: DataFrame, labels: DataFrame, keys: list[str], keep: list[str], slack: float = 1.0) -> DataFrame:
+    """A data set to learn from: the rows (keys, id, start, last, and the columns of keep) that exactly one code overlaps, and one that
+    is learned from, with y. Columns that name a host, flow or time may not be kept."""
+    from flowloom.operators.ml import refuse_identity
+
+    refuse_identity(keep)
+    told = overlap_join(rows.select(*keys, "id", "start", "last"), labels, keys, slack).filter("state = 'matched'").select("id", train_label("label").alias("y"))
+    return rows.select("id", *keep).join(told.filter("y is not null"), "id")
+
+
+def alert_outcomes(alerts: DataFrame, flows: DataFrame, infected: DataFrame, normal: DataFrame, slack: float = 1.0) -> DataFrame:
+    """alerts (alert_id, trigger, start, by_rule, first, second: the hosts that a rule's alert may be about, in order, or nulls) with
+    outcome (tp, fp, unknown) and via (flow, entity, -).
+
+    A label of the flow that set an alert off (flows: flow_id, start, code), starting within `slack`, decides first; then, of rules'
+    alerts, if a host is infected, or normal (tables of ip); else it is unknown. Several such flows: the one that starts first.
+    """
+    met = alerts.select("alert_id", F.col("trigger").alias("flow_id"), F.col("start").alias("__t")).join(flows.filter("code in ('botnet', 'normal')"), "flow_id").filter(F.abs(F.col("start") - F.col("__t")) <= slack)
+    by_flow = met.groupBy("alert_id").agg(F.min_by("code", F.struct("start", "code")).alias("__code"))
+    out = alerts.join(by_flow, "alert_id", "left")
+    for end in ("first", "second"):
+        for name, ips in (("bad", infected), ("good", normal)):
+            out = out.join(ips.select(F.col("ip").alias(end), F.lit(True).alias(f"__{end}_{name}")).distinct(), end, "left")
+    some = lambda name: F.col("by_rule") & (F.coalesce(F.col(f"__first_{name}"), F.lit(False)) | F.coalesce(F.col(f"__second_{name}"), F.lit(False)))
+    outcome = F.when(F.col("__code") == "botnet", "tp").when(F.col("__code") == "normal", "fp").when(some("bad"), "tp").when(some("good"), "fp").otherwise("unknown")
+    via = F.when(F.col("__code").isNotNull(), "flow").when(some("bad") | some("good"), "entity").otherwise("-")
+    return out.select(*alerts.columns, outcome.alias("outcome"), via.alias("via"))
+
+
+def entities(threat_class: str, src: str, dst: str) -> Column:
+    """The hosts an alert may be about, in order: of a flood the victim first, of others the source; of outflows none."""
+    c = F.col(threat_class)
+    of = lambda a, b: F.struct(F.col(a).alias("first"), F.col(b).alias("second"))
+    none = F.struct(F.lit(None).cast("string").alias("first"), F.lit(None).cast("string").alias("second"))
+    return F.when(c == "THREAT_DDOS_VOLUME", of(dst, src)).when(c.isin("THREAT_C2_BEACON", "THREAT_ENCRYPTED_ANOMALY", "THREAT_RECON_PORTSCAN", "THREAT_DNS_DGA", "THREAT_DNS_TUNNEL"), of(src, dst)).otherwise(none)
+
+
+def precision_known(outcomes: DataFrame, by: str, flows: int) -> DataFrame:
+    """Per detector: alerts, outcomes, precision over those that are known (null without any), share of unknown ones, alerts per
+    10,000 flows."""
+    n = lambda o: F.count_if(F.col("outcome") == o)
+    at = lambda o, v: F.count_if((F.col("outcome") == o) & (F.col("via") == v)).alias(f"{o}_{v}")
+    return outcomes.groupBy(by).agg(
+        F.count(F.lit(1)).alias("alerts"), n("tp").alias("tp"), n("fp").alias("fp"), n("unknown").alias("unknown"), at("tp", "flow"), at("tp", "entity"), at("fp", "flow"), at("fp", "entity"),
+        F.round(F.try_divide(n("tp"), n("tp") + n("fp")), 4).alias("precision_known"), F.round(n("unknown") / F.count(F.lit(1)), 4).alias("unknown_share"), F.round(F.try_divide(F.count(F.lit(1)) * 10000.0, F.lit(flows)), 2).alias("per_10k_flows"),
+    )
+
+
+def sweep_deduped(rows: DataFrame, y: str, bounds: dict[str, list[float]], keys: list[str], time: str, seq: str, quiet: float, keep_recall: float = 0.9) -> DataFrame:
+    """sweep() over what is left of each combination's hits after suppression (per keys, `quiet` after the last kept). Only rows that
+    some combination hits are taken times the combinations that they pass, and each combination is suppressed for itself."""
+    from flowloom.operators.folds import suppress
+
+    combos: list[dict[str, float]] = [{}]
+    for c, values in bounds.items():
+        combos = [{**x, c: float(v)} for x in combos for v in values]
+    passed = [F.when(_all([F.coalesce(F.col(c) >= v, F.lit(False)) for c, v in x.items()]), F.struct(F.lit(i).alias("combo"), *[F.lit(v).alias(f"min_{c}") for c, v in x.items()])) for i, x in enumerate(combos)]
+    names = [f"min_{c}" for c in bounds]
+    hits = rows.select(*keys, time, seq, y, F.explode(F.array_compact(F.array(*passed))).alias("g")).select(*keys, time, seq, y, "g.*")
+    kept = suppress(hits, ["combo", *keys], quiet, time, seq)
+    per = kept.groupBy("combo", *names).agg(F.count_if(F.col(y) == 1).alias("tp"), F.count_if(F.col(y) == 0).alias("fp"), F.count_if(F.col(y).isNull()).alias("unknown"))
+    best = per.agg(F.max("tp").alias("most"))
+    ok = per.crossJoin(F.broadcast(best)).withColumn("keeps", F.col("tp") >= F.col("most") * keep_recall)
+    hits_ = F.col("tp") + F.col("fp") + F.col("unknown")
+    order = Window.orderBy(F.desc("keeps"), hits_, F.desc(F.coalesce(F.try_divide("tp", F.col("tp") + F.col("fp")), F.lit(0.0))), *names)
+    return ok.withColumn("rank", F.row_number().over(order)).drop("most", "combo")
+
+
+def _all(parts: list[Column]) -> Column:
+    out = parts[0]
+    for p in parts[1:]:
+        out = out & p
+    return out
+
+
+def pick(ranked: DataFrame, holds, most: int = 100) -> dict | None:
+    """The first combination by rank that `holds` (a function of its row as a dict, such as a run of regression checks), with how many
+    it was tried before; None if none of the first `most` does."""
+    for i, row in enumerate(ranked.filter("keeps").orderBy("rank").limit(most).collect()):
+        if holds(row.asDict()):
+            return {**row.asDict(), "skipped": i}
+    return None
+
+
+def one_way_table(packets: DataFrame, detect) -> DataFrame:
+    """threat_class and how many alerts detect gives on all packets, on those that come in and on those that go out."""
+    from flowloom.sources.pcap import one_way
+
+    ways = {"both": packets, "inward": one_way(packets, "IN"), "outward": one_way(packets, "OUT")}
+    rows = None
+    for name, p in ways.items():
+        got = detect(p).select("threat_class", F.lit(name).alias("way"))
+        rows = got if rows is None else rows.unionByName(got)
+    return rows.groupBy("threat_class").agg(*[F.count_if(F.col("way") == name).alias(name) for name in ways])
 
 
 def multiset_difference(a: DataFrame, b: DataFrame) -> DataFrame:

@@ -69,11 +69,11 @@ def suppress(hits: DataFrame, keys: list[str], quiet: float, time: str = "ts", s
 GENESIS = "0" * 64
 
 
-def chain(records: DataFrame, keys: list[str], document: Column, seq: str) -> DataFrame:
-    """seq, prev_hash and record_hash: sha256 of the previous hash and the record's canonical text, per log (keys)."""
+def chain(records: DataFrame, keys: list[str], document: Column, seq: str, start: str = GENESIS) -> DataFrame:
+    """seq, prev_hash and record_hash: sha256 of the previous hash and the record's canonical text, per log (keys), after start."""
 
     def make() -> Callable[..., tuple]:
-        head = GENESIS
+        head = start
 
         def step(text: str | None) -> tuple:
             nonlocal head

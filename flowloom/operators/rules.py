@@ -11,7 +11,7 @@ from flowloom.operators.folds import suppress
 
 SEVERITIES = ("LOW", "MEDIUM", "HIGH", "CRITICAL")
 
-#: Thresholds, severity and confidence of each rule on packet captures.
+#: Detector, class, severity, confidence and thresholds of each rule on packet captures.
 RULESET = {
     "RULE_DDOS_SYN_FLOOD": {"detector": "ddos_volume_detector", "class": "THREAT_DDOS_VOLUME", "severity": "CRITICAL", "confidence": 0.9, "srcs": 200, "entropy": 5.0, "syn_only": 0.8},
     "RULE_DDOS_UDP_REFLECTION": {"detector": "ddos_volume_detector", "class": "THREAT_DDOS_VOLUME", "severity": "CRITICAL", "confidence": 0.9, "flows": 50, "mean_pkt": 400.0, "bytes": 1_000_000},
@@ -19,25 +19,47 @@ RULESET = {
     "RULE_C2_PERIODIC_FLOWS": {"detector": "c2_beacon_detector", "class": "THREAT_C2_BEACON", "severity": "HIGH", "confidence": 0.8, "gaps": 16, "cv": 0.4, "period": 10.0, "periodic_dsts": 10},
     "RULE_DGA_NXDOMAIN_HIGH_ENTROPY": {"detector": "dga_lexical_detector", "class": "THREAT_DNS_DGA", "severity": "HIGH", "confidence": 0.9, "names": 20, "nxdomain": 0.5},
     "RULE_DGA_HIGH_ENTROPY_QNAMES": {"detector": "dga_lexical_detector", "class": "THREAT_DNS_DGA", "severity": "MEDIUM", "confidence": 0.6, "names": 20},
-    "RULE_DNS_TUNNEL_VOLUME_LENGTH": {"detector": "dns_tunnel_detector", "class": "THREAT_DNS_TUNNEL", "severity": "HIGH", "confidence": 0.85, "queries": 50, "mean_length": 40},
-    "RULE_TLS_KNOWN_BAD_JA4": {"detector": "tls_fingerprint_detector", "class": "THREAT_TLS_FINGERPRINT", "severity": "HIGH", "confidence": 0.95},
-    "RULE_TLS_RARE_JA4_REPEATED": {"detector": "tls_fingerprint_detector", "class": "THREAT_TLS_FINGERPRINT", "severity": "MEDIUM", "confidence": 0.65, "others": 2, "pair_flows": 5, "bytes": 8192, "duration": 10.0},
-    "RULE_RECON_FANOUT_SYN_ONLY": {"detector": "recon_detector", "class": "THREAT_RECON", "severity": "MEDIUM", "confidence": 0.8, "fanout": 20, "syn_only": 0.8, "fan_in": 5},
-    "RULE_EXFIL_OUTBOUND_RATIO": {"detector": "exfil_detector", "class": "THREAT_EXFIL", "severity": "HIGH", "confidence": 0.85, "egress": 1_000_000, "ratio": 50.0},
-    "RULE_EXFIL_EGRESS_BASELINE": {"detector": "exfil_detector", "class": "THREAT_EXFIL", "severity": "MEDIUM", "confidence": 0.75, "z": 3.0, "dst_srcs": 1},
+    "RULE_DNS_TUNNEL_VOLUME_LENGTH": {"detector": "dns_tunnel_detector", "class": "THREAT_DNS_TUNNEL", "severity": "HIGH", "confidence": 0.85, "queries": 50, "mean_length": 40.0},
+    "RULE_TLS_KNOWN_BAD_JA4": {"detector": "encrypted_anomaly_detector", "class": "THREAT_ENCRYPTED_ANOMALY", "severity": "HIGH", "confidence": 0.95},
+    "RULE_TLS_RARE_JA4_REPEATED": {"detector": "encrypted_anomaly_detector", "class": "THREAT_ENCRYPTED_ANOMALY", "severity": "MEDIUM", "confidence": 0.65, "others": 2, "pair_flows": 5, "bytes": 8192, "duration": 10.0},
+    "RULE_RECON_FANOUT_SYN_ONLY": {"detector": "recon_portscan_detector", "class": "THREAT_RECON_PORTSCAN", "severity": "MEDIUM", "confidence": 0.8, "fanout": 20, "syn_only": 0.8, "fan_in": 5},
+    "RULE_EXFIL_OUTBOUND_RATIO": {"detector": "exfiltration_detector", "class": "THREAT_EXFILTRATION", "severity": "HIGH", "confidence": 0.85, "egress": 1_000_000, "ratio": 50.0},
+    "RULE_EXFIL_EGRESS_BASELINE": {"detector": "exfiltration_detector", "class": "THREAT_EXFILTRATION", "severity": "MEDIUM", "confidence": 0.75, "z": 3.0, "dst_srcs": 1},
 }
 
+EVIDENCE = "array<struct<feature:string,value:double,said:string,baseline:double,baseline_source:string,contribution:double>>"
+SUBSTITUTIONS = "array<struct<unavailable:string,reason:string,substituted_by:array<string>>>"
+
+
+def finite(c: Column) -> Column:
+    """What is not a finite number becomes 0; null stays."""
+    x = c.cast("double")
+    return F.when(F.isnan(x) | (F.abs(x) == float("inf")), F.lit(0.0)).otherwise(x)
+
+
+def evidence(feature: str, value: Column | None = None, baseline: Column | float | None = None, source: str | None = None, said: Column | None = None) -> Column:
+    """A row of evidence: a feature, what it was (value, or said for texts), and what it was held against."""
+    number = lambda c: F.lit(None).cast("double") if c is None else finite(c if isinstance(c, Column) else F.lit(float(c)))
+    return F.struct(F.lit(feature).alias("feature"), number(value).alias("value"), (F.lit(None).cast("string") if said is None else said).alias("said"), number(baseline).alias("baseline"), F.lit(source).cast("string").alias("baseline_source"), F.lit(None).cast("double").alias("contribution"))
+
+
+def over(feature: str, bound: float) -> Column:
+    """Evidence of a column that was held against a threshold of the rule."""
+    return evidence(feature, F.col(feature), bound, "rule_threshold")
+
 
 @dataclass(frozen=True)
 class Rule:
-    """A predicate over feature columns, what its hits say, and whose they are."""
+    """A predicate over feature columns, what its hits say, whose they are, and what speaks for them."""
 
     name: str
     when: Column
     detector: str
     severity: Column | str
-    confidence: float
+    confidence: Column | float
     entity: Column
+    evidence: tuple[Column, ...] = ()
+    substitution: Column | None = None
 
 
 def at_least(col: str, bound: float) -> Column:
@@ -45,15 +67,20 @@ def at_least(col: str, bound: float) -> Column:
     return F.coalesce(F.col(col) >= bound, F.lit(False))
 
 
-def apply_rules(features: DataFrame, rules: list[Rule], keep: list[str]) -> DataFrame:
-    """A row per hit: the columns of keep, detector, rule, severity, confidence, entity. One pass over the features; of a
-    detector's rules, the first in order that holds."""
+def apply_rules(features: DataFrame, rules: list[Rule], keep: list[str], explain: bool = False) -> DataFrame:
+    """A row per hit: the columns of keep, detector, rule, severity, confidence, entity; with explain, evidence and substitutions too.
+    One pass over the features; of a detector's rules, the first in order that holds."""
     hits = []
     seen: dict[str, Column] = {}
     for r in rules:
         free = ~seen[r.detector] if r.detector in seen else F.lit(True)
         severity = F.lit(r.severity) if isinstance(r.severity, str) else r.severity
-        hits.append(F.when(free & r.when, F.struct(F.lit(r.detector).alias("detector"), F.lit(r.name).alias("rule"), severity.alias("severity"), F.lit(r.confidence).alias("confidence"), r.entity.cast("string").alias("entity"))))
+        confidence = r.confidence if isinstance(r.confidence, Column) else F.lit(r.confidence)
+        said = [F.lit(r.detector).alias("detector"), F.lit(r.name).alias("rule"), severity.alias("severity"), confidence.alias("confidence"), r.entity.cast("string").alias("entity")]
+        if explain:
+            instead = F.array() if r.substitution is None else F.array(r.substitution)
+            said += [F.array(*r.evidence).cast(EVIDENCE).alias("evidence"), instead.cast(SUBSTITUTIONS).alias("substitutions")]
+        hits.append(F.when(free & r.when, F.struct(*said)))
         seen[r.detector] = seen[r.detector] | r.when if r.detector in seen else r.when
     return features.select(*keep, F.explode(F.array_compact(F.array(*hits))).alias("hit")).select(*keep, "hit.*")
 
@@ -74,8 +101,17 @@ def severity_name(rank: Column) -> Column:
 
 
 def fuse(hits: DataFrame, by: list[str]) -> DataFrame:
-    """Hits of one flow and class as one alert: all rules, highest severity and confidence."""
-    return hits.groupBy(*by).agg(F.array_join(F.array_sort(F.collect_set("rule")), ",").alias("rules"), severity_name(F.max(severity_rank("severity"))).alias("severity"), F.max("confidence").alias("confidence"))
+    """Hits of one flow and class as one alert: all rules, highest severity and confidence; if the hits have them, the detector and
+    entity of the first rule, and the evidence and substitutions of all, in order of their rules."""
+    more = []
+    if "evidence" in hits.columns:
+        told = F.array_sort(F.collect_list(F.struct("rule", "detector", "entity", "evidence", "substitutions")))
+        more = [told.alias("__told")]
+    out = hits.groupBy(*by).agg(F.array_join(F.array_sort(F.collect_set("rule")), ",").alias("rules"), severity_name(F.max(severity_rank("severity"))).alias("severity"), F.max("confidence").alias("confidence"), *more)
+    if more:
+        all_of = lambda name: F.flatten(F.transform("__told", lambda t: t[name]))
+        out = out.withColumns({"detector": F.col("__told")[0]["detector"], "entity": F.col("__told")[0]["entity"], "evidence": all_of("evidence"), "substitutions": all_of("substitutions")}).drop("__told")
+    return out
 
 
 def agree(alerts: DataFrame, scores: DataFrame, on: str, flag: float, alone: bool = False) -> DataFrame:
@@ -88,8 +124,10 @@ def agree(alerts: DataFrame, scores: DataFrame, on: str, flag: float, alone: boo
     return joined.withColumns({"severity": severity_name(rank), "confidence": F.round(F.least(confidence, F.lit(1.0)), 4)})
 
 
-def split_evidence(values: dict[str, Column], contract: set[str]) -> Column:
-    """Evidence as a map; values that are not finite become 0, those outside the contract go to metrics."""
-    finite = lambda c: F.when(c.isNull() | F.isnan(c.cast("double")) | (F.abs(c.cast("double")) == float("inf")), F.lit(0.0)).otherwise(c.cast("double"))
-    pairs = lambda names: F.create_map(*[x for n in names for x in (F.lit(n), finite(values[n]))]) if names else F.create_map().cast("map<string,double>")
-    return F.struct(pairs([n for n in values if n in contract]).alias("features"), pairs(list(values)).alias("metrics"))
+def split_evidence(rows: Column, contract: set[str]) -> Column:
+    """Evidence rows (see evidence()) in two: those of contract features stay rows; the values of all, by name, are the metrics."""
+    known = F.array(*[F.lit(n) for n in sorted(contract)])
+    numbers = F.filter(rows, lambda r: r["value"].isNotNull())
+    # of a feature that several rules tell, the last one's value counts
+    latest = F.map_from_entries(F.transform(F.array_distinct(F.transform(numbers, lambda r: r["feature"])), lambda n: F.struct(n.alias("key"), F.element_at(F.filter(numbers, lambda r: r["feature"] == n), -1)["value"].alias("value"))))
+    return F.struct(F.filter(rows, lambda r: F.array_contains(known, r["feature"])).alias("evidence"), latest.alias("metrics"))

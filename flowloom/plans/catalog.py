@@ -570,7 +570,7 @@ def pivot_idf(spark, sf):
 def campaigns(spark, sf):
     e = t.read(spark, sf, "events")
     pivots = F.array(F.concat(F.lit("host:"), F.col("user_id").cast("string")), F.concat(F.lit("port:"), F.get_json_object("props", "$.k")), F.concat(F.lit("value:"), F.floor("value").cast("string")))
-    return correlate.join_campaigns(e.select(F.col("event_id").alias("alert_id"), t.seconds("ts").alias("ts"), pivots.alias("pivots")), near=2 * DAY)
+    return correlate.join_campaigns(e.select(F.col("event_id").alias("alert_id"), t.seconds("ts").alias("ts"), pivots.alias("pivots")), near=2 * DAY).select("alert_id", "campaign_id")
 
 
 # Labels and evaluation.

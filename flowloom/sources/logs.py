@@ -25,7 +25,11 @@ def write_dump(rows: DataFrame, path: str) -> None:
     rows.write.mode("overwrite").option("header", "true").option("compression", "gzip").csv(path)
 
 
-def read_dump(spark: SparkSession, path: str, schema: str) -> DataFrame:
+def read_dump(spark: SparkSession, path: str, schema: str, inputs: list[str] | None = None) -> DataFrame:
+    """A dump to learn from; inputs that name a host, flow or time are refused before anything is read."""
+    from flowloom.operators.ml import refuse_identity
+
+    refuse_identity(inputs or [])
     return spark.read.schema(schema).option("header", "true").csv(path)
 
 
@@ -64,23 +68,81 @@ def append_alerts(spark: SparkSession, alerts: DataFrame, path: str, id_column:
     return fresh.count()
 
 
-def export_log(log: DataFrame, path: str, seq: str = "seq") -> dict:
-    """The log as JSON lines in order, and a manifest: records, first and last time, sha256 of the lines' sha256 in order.
+def append_chained(spark: SparkSession, alerts: DataFrame, path: str, document: str = "document", id_column: str = "alert_id") -> int:
+    """Append alerts (in order of ts and id) to a Parquet log as a hash chain: seq, prev_hash, record_hash. Ids that the log has, or that
+    come twice, are an error. A batch is a folder named by its first seq, and is never written over: of two writers that begin at the
+    same head, one fails."""
+    from flowloom.operators.folds import GENESIS, chain
+
+    log = _existing(spark, path)
+    if alerts.groupBy(id_column).count().filter("count > 1").limit(1).count() or (log is not None and alerts.join(log.select(id_column), id_column, "left_semi").limit(1).count()):
+        raise ValueError("an alert id is there already")
+    last = None if log is None else log.agg(F.max("seq").alias("seq"), F.max_by("record_hash", "seq").alias("head")).first()
+    first, head = (0, GENESIS) if last is None or last.seq is None else (last.seq + 1, last.head)
+    from flowloom.operators.alerts import numbered
+
+    rows = numbered(alerts).withColumn("seq", F.col("seq") + F.lit(first))
+    made = rows.join(chain(rows, [], F.col(document), "seq", head), "seq")
+    n = rows.count()
+    if n:
+        made.write.mode("errorifexists").parquet(f"{path}/from={first}")
+    return n
+
+
+def _existing(spark: SparkSession, path: str) -> DataFrame | None:
+    try:
+        return spark.read.parquet(path)
+    except Exception as e:
+        if "PATH_NOT_FOUND" not in str(e) and "UNABLE_TO_INFER_SCHEMA" not in str(e):
+            raise
+        return None
+
+
+def write_text(spark: SparkSession, path: str, text: str) -> None:
+    """One small file, through Spark's own file systems."""
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    out = where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).create(where, True)
+    out.write(bytearray(text.encode()))
+    out.close()
+
+
+def export_log(log: DataFrame, path: str, seq: str = "seq", versions: tuple[str, ...] = ()) -> dict:
+    """The log under path: alerts.jsonl (lines in order, in files that follow each other), chain_head.txt, manifest.json and
+    datasheet.md. Returns the manifest: records, first and last, version columns' values, the chain's head, and the digest of the lines.
 
-    Refused if the chain is broken. The lines are range-partitioned by seq, so that files follow each other in order.
+    Refused if the chain is broken. Each file's lines are digested where they are, and their digests, in order, give the one of all.
     """
-    from flowloom.operators.folds import verify_chain
-
-    state = verify_chain(log.withColumn("__log", F.lit(1)), ["__log"], F.col("document"), seq).first()
-    if state is not None and state.first_bad is not None:
-        raise ValueError(f"the chain is broken at record {state.first_bad}")
-    lines = log.repartitionByRange(seq).sortWithinPartitions(seq).select(seq, F.to_json(F.struct(*sorted(log.columns))).alias("value"))
-    lines.select("value").write.mode("overwrite").text(path)
-    facts = log.agg(F.count(F.lit(1)).alias("records"), F.min(seq).alias("first"), F.max(seq).alias("last")).first()
-    h = hashlib.sha256()
-    for r in lines.select(F.sha2("value", 256).alias("h"), seq).orderBy(seq).select("h").toLocalIterator():
-        h.update(r.h.encode())
-    return {"records": facts.records, "first": facts.first, "last": facts.last, "sha256": h.hexdigest()}
+    from flowloom.operators.folds import GENESIS, inspect_chain
+    from flowloom.staging import staged
+
+    spark = log.sparkSession
+    state = inspect_chain(log.withColumn("__log", F.lit(1)), ["__log"], F.col("document"), seq).first()
+    if state is not None and not state.ok:
+        raise ValueError(f"the chain is broken at record {state.first_bad}: {state.reason}")
+    text = F.to_json(F.struct(*sorted(log.columns)))
+    lines = staged(log.repartitionByRange(seq).sortWithinPartitions(seq).select(seq, text.alias("value"), F.spark_partition_id().alias("part")), "export")
+    lines.repartitionByRange(seq).sortWithinPartitions(seq).select("value").write.mode("overwrite").text(f"{path}/alerts.jsonl")
+
+    def make():
+        h = hashlib.sha256()
+
+        def step(value: str) -> tuple:
+            h.update(value.encode() + b"\n")
+            return (h.hexdigest(),)
+
+        return step
+
+    from flowloom.operators.ordered import fold_sorted
+
+    each = fold_sorted(lines, ["part"], [seq], ["value"], make, "digest string").groupBy("part").agg(F.max_by("digest", seq).alias("digest"), F.min(seq).alias("first"))
+    whole = hashlib.sha256("".join(r.digest for r in each.orderBy("first").collect()).encode()).hexdigest()
+    facts = log.agg(F.count(F.lit(1)).alias("records"), F.min(seq).alias("first"), F.max(seq).alias("last"), *[F.array_sort(F.collect_set(v)).alias(v) for v in versions]).first()
+    head = GENESIS if state is None else state.head
+    manifest = {"records": facts.records, "first": facts.first, "last": facts.last, **{v: facts[v] for v in versions}, "sha256": whole, "chain_head": head, "chain_genesis": GENESIS}
+    write_text(spark, f"{path}/chain_head.txt", head + "\n")
+    write_text(spark, f"{path}/manifest.json", json.dumps(manifest, indent=2) + "\n")
+    write_text(spark, f"{path}/datasheet.md", "# Log export\n\n" + "".join(f"- {k}: {v}\n" for k, v in manifest.items()))
+    return manifest
 
 
 def bundle_manifest(members: dict[str, bytes], versions: dict[str, str]) -> str:

@@ -4,19 +4,24 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
+
+
+def folder(spark: SparkSession) -> str:
+    """The folder that all executors share (spark.checkpoint.dir); a local one in local mode only."""
+    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if found:
+        return found.rstrip("/")
+    if spark.sparkContext.master != "local" and not spark.sparkContext.master.startswith("local["):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+    return "file:///tmp/checkpoints/flowloom"
 
 
 def staged(df: DataFrame, label: str) -> DataFrame:
-    """Write df to the folder that all executors share (spark.checkpoint.dir; a local one in local mode only) and read it back."""
+    """Write df to the shared folder and read it back. The table goes when the application ends."""
     spark = df.sparkSession
-    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not folder:
-        if not spark.sparkContext.master.startswith("local["):
-            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
-        folder = "file:///tmp/checkpoints/flowloom"
-    path = f"{folder.rstrip('/')}/{label}-{uuid.uuid4().hex}"
+    path = f"{folder(spark)}/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(where)  # when the application ends
+    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(where)
     return spark.read.schema(df.schema).parquet(path)

@@ -99,7 +99,7 @@ def test_log_sinks(spark, tmp_path):
     log = rows.withColumn("seq", F.col("alert_id")).withColumn("l", F.lit(1))
     chained = log.join(folds.chain(log, ["l"], F.col("document"), "seq"), ["l", "seq"]).drop("l")
     facts = logs.export_log(chained, str(tmp_path / "out"))
-    assert facts["records"] == 5 and spark.read.text(str(tmp_path / "out")).count() == 5
+    assert facts["records"] == 5 and spark.read.text(str(tmp_path / "out/alerts.jsonl")).count() == 5
     with pytest.raises(ValueError):
         logs.export_log(chained.filter("seq <> 2"), str(tmp_path / "out2"))
 

@@ -125,7 +125,10 @@ def test_contract():
         spec.require("b")
     with pytest.raises(KeyError):
         spec.require("zzz")
-    assert spec.violations("x", ["a", "c", "other"]) == ["c is not declared", "c is degraded"]
+    assert spec.violations("x", ["a", "c", "other"]) == ["c is not declared", "c is degraded", "other is no feature"]
+    assert spec.violations("nobody", ["a"]) == ["nobody is no consumer"]
+    with pytest.raises(ValueError):  # a consumer above its own tier
+        contract.Contract.parse('features = [{name="a", state="degraded", tier="flow"}]\n[consumers.x]\nmax_state = "computable"\nreads = ["a"]\n')
     with pytest.raises(ValueError):
         contract.Contract.parse('features = [{name="a", state="computable", tier="flow"}, {name="a", state="computable", tier="flow"}]')
 
