@@ -99,6 +99,13 @@ def assemble(fused: DataFrame, flows: DataFrame, window: float, scores: DataFram
     )
 
 
+def unreported(hits: DataFrame, fired: DataFrame, on: list[str], keys: list[str], time: str, seq: str, quiet: float) -> DataFrame:
+    """hits but those less than `quiet` after a row of fired (on, time and fired, its time) with the same `on`, and of what is left, per
+    keys, those at least `quiet` after the last one kept."""
+    free = folds.as_of(hits, fired, on, time, "fired", quiet).filter("fired is null").drop("fired")
+    return folds.suppress(free, keys, quiet, time, seq)
+
+
 def provisional(fast: DataFrame, kept: DataFrame, quiet: float) -> DataFrame:
     """Provisional alerts of the fast lane's hits (fastlane.capture_hits()): one per class and entity in `quiet` seconds, and none
     within `quiet` of a flow alert that the confirming detector gave on that entity. kept: the flow lane's hits (detector, entity,
@@ -106,9 +113,8 @@ def provisional(fast: DataFrame, kept: DataFrame, quiet: float) -> DataFrame:
     by = F.create_map(*[F.lit(x) for kv in CONFIRMED_BY.items() for x in kv])
     hits = fast.withColumns({"t": F.col("w") + 1.0, "confirmed_by": F.try_element_at(by, F.col("threat_class"))})
     fired = kept.filter("entity is not null").select(F.col("detector").alias("confirmed_by"), "entity", F.col("last_time").alias("t"), F.col("last_time").alias("fired"))
-    free = folds.as_of(hits, fired, ["confirmed_by", "entity"], "t", "fired", quiet).filter("fired is null").drop("fired", "confirmed_by")
-    numbered = free.withColumn("no", F.xxhash64("rule", "w"))
-    raised = folds.suppress(numbered, ["threat_class", "entity"], quiet, "t", "no").drop("no")
+    numbered = hits.withColumn("no", F.xxhash64("rule", "w"))
+    raised = unreported(numbered, fired, ["confirmed_by", "entity"], ["threat_class", "entity"], "t", "no", quiet).drop("no", "confirmed_by")
     told = split_evidence(F.col("evidence"), set(Contract.load().features))
     first = F.col("contributors")[0]
     return raised.select(

@@ -16,16 +16,24 @@ def distinct_estimate(item: Column, log2_registers: int = 12) -> Column:
     return F.hll_sketch_estimate(F.hll_sketch_agg(item, log2_registers))
 
 
+def hashed(item: Column, buckets: int, row: int = 0) -> Column:
+    """A bucket of an item (as text) that any engine with MD5 works out alike, another one per row."""
+    return F.conv(F.substring(F.md5(F.concat(F.lit(f"{row}:"), item.cast("string")).cast("binary")), 1, 8), 16, 10).cast("long") % F.lit(buckets)
+
+
+def _cells(item: str, width: int, depth: int) -> Column:
+    return F.explode(F.array(*[F.struct(F.lit(r).alias("row"), hashed(F.col(item), width, r).alias("cell")) for r in range(depth)])).alias("c")
+
+
 def count_min(rows: DataFrame, item: str, width: int = 8192, depth: int = 4) -> DataFrame:
-    """row, cell, n: the table, at most width * depth rows."""
-    cells = F.explode(F.array(*[F.struct(F.lit(r).alias("row"), F.pmod(F.xxhash64(F.lit(r), F.col(item)), F.lit(width)).alias("cell")) for r in range(depth)])).alias("c")
-    return rows.select(cells).groupBy("c.row", "c.cell").agg(F.count(F.lit(1)).alias("n"))
+    """row, cell, n: the table, at most width * depth rows. Items are counted before they are spread over the rows."""
+    each = rows.groupBy(item).agg(F.count(F.lit(1)).alias("n"))
+    return each.select(_cells(item, width, depth), "n").groupBy("c.row", "c.cell").agg(F.sum("n").alias("n"))
 
 
 def count_min_estimate(table: DataFrame, items: DataFrame, item: str, width: int = 8192, depth: int = 4) -> DataFrame:
     """item, estimate: the least of its cells; never under the true count."""
-    cells = F.explode(F.array(*[F.struct(F.lit(r).alias("row"), F.pmod(F.xxhash64(F.lit(r), F.col(item)), F.lit(width)).alias("cell")) for r in range(depth)])).alias("c")
-    asked = items.select(item, cells).select(item, "c.row", "c.cell")
+    asked = items.select(item, _cells(item, width, depth)).select(item, "c.row", "c.cell")
     return asked.join(table, ["row", "cell"], "left").groupBy(item).agg(F.coalesce(F.min(F.coalesce("n", F.lit(0))), F.lit(0)).alias("estimate"))
 
 
@@ -35,7 +43,7 @@ def merge_count_min(a: DataFrame, b: DataFrame) -> DataFrame:
 
 def bucket_entropy(rows: DataFrame, by: list[str], item: str, buckets: int = 128) -> DataFrame:
     """Entropy of hash buckets: at most log2(buckets) bits, and at most the items' own entropy."""
-    per = rows.groupBy(*by, F.pmod(F.xxhash64(item), F.lit(buckets)).alias("__b")).agg(F.count(F.lit(1)).alias("n"))
+    per = rows.groupBy(*by, hashed(F.col(item), buckets).alias("__b")).agg(F.count(F.lit(1)).alias("n"))
     return per.groupBy(*by).agg((F.log2(F.sum("n")) - F.sum(F.col("n") * F.log2("n")) / F.sum("n") + 0.0).alias("entropy"))
 
 

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from flowloom.functions import network, text
-from flowloom.operators import alertlog, correlate, evaluate, fastlane, flows, folds, ml, rollups, rules, sketches
+from flowloom.operators import alertlog, alerts, correlate, evaluate, fastlane, flows, folds, ml, rollups, rules, sketches, tier1
 from flowloom.sources import tables as t
 
 QUERIES: dict = {}
@@ -649,7 +649,11 @@ def threshold_sweep(spark, sf):
     return evaluate.sweep(f, "y", {"bytes": [0, 5000, 10000, 20000], "packets": [0, 2, 5, 10]})
 
 
-@query("SELECT role, sha256(coalesce(string_agg(h, '' ORDER BY h), '')) AS digest, count(*) AS n FROM (SELECT role, sha256(text) AS h FROM log) GROUP BY role", t.LOG_SQL)
+@query(
+    """SELECT role, sha256(string_agg(d, '' ORDER BY p)) AS digest, sum(n)::BIGINT AS n FROM
+(SELECT role, substr(h, 1, 3) AS p, sha256(string_agg(h, '' ORDER BY h)) AS d, count(*) AS n FROM (SELECT role, sha256(text) AS h FROM log) GROUP BY 1, 2) GROUP BY role""",
+    t.LOG_SQL,
+)
 def log_digest(spark, sf):
     return evaluate.digest(t.log(spark, sf), F.col("text"), ["role"])
 
@@ -704,22 +708,29 @@ def decayed_history(spark, sf):
     return sketches.decayed_counts(t.packets(spark, sf), ["dst"], "ts")
 
 
-@query("SELECT dst, count(*) AS exact, true AS at_least, true AS near FROM flw GROUP BY dst", t.FLW_SQL)
+HASHED_SQL = "('0x' || substr(md5({row} || ':' || {item}), 1, 8))::BIGINT % {buckets}"
+
+
+@query(
+    "SELECT f.src, count(*) AS exact, min(c.n)::BIGINT AS estimate FROM flw f JOIN cells c ON c.src = f.src GROUP BY f.src".replace("min(c.n)", "(SELECT min(t.n) FROM cells c2 JOIN tab t USING (row, cell) WHERE c2.src = f.src)").replace(" JOIN cells c ON c.src = f.src", ""),
+    t.FLW_SQL,
+    "cells AS (SELECT DISTINCT src, row, " + HASHED_SQL.format(row="row", item="src", buckets=64) + " AS cell FROM flw, (SELECT unnest(range(4)) AS row))",
+    "tab AS (SELECT row, cell, sum(n) AS n FROM cells JOIN (SELECT src, count(*) AS n FROM flw GROUP BY src) USING (src) GROUP BY row, cell)",
+)
 def count_min_vs_exact(spark, sf):
-    """Count-min estimates are never under the exact counts, and over by little at this width."""
+    """Count-min estimates in a narrow table, next to the exact counts: never under them."""
     f = t.flows(spark, sf)
-    exact = f.groupBy("dst").agg(F.count(F.lit(1)).alias("exact"))
-    both = exact.join(sketches.count_min_estimate(sketches.count_min(f, "dst"), exact, "dst"), "dst")
-    return both.select("dst", "exact", (F.col("estimate") >= F.col("exact")).alias("at_least"), (F.col("estimate") <= 1.5 * F.col("exact")).alias("near"))
+    exact = f.groupBy("src").agg(F.count(F.lit(1)).alias("exact"))
+    return exact.join(sketches.count_min_estimate(sketches.count_min(f, "src", 64), exact, "src", 64), "src").select("src", "exact", "estimate")
 
 
-@query("SELECT dst, true AS bounded FROM flw GROUP BY dst", t.FLW_SQL)
+@query(
+    "SELECT dst, round(log2(sum(n)) - sum(n * log2(n)) / sum(n), 6) + 0.0 AS entropy FROM (SELECT dst, " + HASHED_SQL.format(row="0", item="src", buckets=16) + " AS b, count(*) AS n FROM flw GROUP BY 1, 2) GROUP BY dst",
+    t.FLW_SQL,
+)
 def bucket_entropy_bound(spark, sf):
-    """Bucketed entropy is within the exact one's and the buckets' bounds."""
-    f = t.flows(spark, sf)
-    exact = sketches.bucket_entropy(f, ["dst"], "src", 1 << 40).withColumnRenamed("entropy", "exact")
-    both = exact.join(sketches.bucket_entropy(f, ["dst"], "src"), "dst")
-    return both.select("dst", ((F.col("entropy") <= F.col("exact") + 1e-9) & (F.col("entropy") <= 7.0)).alias("bounded"))
+    """Entropy of hash buckets of sources, at most log2(buckets) bits."""
+    return sketches.bucket_entropy(t.flows(spark, sf), ["dst"], "src", 16).select("dst", rounded("entropy"))
 
 
 @query(
@@ -739,3 +750,266 @@ def attack_attribution(spark, sf):
     p = t.packets(spark, sf)
     attacks = p.filter("tcp_flags = 4").select("src", F.col("dst").alias("name"), F.col("ts").alias("first"), (F.col("ts") + F.col("packet_len") * 600).alias("last"))
     return sketches.attribute(p.select("src", F.col("seq").alias("id"), F.col("ts").alias("t")), attacks, ["src"]).select("id", "attack")
+
+
+# Alerts as records, their log, and what judges them.
+
+
+@query(
+    f"SELECT ok, ln, pk, src, 'win:src:' || src || ':' || (floor(last / {WINDOW}) * {WINDOW})::BIGINT || ':' || {int(WINDOW)} AS window_id FROM hits JOIN flw USING (ok, ln, pk, src) WHERE hits.rule = 'FANOUT'",
+    *HITS_SQL,
+)
+def alert_window_ids(spark, sf):
+    """Ids of the windows that alerts on a source are about."""
+    hits = _hits(spark, sf).filter("rule = 'FANOUT'").join(t.flows(spark, sf).select(*KEYS, "last"), KEYS)
+    return hits.select(*KEYS, alerts.window_id(F.lit("src"), F.col("entity"), F.floor(F.col("last") / WINDOW) * WINDOW, WINDOW).alias("window_id"))
+
+
+@query(
+    """SELECT ok, ln, pk, src, trig || coalesce((SELECT string_agg(',' || c, '' ORDER BY n) FROM (SELECT c, row_number() OVER (ORDER BY r) AS n FROM best b WHERE (b.ok, b.ln, b.pk, b.src) = (a.ok, a.ln, a.pk, a.src) AND c <> trig AND r <= 5) WHERE n <= 4), '') AS contributing FROM als a""",
+    *HITS_SQL,
+    f"als AS (SELECT ok, ln, pk, src, h.start, floor(w.last / {WINDOW}) AS w, ok || '-' || ln || '-' || pk AS trig FROM hits h JOIN flw w USING (ok, ln, pk, src) WHERE rule = 'FANOUT')",
+    f"""best AS (SELECT a.ok, a.ln, a.pk, a.src, o.ok || '-' || o.ln || '-' || o.pk AS c, row_number() OVER (PARTITION BY a.ok, a.ln, a.pk, a.src ORDER BY o.bytes DESC, o.start, o.ok, o.ln, o.pk) AS r
+  FROM als a JOIN flw o ON o.src = a.src AND floor(o.last / {WINDOW}) = a.w AND (o.start, o.ok, o.ln, o.pk) <= (a.start, a.ok, a.ln, a.pk))""",
+)
+def contributing_flows(spark, sf):
+    """The flow that set an alert off, then the heaviest others of its source in the window so far."""
+    f = t.flows(spark, sf).withColumn("fid", F.concat_ws("-", "ok", "ln", "pk"))
+    a = _hits(spark, sf).filter("rule = 'FANOUT'").select(*KEYS).join(f.select(*KEYS, "ord", "last", "fid"), KEYS).withColumn("aid", F.concat_ws("-", *KEYS))
+    got = sketches.contributing_flows(a, f, "src", "bytes", "last", WINDOW, "fid")
+    return got.select(*KEYS, F.array_join("contributing", ",").alias("contributing"))
+
+
+@query(
+    f"""SELECT f.ok, f.ln, f.pk, f.src, f.e AS "end", count(o.ok) AS reflector_flows, round(coalesce(sum(o.bytes), 0), 2) AS reflector_bytes, round(sum(o.bytes) / sum(o.packets) + 1e-9, 3) AS reflector_mean_pkt
+FROM ends f LEFT JOIN vic o ON o.victim = f.ip AND (o.wid = f.wid - 1 OR (o.wid = f.wid AND {ORD})) GROUP BY f.ok, f.ln, f.pk, f.src, f.e""",
+    FLW_W,
+    """vic AS (SELECT *, CASE WHEN port < 128 THEN dst ELSE src % 25 END AS victim FROM f WHERE port < 200 AND NOT reverse_seen),
+ends AS (SELECT *, 'dst' AS e, dst AS ip FROM f WHERE dst IN (SELECT victim FROM vic) UNION ALL SELECT *, 'src' AS e, src % 25 AS ip FROM f WHERE src % 25 IN (SELECT victim FROM vic))""",
+)
+def reflection_both_ends(spark, sf):
+    """What reflectors sent to either end of a flow, whichever side of a flow they are on. The adapter names both ends by nation."""
+    from flowloom.plans import detect
+
+    hit = (F.col("port") < 200) & ~F.col("reverse_seen")
+    f = t.flows(spark, sf).withColumns({"src_ip": (F.col("src") % 25).cast("string"), "dst_ip": F.col("dst").cast("string")})
+    f = f.withColumns({"victim": F.when(hit, F.when(F.col("port") < 128, F.col("dst_ip")).otherwise(F.col("src_ip"))), "victim_bytes": F.when(hit, F.col("bytes")), "victim_packets": F.when(hit, F.col("packets"))})
+    got = detect.reflection(f, "ord", "last", WINDOW)
+    return got.join(f.select("ord", *KEYS), "ord").select(*KEYS, "end", "reflector_flows", rounded("reflector_bytes", 2), F.round(F.col("reflector_mean_pkt") + 1e-9, 3).alias("reflector_mean_pkt"))
+
+
+@query(
+    f"""SELECT w, 'dst' AS scope, dst AS entity, 'RULE_FAST_SYN_FLOOD' AS rule FROM (SELECT w, dst, count(*) AS n, count(*) FILTER (silent) / count(*) AS share FROM
+ (SELECT w, dst, src, NOT coalesce(min(seq) FILTER ({SYN}) < max(seq) FILTER ({ACK}), false) AS silent FROM kept GROUP BY w, dst, src HAVING count(*) FILTER ({SYN}) > 0) GROUP BY w, dst) WHERE n >= 2 AND round(share, 6) >= 0.5
+UNION ALL SELECT w, 'dst', dst, 'RULE_FAST_UDP_REFLECTION' FROM (SELECT w, dst, count(DISTINCT src) AS n, sum(packet_len) AS b, avg(packet_len) AS m FROM fw r WHERE dst_port < 30
+ AND NOT EXISTS (SELECT 1 FROM fw q WHERE q.dst_port >= 70 AND q.src = r.src AND q.dst = r.dst AND q.w IN (r.w, r.w - 1)) GROUP BY w, dst) WHERE n >= 2 AND round(b, 4) >= 50 AND round(m, 4) >= 20
+UNION ALL SELECT w, 'src', src::VARCHAR, 'RULE_FAST_SCAN' FROM (SELECT w, src, count(*) AS n, count(*) FILTER (silent) / count(*) AS share FROM
+ (SELECT w, src, dst, dst_port, NOT coalesce(min(seq) FILTER ({SYN}) < max(seq) FILTER ({ACK}), false) AS silent FROM fw GROUP BY w, src, dst, dst_port HAVING count(*) FILTER ({SYN}) > 0) GROUP BY w, src) WHERE n >= 2 AND round(share, 6) >= 0.5""",
+    t.PKT_SQL,
+    f"fw AS (SELECT * REPLACE ('h' || (dst_port % 3) AS dst, src % 40 AS src), floor(ts / {FAST})::BIGINT AS w FROM pkt)",
+    f"kept AS (SELECT * FROM (SELECT *, min(seq) FILTER ({OPENS}) OVER (PARTITION BY w, dst) AS first FROM fw) WHERE seq >= first)",
+)
+def fast_rules_all(spark, sf):
+    """The three fast rules, with thresholds that fit the table."""
+    p = t.packets(spark, sf).withColumns({"dst": F.concat(F.lit("h"), (F.col("dst_port") % 3).cast("string")), "src": F.col("src") % 40})
+    bounds = {"RULE_FAST_SYN_FLOOD": {"srcs": 2, "syn_only": 0.5}, "RULE_FAST_UDP_REFLECTION": {"srcs": 2, "mean_pkt": 20, "bytes": 50}, "RULE_FAST_SCAN": {"targets": 2, "syn_only": 0.5}}
+    return fastlane.all_rules(fastlane.per_destination(p, FAST, SYN, ACK, OPENS), fastlane.unsolicited(p, FAST, "dst_port < 30", "dst_port >= 70"), fastlane.per_source(p, FAST, SYN, ACK), bounds)
+
+
+@query(
+    """SELECT w, dst, max(packet_len) - min(packet_len) AS ttl_spread FROM fw WHERE tcp_flags = 2 GROUP BY w, dst""",
+    t.PKT_SQL,
+    f"fw AS (SELECT * REPLACE (floor(packet_len)::INTEGER AS packet_len), floor(ts / {FAST})::BIGINT AS w FROM pkt)",
+)
+def fast_ttl_spread(spark, sf):
+    return fastlane.ttl_spread(t.packets(spark, sf).withColumn("ttl", F.floor("packet_len").cast("int")), FAST, SYN)
+
+
+@query(
+    f"""SELECT src, seq, ts FROM kept""",
+    "RECURSIVE " + t.PKT_SQL,
+    f"free AS (SELECT * FROM pkt h WHERE tcp_flags = 2 AND NOT EXISTS (SELECT 1 FROM pkt f WHERE f.src = h.src AND f.tcp_flags = 17 AND f.ts <= h.ts AND h.ts - f.ts < {5 * DAY}))",
+    f"""kept AS (SELECT src, arg_min(seq, (ts, seq)) AS seq, min(ts) AS ts FROM free GROUP BY src
+  UNION ALL (SELECT k.src, arg_min(p.seq, (p.ts, p.seq)), min(p.ts) FROM kept k JOIN free p ON p.src = k.src AND p.ts - k.ts >= {5 * DAY} GROUP BY k.src, k.seq))""",
+)
+def provisional_hits(spark, sf):
+    """Fast hits that no flow alert told of lately, one per source in a while."""
+    p = t.packets(spark, sf)
+    fired = p.filter("tcp_flags = 17").select("src", "ts", F.col("ts").alias("fired"))
+    return alerts.unreported(p.filter("tcp_flags = 2").select("src", "ts", "seq"), fired, ["src"], ["src"], "ts", "seq", 5 * DAY).select("src", "seq", "ts")
+
+
+@query("SELECT alert_id, threat_class, severity, host FROM alr WHERE alert_id = 7", t.ALERTS_SQL)
+def alert_lookup(spark, sf):
+    return alertlog.find(t.alerts(spark, sf), 7).select("alert_id", "threat_class", "severity", "host")
+
+
+@query("SELECT count(*) AS alerts FROM alr", t.ALERTS_SQL)
+def alert_count(spark, sf):
+    return alertlog.count(t.alerts(spark, sf))
+
+
+#: The adapter's classes under the names of threats.
+THREATS = {"ERROR": "THREAT_EXFILTRATION", "CLICK": "THREAT_C2_BEACON", "VIEW": "THREAT_DNS_DGA", "SIGNUP": "THREAT_RECON_PORTSCAN"}
+_AS_THREATS = "CASE threat_class " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in THREATS.items()) + " ELSE threat_class END"
+_TACTIC = "CASE c WHEN 'THREAT_EXFILTRATION' THEN 'Exfiltration' WHEN 'THREAT_C2_BEACON' THEN 'Command and Control' WHEN 'THREAT_DNS_DGA' THEN 'Command and Control' WHEN 'THREAT_RECON_PORTSCAN' THEN 'Discovery' ELSE 'Unclassified' END"
+THREAT_SQL = [t.ALERTS_SQL, f"thr AS (SELECT *, {_TACTIC} AS tactic FROM (SELECT *, {_AS_THREATS} AS c FROM alr))"]
+
+
+def _threats(spark, sf):
+    m = F.create_map(*[F.lit(x) for kv in THREATS.items() for x in kv])
+    return t.alerts(spark, sf).withColumn("threat_class", F.coalesce(F.try_element_at(m, F.col("threat_class")), F.col("threat_class")))
+
+
+@query(
+    f"""SELECT campaign_id, alerts, first_seen, last_seen, {_NAMED.format('rank')} AS severity, hosts, classes, tactics FROM
+(SELECT campaign_id, count(*) AS alerts, min(ts) AS first_seen, max(ts) AS last_seen, max(CASE severity WHEN 'LOW' THEN 1 WHEN 'MEDIUM' THEN 2 WHEN 'HIGH' THEN 3 ELSE 4 END) AS rank FROM lat GROUP BY 1)
+JOIN (SELECT campaign_id, string_agg(host::VARCHAR, ',' ORDER BY f) AS hosts FROM (SELECT campaign_id, host, min(alert_id) AS f FROM lat GROUP BY 1, 2) GROUP BY 1) USING (campaign_id)
+JOIN (SELECT campaign_id, string_agg(c, ',' ORDER BY f) AS classes FROM (SELECT campaign_id, c, min(alert_id) AS f FROM lat GROUP BY 1, 2) GROUP BY 1) USING (campaign_id)
+JOIN (SELECT campaign_id, string_agg(tactic, ',' ORDER BY f) AS tactics FROM (SELECT campaign_id, tactic, min(alert_id) AS f FROM lat GROUP BY 1, 2) GROUP BY 1) USING (campaign_id)""",
+    *THREAT_SQL,
+    "lat AS (SELECT * FROM thr WHERE campaign_id IS NOT NULL ORDER BY alert_id DESC LIMIT 5000)",
+)
+def campaign_summaries(spark, sf):
+    """The campaigns of the newest 5,000 alerts that have one: a report's bound."""
+    return alertlog.campaign_summaries(_threats(spark, sf))
+
+
+@query(
+    """SELECT h.*, coalesce(campaigns, '') AS campaigns FROM (SELECT host, tactic, c AS threat_class, count(*) AS alerts, min(ts) AS first_seen, max(ts) AS last_seen FROM thr GROUP BY 1, 2, 3) h
+LEFT JOIN (SELECT host, c AS threat_class, string_agg(campaign_id, ',' ORDER BY f) AS campaigns FROM (SELECT host, c, campaign_id, min(alert_id) AS f FROM thr WHERE campaign_id IS NOT NULL GROUP BY 1, 2, 3) GROUP BY 1, 2) USING (host, threat_class)""",
+    *THREAT_SQL,
+)
+def host_stages(spark, sf):
+    return alertlog.host_stages(_threats(spark, sf)).drop("tactic_id")
+
+
+@query(
+    """SELECT conv_id, n AS records, k = 3 OR n < 3 AS ok, CASE WHEN n >= 3 THEN CASE k WHEN 0 THEN 2 WHEN 1 THEN 1 WHEN 2 THEN 1 END END::BIGINT AS first_bad,
+CASE WHEN n >= 3 THEN CASE k WHEN 0 THEN 'wrong hash' WHEN 1 THEN 'wrong link' WHEN 2 THEN 'column differs' END END AS reason FROM (SELECT conv_id, conv_id % 4 AS k, count(*) AS n FROM log GROUP BY 1)""",
+    t.LOG_SQL,
+)
+def chain_reasons(spark, sf):
+    """Chains that were changed at a known place, in one of three ways."""
+    rows = t.log(spark, sf).withColumn("seq", F.row_number().over(Window.partitionBy("conv_id").orderBy("turn")) - 1).withColumn("kind", F.col("role"))
+    made = rows.join(folds.chain(rows, ["conv_id"], _document(), "seq"), ["conv_id", "seq"])
+    n = F.count(F.lit(1)).over(Window.partitionBy("conv_id"))
+    at = lambda k, place: (F.col("conv_id") % 4 == k) & (F.col("seq") == place) & (F.col("n") >= 3)
+    bad = made.withColumn("n", n).withColumns({"text": F.when(at(0, 2), F.concat("text", F.lit("!"))).otherwise(F.col("text")), "prev_hash": F.when(at(1, 1), F.lit("0" * 64)).otherwise(F.col("prev_hash")), "kind": F.when(at(2, 1), F.lit("?")).otherwise(F.col("kind"))})
+    return folds.inspect_chain(bad, ["conv_id"], _document(), "seq", {"kind": F.col("role")}).drop("head")
+
+
+@query(
+    """SELECT event_id, code, CASE code WHEN 'botnet' THEN 1 WHEN 'normal' THEN 0 END AS y FROM (SELECT event_id, CASE WHEN l LIKE 'flow=From-Botnet%' THEN 'botnet' WHEN l LIKE 'flow=From-Normal%' THEN 'normal' WHEN l LIKE 'flow=To-Botnet%' THEN 'to-botnet' WHEN l LIKE 'flow=To-Normal%' THEN 'to-normal' ELSE 'background' END AS code FROM
+(SELECT event_id, CASE event_type WHEN 'error' THEN 'flow=From-Botnet-V1' WHEN 'view' THEN 'flow=From-Normal-V2' WHEN 'click' THEN 'flow=To-Botnet' WHEN 'signup' THEN 'flow=To-Normal-X' ELSE 'flow=Background' END AS l FROM events))""",
+)
+def label_codes(spark, sf):
+    names = {"error": "flow=From-Botnet-V1", "view": "flow=From-Normal-V2", "click": "flow=To-Botnet", "signup": "flow=To-Normal-X"}
+    said = F.coalesce(F.try_element_at(F.create_map(*[F.lit(x) for kv in names.items() for x in kv]), F.col("event_type")), F.lit("flow=Background"))
+    code = evaluate.label_code(said)
+    return t.read(spark, sf, "events").select("event_id", code.alias("code"), evaluate.train_label(code).alias("y"))
+
+
+OUTCOMES_SQL = [
+    t.PKT_SQL,
+    """lab AS (SELECT dst_port || '-' || (src % 7) AS flow_id, ts AS start, CASE WHEN packet_len < 30 THEN 'botnet' WHEN packet_len < 60 THEN 'normal' ELSE 'to-normal' END AS code FROM pkt WHERE tcp_flags = 16),
+ale AS (SELECT seq AS alert_id, dst AS detector, dst_port || '-' || (src % 7) AS "trigger", ts AS start, seq % 3 <> 0 AS by_rule, (src % 50)::VARCHAR AS "first", (src % 31)::VARCHAR AS "second" FROM pkt WHERE tcp_flags <> 16),
+by_flow AS (SELECT a.alert_id, arg_min(l.code, (l.start, l.code)) AS code FROM ale a JOIN lab l ON l.flow_id = a."trigger" AND abs(l.start - a.start) <= 40000 AND l.code IN ('botnet', 'normal') GROUP BY 1),
+outc AS (SELECT a.*, b.code, by_rule AND ("first"::INTEGER < 5 OR "second"::INTEGER < 5) AS bad, by_rule AND ("first"::INTEGER BETWEEN 10 AND 19 OR "second"::INTEGER BETWEEN 10 AND 19) AS good FROM ale a LEFT JOIN by_flow b USING (alert_id)),
+said AS (SELECT alert_id, detector, CASE WHEN code = 'botnet' THEN 'tp' WHEN code = 'normal' THEN 'fp' WHEN bad THEN 'tp' WHEN good THEN 'fp' ELSE 'unknown' END AS outcome, CASE WHEN code IS NOT NULL THEN 'flow' WHEN bad OR good THEN 'entity' ELSE '-' END AS via FROM outc)""",
+]
+
+
+def _outcomes(spark, sf):
+    p = t.packets(spark, sf).withColumn("flow_id", F.concat_ws("-", "dst_port", (F.col("src") % 7).cast("string")))
+    code = F.when(F.col("packet_len") < 30, "botnet").when(F.col("packet_len") < 60, "normal").otherwise("to-normal")
+    labels = p.filter("tcp_flags = 16").select("flow_id", F.col("ts").alias("start"), code.alias("code"))
+    ip = lambda n: (F.col("src") % n).cast("string")
+    raised = p.filter("tcp_flags <> 16").select(F.col("seq").alias("alert_id"), F.col("dst").alias("detector"), F.col("flow_id").alias("trigger"), F.col("ts").alias("start"), (F.col("seq") % 3 != 0).alias("by_rule"), ip(50).alias("first"), ip(31).alias("second"))
+    ips = lambda a, b: spark.range(a, b).select(F.col("id").cast("string").alias("ip"))
+    return evaluate.alert_outcomes(raised, labels, ips(0, 5), ips(10, 20), 40000.0)
+
+
+@query("SELECT * FROM said", *OUTCOMES_SQL)
+def alert_outcomes(spark, sf):
+    return _outcomes(spark, sf).select("alert_id", "detector", "outcome", "via")
+
+
+@query(
+    """SELECT detector, count(*) AS alerts, count(*) FILTER (outcome = 'tp') AS tp, count(*) FILTER (outcome = 'fp') AS fp, count(*) FILTER (outcome = 'unknown') AS "unknown",
+count(*) FILTER (outcome = 'tp' AND via = 'flow') AS tp_flow, count(*) FILTER (outcome = 'tp' AND via = 'entity') AS tp_entity, count(*) FILTER (outcome = 'fp' AND via = 'flow') AS fp_flow, count(*) FILTER (outcome = 'fp' AND via = 'entity') AS fp_entity,
+round((count(*) FILTER (outcome = 'tp')) / nullif(count(*) FILTER (outcome IN ('tp', 'fp')), 0), 4) AS precision_known, round((count(*) FILTER (outcome = 'unknown')) / count(*), 4) AS unknown_share, round(count(*) * 10000.0::DOUBLE / 5000, 2) AS per_10k_flows FROM said GROUP BY 1""",
+    *OUTCOMES_SQL,
+)
+def precision_known(spark, sf):
+    return evaluate.precision_known(_outcomes(spark, sf), "detector", 5000)
+
+
+@query('SELECT "group", score::DOUBLE AS threshold FROM (SELECT "group", score, row_number() OVER (PARTITION BY "group" ORDER BY score DESC) AS r, count(*) OVER (PARTITION BY "group") AS n FROM lab WHERE y = 0) WHERE r = least(floor(n * CASE WHEN n * 0.001 < 3 THEN 3 / n ELSE 0.001 END + 1e-9), n - 1) + 1', t.LAB_SQL)
+def budget_widened(spark, sf):
+    """An alert budget that few rows cannot tell: it widens to 3 rows."""
+    return evaluate.budget_threshold(t.labelled(spark, sf), "group", "y", "score", 0.001, 3.0)
+
+
+NAMED_SQL = f"""nam AS (SELECT page_id, qname, split_part(qname, '.', 2) AS client, page_id // 50 AS wid, round(coalesce((SELECT entropy(c) FROM (SELECT unnest(string_split(split_part(qname, '.', 1), '')) AS c)), 0), 9) >= 2.0 AS high FROM qnm)"""
+
+
+@query(
+    """SELECT n.page_id, count(*) AS queries_w, count(DISTINCT o.qname) AS names_w, count(*) FILTER (o.high) AS high_w, sum(length(o.qname))::BIGINT AS length_w, round((count(*) FILTER (o.page_id % 5 < 2)) / nullif(count(*) FILTER (o.page_id % 2 = 0), 0), 6) AS nxdomain_w
+FROM nam n JOIN nam o ON o.client = n.client AND (o.wid = n.wid - 1 OR (o.wid = n.wid AND o.page_id <= n.page_id)) GROUP BY n.page_id""",
+    t.NAMES_SQL,
+    NAMED_SQL,
+)
+def dns_windows(spark, sf):
+    """What a client asked in a window and the one before, as of each name: queries, different names, those of high entropy, lengths,
+    refusals over answers."""
+    q = t.names(spark, sf)
+    parts = F.split("qname", r"\.")
+    q = q.withColumns({"client": F.coalesce(F.try_element_at(parts, F.lit(2)), F.lit("")), "high": (F.round(text.entropy(text.first_label("qname")), 9) >= 2.0).cast("long")})
+    sums = {"queries_w": F.lit(1), "high_w": F.col("high"), "length_w": F.length("qname"), "nx": (F.col("page_id") % 5 < 2).cast("long"), "answered": (F.col("page_id") % 2 == 0).cast("long")}
+    run = rollups.running_all(q, ["client"], sums, {"names_w": "qname"}, time="page_id", width=50.0, order="page_id")
+    return run.select("page_id", "queries_w", "names_w", "high_w", "length_w", F.round(F.try_divide("nx", "answered"), 6).alias("nxdomain_w"))
+
+
+@query("SELECT f.ok, f.ln, f.pk, f.src, count(*) AS pair_flows_w FROM f JOIN f o ON o.src = f.src AND o.dst = f.dst AND (o.wid = f.wid - 1 OR (o.wid = f.wid AND " + ORD + ")) GROUP BY ALL", FLW_W)
+def pair_windows(spark, sf):
+    return rollups.running_sums(t.flows(spark, sf), ["src", "dst"], {"pair_flows_w": F.lit(1)}, width=WINDOW).select(*KEYS, "pair_flows_w")
+
+
+@query(
+    """SELECT w, ip FROM (SELECT w, ip, row_number() OVER (PARTITION BY w ORDER BY max(n) DESC, ip) AS r FROM (SELECT dst AS ip, unnest([wid, wid + 1]) AS w, n FROM (SELECT dst, wid, max(n) AS n FROM lt GROUP BY 1, 2) WHERE n >= 5) GROUP BY w, ip) WHERE r <= 10""",
+    FLW_W,
+    """lt AS (SELECT *, sum(new) OVER (PARTITION BY dst ORDER BY start, ok, ln, pk, src ROWS UNBOUNDED PRECEDING)::BIGINT AS n FROM (SELECT *, CASE WHEN row_number() OVER (PARTITION BY dst, src ORDER BY start, ok, ln, pk) = 1 THEN 1 ELSE 0 END AS new FROM f))""",
+)
+def fan_in_top(spark, sf):
+    """The destinations with the highest fan-in, by window."""
+    f = rollups.longterm_distinct(t.flows(spark, sf), ["dst"], "src", "n")
+    return correlate.top_fan_in(f.select(F.col("dst").alias("ip"), "n", "last"), WINDOW, time="last")
+
+
+FIELDS_SQL = """SELECT src, dst, session, round(greatest(max(ts) - min(ts), 0), 4) AS duration, count(*) AS total_packets, sum(len)::BIGINT AS total_bytes, round(count(*) / CASE WHEN max(ts) > min(ts) THEN max(ts) - min(ts) ELSE 1 END, 6) AS pps, round(sum(len) / CASE WHEN max(ts) > min(ts) THEN max(ts) - min(ts) ELSE 1 END, 6) AS bps,
+min(len) AS pkt_size_min, max(len) AS pkt_size_max, round(avg(len) + 1e-9, 4) AS pkt_size_mean, round(stddev_pop(len), 4) AS pkt_size_std, round(quantile_cont(len, 0.25) + 1e-9, 4) AS pkt_size_q25, round(quantile_cont(len, 0.5) + 1e-9, 4) AS pkt_size_q50, round(quantile_cont(len, 0.75) + 1e-9, 4) AS pkt_size_q75,
+round(coalesce(avg(gap), 0) + 1e-9, 3) AS iat_mean, round(coalesce(max(gap), 0), 4) AS iat_max, round(coalesce(min(gap), 0), 4) AS iat_min, round(stddev_pop(len) / (avg(len) + 1e-6), 5) AS burstiness_ratio, round((count(*) FILTER (len < 64)) / count(*), 6) AS small_pkt_ratio,
+1.0::DOUBLE AS is_tcp, 0.0::DOUBLE AS is_icmp, bit_or(tcp_flags) & 2 <> 0 AS has_syn, bit_or(tcp_flags) & 1 <> 0 AS has_fin, bit_or(tcp_flags) & 4 <> 0 AS has_rst,
+count(DISTINCT name) AS dns_query_count, round(max((SELECT entropy(c) FROM (SELECT unnest(string_split(name, '')) AS c))), 6) AS dns_max_domain_entropy, max(length(name) - length(replace(name, '.', ''))) AS dns_max_subdomain_depth
+FROM (SELECT *, floor(packet_len)::INTEGER AS len, dst || '.' || (dst_port % 3) || '.x' AS name FROM ses) GROUP BY src, dst, session"""
+
+
+@query(FIELDS_SQL, t.PKT_SQL, SESSIONS_SQL)
+def flow_fields(spark, sf):
+    """The fields of a flow's own, from aggregates as flow assembly makes them."""
+    s = sessions(spark, sf).withColumns({"len": F.floor("packet_len").cast("int"), "name": F.concat("dst", F.lit("."), (F.col("dst_port") % 3).cast("string"), F.lit(".x"))})
+    size = F.col("len").cast("double")
+    f = s.groupBy("src", "dst", "session").agg(
+        F.min("ts").alias("start_time"), F.max("ts").alias("last_time"), F.count(F.lit(1)).alias("packet_count"), F.sum("len").alias("total_bytes"), F.min(size).alias("pkt_size_min"), F.max(size).alias("pkt_size_max"), F.avg(size).alias("pkt_size_mean"), F.stddev_pop(size).alias("pkt_size_std"),
+        F.percentile(size, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))).alias("pkt_size_q"), *[F.coalesce(a("gap"), F.lit(0.0)).alias(f"flow_iat_{n}") for n, a in (("mean", F.avg), ("var", F.var_pop), ("min", F.min), ("max", F.max))],
+        F.lit(0.0).alias("jitter"), F.count_if(size < 64).alias("small_packets"), F.bit_or("tcp_flags").alias("tcp_flags_seen"), F.collect_set("name").alias("dns_queries"), F.first("dst_port").alias("dst_port"),
+    ).withColumns({"protocol": F.lit("TCP"), "tls_snis": F.array().cast("array<string>")})
+    x = tier1.flow_fields(f)
+    r = lambda c, d, e=0.0: F.round(F.col(c) + e, d).alias(c)
+    flag = lambda c: (F.col(c) > 0).alias(c)
+    return x.select(
+        "src", "dst", "session", r("duration", 4), F.col("total_packets").cast("long").alias("total_packets"), F.col("total_bytes").cast("long").alias("total_bytes"), r("pps", 6), r("bps", 6), F.col("pkt_size_min").cast("int").alias("pkt_size_min"), F.col("pkt_size_max").cast("int").alias("pkt_size_max"),
+        *[r(c, 4, 1e-9) for c in ("pkt_size_mean", "pkt_size_q25", "pkt_size_q50", "pkt_size_q75")], r("pkt_size_std", 4), r("iat_mean", 3, 1e-9), r("iat_max", 4), r("iat_min", 4), r("burstiness_ratio", 5), r("small_pkt_ratio", 6), "is_tcp", "is_icmp", flag("has_syn"), flag("has_fin"), flag("has_rst"),
+        F.col("dns_query_count").cast("long").alias("dns_query_count"), r("dns_max_domain_entropy", 6), F.col("dns_max_subdomain_depth").cast("long").alias("dns_max_subdomain_depth"),
+    )

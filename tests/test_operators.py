@@ -151,3 +151,80 @@ def test_isolation_forest_prefers_outliers():
     assert (s == ml.IsolationForest(rows, seed=1).score(rows)).all()
     with pytest.raises(ValueError):
         ml.refuse_identity(["bytes", "src_ip"])
+
+
+def test_folds_of_a_hot_key_are_linear(spark):
+    """A key with 300,000 rows: its state is small, and twice the rows take about twice the time."""
+    import time
+
+    def rows(n):
+        return spark.range(n, numPartitions=4).select(F.lit("k").alias("k"), F.col("id").alias("seq"), F.col("id").cast("double").alias("ts"), F.lit("d").alias("d"))
+
+    def took(n):
+        began = time.perf_counter()
+        assert folds.suppress(rows(n), ["k"], 10.0).count() == -(-n // 10)
+        assert folds.chain(rows(n), ["k"], F.col("d"), "seq").filter("record_hash is not null").count() == n
+        return time.perf_counter() - began
+
+    took(1000)
+    assert took(300_000) < 6 * took(100_000) + 2
+
+
+def test_campaigns_equal_a_plain_loop(spark):
+    r = random.Random(4)
+    rows = [(i, 200.0 * i + r.random() * 100, [f"host:{r.randint(0, 12)}", f"dst:{r.randint(0, 25)}", f"port:{r.randint(0, 1)}", f"ja4:{r.randint(0, 40)}"]) for i in range(300)]
+    df = spark.createDataFrame(rows, "alert_id long, ts double, pivots array<string>").repartition(5)
+    got = {g.alert_id: g.campaign_id for g in correlate.join_campaigns(df, history=50, most=10, rare=math.log(9)).collect()}
+    made, past, want = [], [], {}  # made: of campaigns id, pivots, last time, order of last use
+    for i, ts, pivots in sorted(rows, key=lambda x: (x[1], x[0])):
+        window = past[-50:]
+        rare = {p for p in pivots if math.log((len(window) + 50) / (sum(p in w for w in window) + 1)) >= math.log(9)}
+        fits = [c for c in made if (s := rare & c["p"]) and any(not x.startswith("port:") for x in s) and (len(s) >= 2 or abs(ts - c["t"]) <= 900)]
+        if fits:
+            c = max(fits, key=lambda c: (len(rare & c["p"]), -c["no"]))
+            made.remove(c)
+        else:
+            c = {"id": correlate.campaign_id(str(i)), "p": set(), "t": ts, "no": i}
+        for p in pivots:
+            c["p"] |= {p} if len(c["p"]) < 64 else set()
+        c["t"] = max(c["t"], ts)
+        made = [*made, c][-10:]
+        past.append(pivots)
+        want[i] = c["id"]
+    assert got == want
+
+
+def test_sweep_counts_after_suppression(spark):
+    r = random.Random(6)
+    rows = [(i, r.choice("ab"), float(r.randint(0, 500)), r.randint(0, 9), r.choice([0, 1, None])) for i in range(200)]
+    df = spark.createDataFrame(rows, "seq long, k string, t double, x int, y int")
+    got = {g.min_x: g for g in evaluate.sweep_deduped(df, "y", {"x": [2, 5, 8]}, ["k"], "t", "seq", 50.0).collect()}
+    for bound in (2, 5, 8):
+        kept = []
+        for k in "ab":
+            last = None
+            for i, kk, t, x, y in sorted(rows, key=lambda z: (z[2], z[0])):
+                if kk == k and x >= bound and (last is None or t - last >= 50):
+                    last = t
+                    kept.append(y)
+        assert (got[bound].tp, got[bound].fp, got[bound].unknown) == (kept.count(1), kept.count(0), kept.count(None))
+    ranked = evaluate.sweep_deduped(df, "y", {"x": [2, 5, 8]}, ["k"], "t", "seq", 50.0, keep_recall=0.0)
+    best = ranked.orderBy("rank").collect()
+    assert evaluate.pick(ranked, lambda c: c["min_x"] == best[1].min_x)["skipped"] == 1 and evaluate.pick(ranked, lambda c: False) is None
+
+
+def test_data_set_and_lookups(spark):
+    rows = spark.createDataFrame([(1, "k", 0.0, 1.0, 5.0), (2, "k", 50.0, 51.0, 6.0), (3, "m", 0.0, 1.0, 7.0)], "id long, key string, start double, last double, bytes double")
+    labels = spark.createDataFrame([(1, "k", 0.0, 1.0, "botnet"), (2, "k", 50.0, 50.5, "background"), (3, "m", 0.0, 0.5, "normal")], "lid long, key string, s double, e double, code string")
+    assert sorted(map(tuple, evaluate.labelled_rows(rows, labels, ["key"], ["bytes"]).collect())) == [(1, 5.0, 1), (3, 7.0, 0)]
+    with pytest.raises(ValueError):
+        evaluate.labelled_rows(rows, labels, ["key"], ["start"])
+    log = spark.createDataFrame([("a", 1)], "alert_id string, ts long")
+    assert alertlog.find(log, "a").count() == 1
+    with pytest.raises(LookupError):
+        alertlog.find(log, "b")
+    old = spark.createDataFrame([(5, "x", "{\"a\":1}"), (9, "y", None)], "seq long, alert_id string, document string")
+    new = alertlog.rechain(old, "seq", "document")
+    state = folds.inspect_chain(new.withColumn("l", F.lit(1)), ["l"], F.col("document"), "seq").first()
+    assert (state.ok, state.records) == (True, 2) and [r.seq for r in new.orderBy("seq").collect()] == [0, 1]
+    assert alertlog.health(None)["alerts"] is None and alertlog.health(log)["alerts"] == 1
