@@ -6,6 +6,7 @@ from collections.abc import Iterator
 from typing import Any
 
 import pandas as pd
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -77,10 +78,19 @@ def suppress_hits(hits: DataFrame, quiet: float, lateness: str = "10 seconds") -
 
 
 def append_alerts(alerts: DataFrame, path: str, checkpoint: str, id_column: str = "alert_id"):
-    """Start writing alerts to a Parquet log; a batch that is run again replaces its own rows, and ids within one are unique."""
+    """Start writing alerts to a Parquet log, in a folder per batch. An id is written once: those that earlier batches have, or that come
+    twice, are left out. A batch that is run again replaces its own rows and looks at those before it only."""
 
     def write(batch: DataFrame, number: int) -> None:
-        batch.dropDuplicates([id_column]).write.mode("overwrite").parquet(f"{path}/batch={number}")
+        fresh = batch.dropDuplicates([id_column])
+        if number:
+            try:
+                known = batch.sparkSession.read.parquet(path).filter(F.col("batch") < number).select(id_column)
+                fresh = fresh.join(known, id_column, "left_anti")
+            except AnalysisException as e:  # no batch before had a row
+                if e.getCondition() not in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
+                    raise
+        fresh.select(batch.columns).write.mode("overwrite").parquet(f"{path}/batch={number}")
 
     return alerts.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).start()
 

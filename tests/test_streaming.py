@@ -43,4 +43,10 @@ def test_alert_sink(spark, tmp_path):
     q.processAllAvailable()
     q.stop()
     assert spark.read.parquet(str(tmp_path / "log")).count() == 2
+    # a later batch brings an id again
+    spark.createDataFrame([(2, 9.0), (3, 9.5)], "alert_id long, ts double").coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    q = sessions.append_alerts(spark.readStream.schema("alert_id long, ts double").parquet(str(tmp_path / "in")), str(tmp_path / "log"), str(tmp_path / "ck"))
+    q.processAllAvailable()
+    q.stop()
+    assert sorted((r.alert_id, r.ts) for r in spark.read.parquet(str(tmp_path / "log")).collect())[1:] == [(2, 2.0), (3, 9.5)]
     assert sessions.rates([])["p50_ms"] is None
