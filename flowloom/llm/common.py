@@ -36,6 +36,14 @@ def stage(df: DataFrame, label: str) -> DataFrame:
     return out
 
 
+def free_prefix(columns: list[str]) -> str:
+    """Underscores that no column begins with, for columns of an operator's own beside the caller's."""
+    prefix = "__"
+    while any(c.startswith(prefix) for c in columns):
+        prefix += "_"
+    return prefix
+
+
 def delete_at_exit(spark: SparkSession, path: str) -> None:
     """Delete the folder when the application ends."""
     where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from flowloom.llm.common import stage
+from flowloom.llm.common import free_prefix, stage
 
 WORD = r"[^\x20\x09-\x0D]+"
 #: Up to so many sources, their table is broadcast; beyond, the join shuffles it.
@@ -56,38 +56,45 @@ def uniform(seed: int, *cols: str) -> F.Column:
     return F.conv(F.substring(F.md5(key), 1, 8), 16, 10).cast("long").cast("double") / F.lit(float(2**32))
 
 
-def mix(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), share: tuple[int, int] = (3, 2), most: int = 2, seed: int = 17) -> DataFrame:
-    """The documents with __size, __source_size, __target and __copies, how often the mix takes each.
+def mix(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), share: tuple[int, int] = (3, 2), most: int = 2, seed: int = 17, size: str | None = None) -> DataFrame:
+    """The documents with size, source_size, target and copies, how often the mix takes each, under names that begin with the
+    underscores that no column of docs begins with (free_prefix()).
 
-    docs has doc_id, text and source; other columns stay. Null text: size 0. Null source: a source of its own, ranked last.
-    Repeated rows draw alike, as the draw depends on the id and size. A source without words has target 0. An empty table
-    gives an empty result. Copies of a document: floor(target / source size), plus one if its draw is under the fraction.
+    docs has doc_id, source, and text, or their sizes in a column named by `size`; other columns stay, whatever their names. Null
+    text: size 0. Null source: a source of its own, ranked last. Repeated rows draw alike, as the draw depends on the id and size. A
+    source without words has target 0. An empty table gives an empty result. Copies of a document: floor(target / source size), plus
+    one if its draw is under the fraction.
     """
-    sized = docs.withColumn("__size", n_words())
-    rates = stage(source_targets(sized.select("source", F.col("__size").alias("size")), weights, share, most), "mix-rates")
+    p = free_prefix(docs.columns)
+    sized = docs.withColumn(f"{p}size", n_words() if size is None else F.col(size))
+    rates = stage(source_targets(sized.select("source", F.col(f"{p}size").alias("size")), weights, share, most), "mix-rates")
     n = rates.count()
-    rates = rates.select(F.col("source").alias("__source"), F.col("source_size").alias("__source_size"), F.col("target").alias("__target"))
+    rates = rates.select(F.col("source").alias(f"{p}source"), F.col("source_size").alias(f"{p}source_size"), F.col("target").alias(f"{p}target"))
     if n <= BROADCAST_SOURCES:
         rates = F.broadcast(rates)
-    rate = F.least(F.when(F.col("__source_size") > 0, F.col("__target") / F.col("__source_size")).otherwise(F.lit(0.0)), F.lit(float(most)))
-    whole = F.floor(F.col("__rate"))
+    per = F.when(F.col(f"{p}source_size") > 0, F.col(f"{p}target") / F.col(f"{p}source_size")).otherwise(F.lit(0.0))
+    rate = F.col(f"{p}rate")
     return (
-        sized.join(rates, F.col("source").eqNullSafe(F.col("__source")))
-        .withColumn("__rate", rate)
-        .withColumn("__copies", (whole + (uniform(seed, "doc_id", "__size") < F.col("__rate") - whole).cast("long")).cast("long"))
-        .drop("__source", "__rate")
+        sized.join(rates, F.col("source").eqNullSafe(F.col(f"{p}source")))
+        .withColumn(f"{p}rate", F.least(per, F.lit(float(most))))
+        .withColumn(f"{p}copies", (F.floor(rate) + (uniform(seed, "doc_id", f"{p}size") < rate - F.floor(rate)).cast("long")).cast("long"))
+        .drop(f"{p}source", f"{p}rate")
     )
 
 
 def emit(mixed: DataFrame, columns: list[str]) -> DataFrame:
-    """Each document as often as the mix takes it."""
-    return mixed.filter(F.col("__copies") > 0).withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__copies").cast("int")))).select(*columns)
+    """Each document as often as the mix takes it. columns: those of mix()'s docs."""
+    copies = f"{free_prefix(columns)}copies"
+    each = mixed.filter(F.col(copies) > 0)
+    return each.select(*[F.col(f"`{c}`") for c in columns], F.explode(F.sequence(F.lit(1), F.col(copies).cast("int"))).alias(copies)).drop(copies)
 
 
 def op4_mixing(spark, sf_dir):
     from flowloom.llm.common import table
 
-    mixed = mix(table(spark, sf_dir, "documents").select("doc_id", "text", "source"))
+    # the texts are read once: what the targets and the draws need of them is their size
+    sized = stage(table(spark, sf_dir, "documents").select("doc_id", "source", n_words().alias("words")), "mix-sizes")
+    mixed = mix(sized, size="words")
     return mixed.select("doc_id", F.col("__size").alias("size"), F.col("__source_size").alias("source_size"), F.col("__target").alias("target"), (F.col("__size") * F.col("__copies")).alias("taken"))
 
 
