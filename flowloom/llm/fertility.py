@@ -150,6 +150,7 @@ def measure(docs: DataFrame, vocabulary: str, bands: Bands = Bands(), most_bytes
     vocabulary: path of a sentencepiece model with byte fallback. most_bytes: of words whose tokens a worker keeps between batches.
     """
     names = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "n_tokens", "chars_per_token", "fallback_share", "token_entropy", "script", "outer", "thin_outer", "digest")
+    docs = docs.select(*[F.col(f"`{c}`") for c in docs.columns if c.lower() not in names])  # the measures have these names
     keep = [c for c in docs.columns if with_text or c != "text"]
 
     def rows(cols: dict[str, list]) -> dict[str, list]:
@@ -221,11 +222,12 @@ def _usual(grouped: DataFrame, least: int) -> DataFrame:
 def fertility_rules(docs: DataFrame, vocabulary: str, bands: Bands = Bands(), with_text: bool = False) -> DataFrame:
     """measure(), and kept: false if the base rule fails or the text is outside its outer or language's band.
 
-    docs has doc_id, text and lang; other columns are left out unless the caller selects them, repeated rows stay, an empty table
-    gives none. Null or empty text: no words, so base_failed. Null lang: as a language of all such texts of its script. deviation is 0
+    docs has doc_id, text and lang; other columns stay, but for those with names of what is measured or judged, which are left out.
+    Repeated rows stay, an empty table gives none. Null or empty text: no words, so base_failed. Null lang: as a language of all such texts of its script. deviation is 0
     where the language has no band and the script's fixed one decides.
     """
-    got = stage(measure(docs, vocabulary, bands, with_text=with_text), "fertility")
+    own = ("group", "length", "deviation", "kept", *[f"{m}_{x}" for m in ("chars_per_token", "token_entropy") for x in ("mid", "sd")], "tokens_mid", "slope")
+    got = stage(measure(docs.select(*[F.col(f"`{c}`") for c in docs.columns if c.lower() not in own]), vocabulary, bands, with_text=with_text), "fertility")
     grouped = got.withColumn("group", F.coalesce(F.col("lang"), F.col("script"))).withColumn("length", F.floor(F.log2(F.greatest("n_tokens", F.lit(1)))).cast("int"))
     # a row per language and length; as a table of its own its size is known, so that Spark broadcasts it only if it is small
     usual = stage(_usual(grouped, bands.least_rows), "fertility-usual")

@@ -15,7 +15,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from flowloom.llm.common import map_rows, release, stage, table
+from flowloom.llm.common import free_prefix, map_rows, release, stage, table
 from flowloom.llm.graph import connected_components
 
 PIECE = 1 << 20
@@ -101,7 +101,7 @@ def tile_links(fps: np.ndarray, side: np.ndarray, radius: int, tile: int = 512)
 
 
 def links(distinct: DataFrame, radius: int, n: int, tile_rows: int = 8192) -> DataFrame:
-    """u, v: spanning links of the fingerprints (column fp, each once) within the radius.
+    """u, v: spanning links of the fingerprints (column fp, each once) within the radius; of an empty or single one, none.
 
     The number of blocks follows from the count n so that a block's value has few thousand rows on average. Values with more
     than tile_rows are cut into parts, and each pair of parts is a task's group of its own.
@@ -173,14 +173,17 @@ def near_duplicates(docs: DataFrame, radius: int = 4) -> DataFrame:
 
 def one_of_each(docs: DataFrame, radius: int = 4) -> DataFrame:
     """The row of each component with the smallest doc_id (nulls last; of several such rows, that of the least text digest; of equal
-    rows, one), with the columns of docs."""
+    rows, one), with the columns of docs, whatever others there are. An empty table gives none."""
+    p = free_prefix(docs.columns)
     key = F.unhex(F.md5(F.coalesce(F.col("text"), F.lit("")).cast("binary")))
-    tagged = docs.withColumn("__id", F.coalesce(F.col("doc_id").cast("string"), F.lit(""))).withColumn("__key", key)
-    rows = stage(fingerprints(tagged, ("doc_id", "__id", "__key")), "simhash-rows")
-    each = rows.groupBy("fp").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "__key", "__id")).alias("one"))
+    names = (f"{p}id", f"{p}key")
+    tagged = docs.withColumns(dict(zip(names, (F.coalesce(F.col("doc_id").cast("string"), F.lit("")), key))))
+    rows = stage(fingerprints(tagged, ("doc_id", *names)), "simhash-rows")
+    each = rows.groupBy("fp").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", names[1], names[0])).alias("one"))
     first = each.join(components(rows, radius), "fp").groupBy("root").agg(F.min("one").alias("one"))
-    chosen = stage(first.select("one.__id", "one.__key"), "simhash-chosen")
-    return tagged.join(chosen, ["__id", "__key"], "left_semi").dropDuplicates(["__id", "__key"]).select(*[F.col(f"`{c}`") for c in docs.columns])
+    chosen = stage(first.select(f"one.{names[0]}", f"one.{names[1]}"), "simhash-chosen")
+    release(rows)
+    return tagged.join(chosen, list(names), "left_semi").dropDuplicates(list(names)).select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def op5_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
