@@ -183,8 +183,9 @@ class Vocabulary:
             out[i] = packed[4 * a : 4 * b]
         return out
 
-    def encode_words(self, words: list[str]) -> list[bytes]:
-        """Packed ids of texts that are cut and merged for themselves; special strings in them are their ids."""
+    def encode_words(self, words: list[str], lexicon: Lexicon | None = None) -> list[bytes]:
+        """Packed ids of texts that are cut and merged for themselves; special strings in them are their ids. Pieces that the lexicon
+        has need no merging."""
         cut: list[list[str | int]] = []
         for w in words:
             if self.special is not None and "<" in w and self.special.search(w):
@@ -204,7 +205,11 @@ class Vocabulary:
             for p in parts:
                 if isinstance(p, str):
                     number.setdefault(p, len(number))
-        ids = self.merge([p.encode() for p in number])
+        pieces = [p.encode() for p in number]
+        ids = lexicon.find(pieces) if lexicon is not None else [None] * len(pieces)
+        rest = [i for i, x in enumerate(ids) if x is None]
+        for i, x in zip(rest, self.merge([pieces[i] for i in rest])):
+            ids[i] = x
         return [b"".join([ids[number[p]] if isinstance(p, str) else np.uint32(p).tobytes() for p in parts]) for parts in cut]
 
     def decode(self, packed: bytes) -> str:
@@ -402,13 +407,14 @@ class Encoder:
                 break
             self._learn(self.inner)
             self._learn(self.outer)
-        for i, ids in zip(whole, self.v.encode_words([texts[i] for i in whole])):
+        for i, ids in zip(whole, self.v.encode_words([texts[i] for i in whole], self.lexicon)):
             out[i] = ids
         return out
 
 
 def frequent_words(docs: DataFrame, keep: int = 65_536) -> list[str]:
-    """The most frequent words (between spaces) of all texts, by counts that are exact for each partition's heavy words.
+    """The most frequent words (between spaces) of all texts, by approximate counts: they choose the lexicon's words, and no id
+    depends on them. Of equal counts all or none; null texts have none; an empty table gives none.
 
     Each partition keeps at most 4 * keep counters: when there are more, the count of the keep-th is taken off all (so that a
     word over 1/keep of the partition's words stays), and hands on the first keep. Counts are then added up.
