@@ -1013,3 +1013,89 @@ def flow_fields(spark, sf):
         *[r(c, 4, 1e-9) for c in ("pkt_size_mean", "pkt_size_q25", "pkt_size_q50", "pkt_size_q75")], r("pkt_size_std", 4), r("iat_mean", 3, 1e-9), r("iat_max", 4), r("iat_min", 4), r("burstiness_ratio", 5), r("small_pkt_ratio", 6), "is_tcp", "is_icmp", flag("has_syn"), flag("has_fin"), flag("has_rst"),
         F.col("dns_query_count").cast("long").alias("dns_query_count"), r("dns_max_domain_entropy", 6), F.col("dns_max_subdomain_depth").cast("long").alias("dns_max_subdomain_depth"),
     )
+
+
+# Captures: events as packets between made-up hosts.
+
+ADDRESSED_SQL = """adr AS (SELECT seq, ts, '10.' || (src % 4) || '.0.' || (src % 200) AS src_ip, CASE dst_port % 3 WHEN 0 THEN '93.184.0.' ELSE '192.168.1.' END || dst_port AS dst_ip, CASE WHEN seq % 5 = 0 THEN 'UDP' ELSE 'TCP' END AS protocol,
+  (1024 + seq % 5000)::INTEGER AS src_port, (dst_port * 7 + 1)::INTEGER AS dst_port, tcp_flags, floor(packet_len)::INTEGER + 60 AS packet_len FROM pkt)"""
+
+
+def _addressed(spark, sf):
+    p, s = t.packets(spark, sf), lambda c: F.col(c).cast("string") if isinstance(c, str) else c.cast("string")
+    return p.select(
+        "seq", "ts", F.concat(F.lit("10."), s(F.col("src") % 4), F.lit(".0."), s(F.col("src") % 200)).alias("src_ip"), F.concat(F.when(F.col("dst_port") % 3 == 0, "93.184.0.").otherwise("192.168.1."), s("dst_port")).alias("dst_ip"), F.when(F.col("seq") % 5 == 0, "UDP").otherwise("TCP").alias("protocol"),
+        (1024 + F.col("seq") % 5000).cast("int").alias("src_port"), (F.col("dst_port") * 7 + 1).cast("int").alias("dst_port"), "tcp_flags", (F.floor("packet_len").cast("int") + 60).alias("packet_len"),
+    )
+
+
+@query(
+    """SELECT row_number() OVER (ORDER BY seq) - 1 AS seq, round(ts, 6) AS ts, src_ip, dst_ip, protocol, src_port, dst_port, CASE WHEN protocol = 'TCP' THEN tcp_flags END AS tcp_flags, packet_len, 64 AS ttl, 4 AS ip_version FROM adr""",
+    t.PKT_SQL,
+    ADDRESSED_SQL,
+)
+def capture_round_trip(spark, sf):
+    """Packets written as captures and decoded again."""
+    import uuid
+
+    from flowloom.sources import pcap
+    from flowloom.staging import folder
+
+    path = f"{folder(spark)}/captures-{uuid.uuid4().hex}"
+    pcap.write_captures(_addressed(spark, sf), path)
+    got = pcap.read_captures(spark, path)
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)  # its packets are staged
+    return got.select("seq", rounded("ts"), "src_ip", "dst_ip", "protocol", "src_port", "dst_port", "tcp_flags", "packet_len", "ttl", "ip_version")
+
+
+@query("SELECT count(*) AS packets, sum(packet_len)::BIGINT AS wire_bytes, count(*) FILTER (packet_len > 100) AS truncated, round(max(ts) - min(ts), 6) AS span FROM adr", t.PKT_SQL, ADDRESSED_SQL)
+def capture_facts(spark, sf):
+    from flowloom.sources import pcap
+
+    return pcap.capture_facts(_addressed(spark, sf).withColumn("captured_len", F.least("packet_len", F.lit(100)))).withColumn("span", F.round("span", 6))
+
+
+@query("SELECT seq, src_ip, dst_ip FROM adr WHERE dst_ip LIKE '93.%'", t.PKT_SQL, ADDRESSED_SQL)
+def one_way_packets(spark, sf):
+    from flowloom.sources import pcap
+
+    return pcap.one_way(_addressed(spark, sf), "OUT").select("seq", "src_ip", "dst_ip")
+
+
+@query(
+    """SELECT seq, '1:' || to_base64(unhex(sha1(unhex('0000' || CASE WHEN swap THEN b || a ELSE a || b END || p || '00' || CASE WHEN swap THEN printf('%04X%04X', dst_port, src_port) ELSE printf('%04X%04X', src_port, dst_port) END)))) AS flow_id FROM
+(SELECT *, a > b OR (a = b AND src_port > dst_port) AS swap, CASE protocol WHEN 'TCP' THEN '06' ELSE '11' END AS p FROM
+ (SELECT *, (SELECT string_agg(printf('%02X', x::INTEGER), '' ORDER BY i) FROM (SELECT unnest(string_split(src_ip, '.')) AS x, unnest(range(4)) AS i)) AS a, (SELECT string_agg(printf('%02X', x::INTEGER), '' ORDER BY i) FROM (SELECT unnest(string_split(dst_ip, '.')) AS x, unnest(range(4)) AS i)) AS b FROM adr))""",
+    t.PKT_SQL,
+    ADDRESSED_SQL,
+)
+def community_ids(spark, sf):
+    return _addressed(spark, sf).select("seq", network.community_id("protocol", "src_ip", "dst_ip", "src_port", "dst_port").alias("flow_id"))
+
+
+@query(
+    """SELECT seq, protocol || '~' || least(a, b) || '~' || greatest(a, b) AS label_key FROM (SELECT seq, lower(protocol) AS protocol, src_ip || '|' || src_port AS a, dst_ip || '|' || dst_port AS b FROM adr)""",
+    t.PKT_SQL,
+    ADDRESSED_SQL,
+)
+def label_keys(spark, sf):
+    """Keys that a flow and its label share whichever way they face; one side's ports are hexadecimal here."""
+    from flowloom.sources import logs
+
+    a = _addressed(spark, sf).withColumn("dport", F.concat(F.lit("0x"), F.lpad(F.lower(F.hex("dst_port")), 4, "0")))
+    return a.select("seq", logs.label_key("protocol", "src_ip", "src_port", "dst_ip", "dport").alias("label_key"))
+
+
+@query(
+    """SELECT seq, md5('771,' || list_aggregate(cs, 'string_agg', '-') || ',0-10-' || e || ',29-23,0') AS ja3, md5('771,' || c1 || ',43-' || e) AS ja3s,
+'t13d0' || len(cs) || '03' || 'h2_' || substr(sha256(list_aggregate(list_sort(list_transform(cs, lambda x: printf('%04x', x))), 'string_agg', ',')), 1, 12) || '_' || substr(sha256(list_aggregate(list_sort(['000a', printf('%04x', e)]), 'string_agg', ',') || '_0403,0804'), 1, 12) AS ja4
+FROM (SELECT seq, c1, e, list_filter([2570, c1, c2], lambda x: x <> 2570) AS cs FROM (SELECT seq, (4865 + seq % 7)::INTEGER AS c1, (49195 + seq % 11)::INTEGER AS c2, (21 + seq % 13)::INTEGER AS e FROM pkt))""",
+    t.PKT_SQL,
+)
+def fingerprints(spark, sf):
+    """JA3, JA3S and JA4 of made hellos: reserved values are left out, JA4 sorts."""
+    n = lambda base, mod: (F.lit(base) + F.col("seq") % mod).cast("int")
+    p = t.packets(spark, sf).select("seq", n(4865, 7).alias("c1"), n(49195, 11).alias("c2"), n(21, 13).alias("e"))
+    p = p.withColumns({"v": F.lit(771), "best": F.lit(0x0304), "alpn": F.lit("h2"), "c": F.array(F.lit(0x0A0A), "c1", "c2"), "x": F.array(F.lit(0), F.lit(0x1A1A), F.lit(10), "e"), "sx": F.array(F.lit(43), "e"), "g": F.array(F.lit(29), F.lit(0x2A2A), F.lit(23)), "f": F.array(F.lit(0)), "s": F.array(F.lit(0x0403), F.lit(0x0804))})
+    return p.select("seq", text.ja3("v", "c", "x", "g", "f").alias("ja3"), text.ja3s("v", "c1", "sx").alias("ja3s"), text.ja4("best", "alpn", "c", "x", "s").alias("ja4"))

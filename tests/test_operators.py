@@ -228,3 +228,9 @@ def test_data_set_and_lookups(spark):
     state = folds.inspect_chain(new.withColumn("l", F.lit(1)), ["l"], F.col("document"), "seq").first()
     assert (state.ok, state.records) == (True, 2) and [r.seq for r in new.orderBy("seq").collect()] == [0, 1]
     assert alertlog.health(None)["alerts"] is None and alertlog.health(log)["alerts"] == 1
+
+
+def test_old_alerts_are_upgraded_with_nulls(spark):
+    old = spark.createDataFrame([("a", "X", 0.5)], "alert_id string, threat_class string, confidence double")
+    new = alertlog.upgrade(old).first()
+    assert (new.alert_id, new.schema_version, new.window_id, new.observability_state, new.campaign_id) == ("a", 2, None, None, None)
