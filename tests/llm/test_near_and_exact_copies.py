@@ -195,3 +195,16 @@ def test_texts_stay_texts(spark):
     got = {r.doc_id: r for r in sd.without_repeats(df).collect()}
     assert sd.without_repeats(df).columns == df.columns
     assert got[2].text is None and got[3].text == "short" and got[0].text == "ab" and got[0].n_chars == 2
+
+
+def test_columns_of_the_caller_keep_their_names(spark):
+    from flowloom.llm import mixing
+
+    rows = [(i, f"some words of text number {i} here", "s", "en", "a", 1, 2.5, True) for i in range(20)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string, lang string, __id string, __size int, __copies double, kept boolean")
+    one = simhash.one_of_each(df.unionByName(df))
+    assert one.columns == df.columns and sorted(map(tuple, one.collect())) == sorted(rows)
+    mixed = mixing.emit(mixing.mix(df), df.columns)
+    assert mixed.columns == df.columns and {tuple(r) for r in mixed.collect()} <= set(rows)
+    windows = df.withColumns({"key": F.lit(1), "first": F.lit(2), "n_bytes": F.lit("x"), "__runs": F.lit(0)})
+    assert sd.without_repeats(windows).columns == windows.columns and sd.without_repeats(windows).count() == 20

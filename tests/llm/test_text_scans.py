@@ -195,3 +195,19 @@ def test_fertility_tokens_are_the_librarys(spark):
     for i, t in enumerate(texts):
         ids = [x for w in t.split() for x in sp.encode(w)]
         assert got[i].n_tokens == len(ids) and got[i].fallback_share == pytest.approx(sum(sp.is_byte(x) for x in ids) / len(ids))
+
+
+def test_language_sample_is_bounded_beside_a_hot_row(spark):
+    """100,000 copies of one text, and one text longer than a language may bring, are learned from as one text, and a part."""
+    from pyspark.sql import functions as F
+
+    hot = spark.range(100_000).select(F.col("id").alias("doc_id"), F.lit("the same text here ").alias("text"), F.lit("en").alias("lang"))
+    more = spark.createDataFrame([(200_000, "xy " * 100_000, "xx"), (200_001, "un texte ici", "fr"), (200_002, None, "fr"), (200_003, "no label", None), (200_004, "", "en")], "doc_id long, text string, lang string")
+    docs = hot.unionByName(more)
+    tree = li.learn(docs, max_bytes=1000, most_bytes=30_000)
+    assert tree.languages == ["en", "fr", "xx"]
+    assert tree.codes[0].shape[0] > 0 and tree.cost[0].shape[1] == 3
+    got = {r.doc_id: r.lang_pred for r in li.predict(more, tree).collect()}
+    assert got == {200_000: "xx", 200_001: "fr", 200_002: "und", 200_003: got[200_003], 200_004: "und"}
+    with pytest.raises(ValueError):
+        li.learn(docs, most_bytes=2048)
