@@ -3,15 +3,17 @@
 from __future__ import annotations
 
 import hashlib
+import itertools
 import math
-from collections import deque
-from collections.abc import Callable
+from collections import OrderedDict, deque
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType, _parse_datatype_string
 from pyspark.sql.window import Window
 
-from flowloom.operators.ordered import fold_sorted
 from flowloom.staging import staged
 
 #: Number and name of the tactic that each class belongs to.
@@ -108,67 +110,190 @@ def join_campaigns(alerts: DataFrame, history: int = 1000, rare: float = math.lo
     pivots_kept at most, refused ones too: not_merged names up to 3 campaigns that only these would have joined, and why not. A
     campaign's id is of the seed (else the id) of its first alert. Of more than `most` open ones, that least lately joined closes.
 
-    Each decision depends on the last, so the alerts (not flows) pass through one task, a batch at a time, with bounded state.
+    A null pivot names nothing and is left out; an alert without a time comes first and is near none.
+
+    Each decision depends on the last, so the alerts (not flows) pass through one task, a batch at a time, with bounded state. What
+    an alert costs does not grow with the open campaigns that share a pivot with it: sets of campaigns are bits of integers.
     """
     have = alerts.columns
-    rows = alerts.select(
-        "alert_id", "ts", "pivots", (F.col("refused") if "refused" in have else F.array().cast("array<string>")).alias("refused"), (F.col("refused_why") if "refused_why" in have else F.lit(None).cast("string")).alias("refused_why"), (F.col("seed") if "seed" in have else F.col("alert_id").cast("string")).alias("seed")
-    )
-
-    def make() -> Callable[..., tuple]:
-        recent: deque[list[str]] = deque()
-        df: dict[str, int] = {}
-        open_: dict[str, dict] = {}
-        having: dict[str, set[str]] = {}  # pivot: open campaigns with it
-        count = 0
-
-        def joins(shared: set[str], c: dict, ts: float) -> bool:
-            return any(not p.startswith("port:") for p in shared) and (len(shared) >= 2 or abs(ts - c["last"]) <= near)
-
-        def step(ts: float, pivots: list[str], refused: list[str], why: str | None, seed: str) -> tuple:
-            nonlocal count
-            pivots, held = list(dict.fromkeys(pivots)), set(refused)
-            usable = {p for p in pivots if math.log((len(recent) + history) / (df.get(p, 0) + 1)) >= rare}
-            best, on, notes = None, [], []
-            for c in sorted((open_[i] for i in set().union(*(having.get(p, ()) for p in usable))), key=lambda c: c["order"]):
-                shared = usable & c["pivots"]
-                if joins(shared - held, c, ts):
-                    if best is None or len(shared - held) > len(on):
-                        best, on = c, sorted(shared - held)
-                elif joins(shared, c, ts) and len(notes) < 3:
-                    notes.append(f"{c['id']}: not merged: {why or 'common infrastructure'}")
-            if best is None:
-                best = {"id": campaign_id(seed), "order": count, "pivots": set(), "last": ts}
-                best = open_.pop(best["id"], best)
-                count += 1
+    named = lambda c: F.array_distinct(F.filter(F.coalesce(F.col(c), F.array().cast("array<string>")), lambda p: p.isNotNull())).alias(c)
+    rows = alerts.select("alert_id", "ts", named("pivots"), *([named("refused")] if "refused" in have else []), *(c for c in ("refused_why", "seed") if c in have))
+    outputs = "campaign_id string, joined_on array<string>, not_merged array<string>"
+    schema = StructType([alerts.schema["alert_id"], *_parse_datatype_string(outputs).fields])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        step = _joiner(history, rare, near, most, pivots_kept)
+        for batch in batches:
+            at = {n: batch.column(i) for i, n in enumerate(batch.schema.names)}
+            whys, seeds = at.get("refused_why"), at.get("seed", at["alert_id"])
+            held = _lists(at["refused"]) if "refused" in at else itertools.repeat(())
+            ids, on, on_ends, notes, note_ends = [], [], [0], [], [0]
+            for i, (ts, pivots, refused) in enumerate(zip(at["ts"].to_pylist(), _lists(at["pivots"]), held)):
+                ids.append(step(ts, pivots, refused, whys, seeds, i, on, notes))
+                on_ends.append(len(on))
+                note_ends.append(len(notes))
+            made = [pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat, pa.string())) for flat, ends in ((on, on_ends), (notes, note_ends))]
+            yield pa.RecordBatch.from_arrays([at["alert_id"], pa.array(ids, pa.string()), *made], names=[f.name for f in schema.fields])
+
+    return rows.repartition(1).sortWithinPartitions("ts", "alert_id").mapInArrow(run, schema)
+
+
+def _lists(column: pa.ListArray) -> Iterator[list[str]]:
+    ends, flat = column.offsets.to_pylist(), column.values.to_numpy(zero_copy_only=False).tolist()
+    return (flat[a:b] for a, b in itertools.pairwise(ends))
+
+
+class _Pivot:
+    """held: bits of the open campaigns that keep it; df: recent alerts with it; alone: whether it may join by itself."""
+
+    __slots__ = ("alone", "df", "held", "name")
+
+    def __init__(self, name: str):
+        self.name, self.held, self.df, self.alone = name, 0, 0, not name.startswith("port:")
+
+
+class _Campaign:
+    __slots__ = ("bit", "id", "last", "pivots")
+
+    def __init__(self, id_: str):
+        self.id, self.bit, self.last, self.pivots = id_, 0, math.nan, []
+
+
+def _joiner(history: int, rare: float, near: float, most: int, pivots_kept: int) -> Callable[..., str]:
+    """The state machine of join_campaigns(): step(ts, pivots, refused, whys, seeds, i, on, notes) returns the i-th alert's campaign
+    and appends what it joined on and the notes. Alerts come in order of time, so campaigns cease to be near in order of last use."""
+    known: dict[str, _Pivot] = {}
+    recent: deque[list[_Pivot]] = deque()
+    open_: OrderedDict[str, _Campaign] = OrderedDict()  # the least lately joined first
+    fresh: OrderedDict[str, _Campaign] = OrderedDict()  # those of them that may be near, in that order
+    by_bit: list[_Campaign | None] = []  # the bits are in order of making
+    fresh_bits, since, common = 0, math.nan, -1  # since: no fresh one is older; common: the highest df that is rare
+
+    def bound() -> None:
+        nonlocal common
+        while common < history and math.log((len(recent) + history) / (common + 2)) >= rare:
+            common += 1
+
+    def renumber() -> None:
+        nonlocal fresh_bits
+        by_bit[:] = sorted(open_.values(), key=lambda c: c.bit)
+        for c in by_bit:
+            for p in c.pivots:
+                p.held = 0
+        for k, c in enumerate(by_bit):
+            c.bit = 1 << k
+            for p in c.pivots:
+                p.held |= c.bit
+        fresh_bits = sum(c.bit for c in fresh.values())
+
+    def shares(usable: list[_Pivot]) -> tuple[list[int], int]:
+        """Campaigns that hold one of them, two, and so on; and those that hold one that may join alone."""
+        levels, strong = [], 0
+        for p in usable:
+            more = p.held
+            if more:
+                if p.alone:
+                    strong |= more
+                for k, level in enumerate(levels):
+                    levels[k], more = level | more, level & more
+                    if not more:
+                        break
+                else:
+                    levels.append(more)
+        return levels, strong
+
+    def joining(levels: list[int], strong: int) -> int:
+        return strong & (levels[1] | fresh_bits) if len(levels) > 1 else strong & fresh_bits
+
+    def step(ts: float | None, pivots: list[str], refused: list[str], whys: pa.Array | None, seeds: pa.Array, i: int, on: list[str], notes: list[str]) -> str:
+        nonlocal fresh_bits, since
+        if ts is None:
+            ts = math.nan
+        if not ts - since <= near:
+            while fresh:
+                c = next(iter(fresh.values()))
+                if ts - c.last <= near:
+                    since = c.last
+                    break
+                del fresh[c.id]
+                fresh_bits ^= c.bit
+        mine, usable = [], []
+        for name in pivots:
+            p = known.get(name)
+            if p is None:
+                p = known[name] = _Pivot(name)
+            elif p.held and p.df <= common:
+                usable.append(p)
+            p.df += 1
+            mine.append(p)
+        every = usable
+        if refused:
+            usable = [p for p in every if p.name not in refused]
+        levels, strong = shares(usable)
+        if len(every) > len(usable):
+            noted = joining(*shares(every)) & ~joining(levels, strong)
+            for _ in range(3):
+                if noted:
+                    c = by_bit[(noted & -noted).bit_length() - 1]
+                    notes.append(f"{c.id}: not merged: {(whys[i].as_py() if whys is not None else None) or 'common infrastructure'}")
+                    noted &= noted - 1
+        found = strong & fresh_bits
+        for level in levels[:0:-1]:
+            if level & strong:
+                found = level & strong
+                break
+        if found:
+            bit = found & -found
+            best = by_bit[bit.bit_length() - 1]
+            names = [p.name for p in usable if p.held & bit]
+            on += sorted(names) if len(names) > 1 else names
+            open_.move_to_end(best.id)
+        else:
+            best = _Campaign(campaign_id(str(seeds[i].as_py())))
+            if best.id in open_:
+                best = open_[best.id]
+                open_.move_to_end(best.id)
             else:
-                del open_[best["id"]]
-            for p in pivots:
-                if len(best["pivots"]) < pivots_kept:
-                    best["pivots"].add(p)
-                    having.setdefault(p, set()).add(best["id"])
-            best["last"] = max(best["last"], ts)
-            open_[best["id"]] = best
-            if len(open_) > most:
-                gone = open_.pop(next(iter(open_)))
-                for p in gone["pivots"]:
-                    having[p].discard(gone["id"])
-                    if not having[p]:
-                        del having[p]
-            recent.append(pivots)
-            for p in pivots:
-                df[p] = df.get(p, 0) + 1
-            if len(recent) > history:
-                for p in recent.popleft():
-                    df[p] -= 1
-                    if not df[p]:
-                        del df[p]
-            return best["id"], on, notes
-
-        return step
-
-    got = fold_sorted(rows, [], ["ts", "alert_id"], ["ts", "pivots", "refused", "refused_why", "seed"], make, "campaign_id string, joined_on array<string>, not_merged array<string>")
-    return got.select("alert_id", "campaign_id", "joined_on", "not_merged")
+                if len(by_bit) >= 2 * most + 64:
+                    renumber()
+                best.bit = 1 << len(by_bit)
+                by_bit.append(best)
+                open_[best.id] = best
+            bit = best.bit
+        best.last = ts
+        if fresh_bits & bit:
+            fresh.move_to_end(best.id)
+        else:
+            if not fresh:
+                since = ts
+            fresh[best.id] = best
+            fresh_bits |= bit
+        if len(best.pivots) < pivots_kept:
+            for p in mine:
+                if not p.held & bit and len(best.pivots) < pivots_kept:
+                    p.held |= bit
+                    best.pivots.append(p)
+        if len(open_) > most:
+            _, gone = open_.popitem(last=False)
+            by_bit[gone.bit.bit_length() - 1] = None
+            if fresh.pop(gone.id, None):
+                fresh_bits ^= gone.bit
+            for p in gone.pivots:
+                p.held ^= gone.bit
+                if not p.held and not p.df:
+                    del known[p.name]
+        recent.append(mine)
+        if len(recent) > history:
+            for p in recent.popleft():
+                p.df -= 1
+                if not p.df and not p.held:
+                    del known[p.name]
+        else:
+            bound()
+        return best.id
+
+    bound()
+    return step
 
 
 def correlate(alerts: DataFrame, pivots: DataFrame) -> DataFrame:

@@ -194,6 +194,59 @@ def test_campaigns_equal_a_plain_loop(spark):
     assert got == want
 
 
+def test_campaigns_with_refusals_and_seeds_equal_a_plain_loop(spark):
+    r = random.Random(8)
+    rows, t = [], 0.0
+    for i in range(2500):
+        t += r.choice([0.0, 30.0, 400.0])
+        pivots = [f"{k}:{r.randint(0, n)}" for k, n in (("host", 60), ("dst", 40), ("port", 3), *[("name", 150)] * r.randint(0, 6))]
+        pivots[r.randint(0, len(pivots) - 1)] = None if r.random() < 0.05 else "name:x"
+        refused = [p for p in pivots if p and r.random() < 0.2]
+        rows.append((i, None if i < 3 else t, pivots if i % 50 else None, refused, r.choice([None, "why"]), f"seed {i if r.random() < 0.9 else r.randint(0, i)}"))
+    df = spark.createDataFrame(rows, "alert_id long, ts double, pivots array<string>, refused array<string>, refused_why string, seed string").repartition(5)
+    got = {g.alert_id: (g.campaign_id, g.joined_on, g.not_merged) for g in correlate.join_campaigns(df, history=200, most=40, pivots_kept=20).collect()}
+    made, past, order, want = [], [], 0, {}  # made: in order of last use
+    for i, ts, pivots, refused, why, seed in rows:
+        pivots, best, on, notes = list(dict.fromkeys(p for p in pivots or [] if p)), None, [], []
+        window = past[-200:]
+        rare = {p for p in pivots if math.log((len(window) + 200) / (sum(p in w for w in window) + 1)) >= math.log(10)}
+        fits = lambda s, c: any(not p.startswith("port:") for p in s) and (len(s) >= 2 or (ts is not None and c["t"] is not None and ts - c["t"] <= 900))  # noqa: B023, E731
+        for c in sorted(made, key=lambda c: c["no"]):
+            all_, free = rare & c["p"], (rare & c["p"]) - set(refused)
+            if fits(free, c):
+                if best is None or len(free) > len(on):
+                    best, on = c, sorted(free)
+            elif fits(all_, c) and len(notes) < 3:
+                notes.append(f"{c['id']}: not merged: {why or 'common infrastructure'}")
+        if best is None:
+            same = [c for c in made if c["id"] == correlate.campaign_id(seed)]
+            best, order = same[0] if same else {"id": correlate.campaign_id(seed), "p": set(), "no": order}, order + 1
+        for p in pivots:
+            best["p"] |= {p} if len(best["p"]) < 20 else set()
+        best["t"] = ts
+        made = [*[c for c in made if c is not best], best][-40:]
+        past.append(pivots)
+        want[i] = (best["id"], on, notes)
+    assert got == want and any(w[2] for w in got.values())
+
+
+def test_campaigns_cost_no_more_where_many_share_pivots(spark):
+    import time
+
+    r = random.Random(2)
+    opening = [(23 * m + b, 0.0, [f"name:{x},{(m * x + b) % 23}" for x in range(23)]) for m in range(22) for b in range(23)]  # lines: no two share two points
+    later = lambda wide: [(i, float(i), [f"name:{r.randrange(23 * wide)},{r.randrange(23)}" for _ in range(8)]) for i in range(506, 20_000)]
+
+    def took(rows):
+        df = spark.createDataFrame(rows, "alert_id long, ts double, pivots array<string>")
+        began = time.perf_counter()
+        assert correlate.join_campaigns(df, near=-1.0).count() == len(rows)
+        return time.perf_counter() - began
+
+    took(opening)
+    assert took(opening + later(1)) < 2 * took(opening + later(100_000)) + 1
+
+
 def test_sweep_counts_after_suppression(spark):
     r = random.Random(6)
     rows = [(i, r.choice("ab"), float(r.randint(0, 500)), r.randint(0, 9), r.choice([0, 1, None])) for i in range(200)]
