@@ -12,6 +12,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -26,6 +27,11 @@ PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"""
 MAGIC = b"TIDS\x02\0\0\0"
 CHUNK_IDS = BLOCK * LANES
 _HEAD = "<IIIIIQ"
+#: Texts are tokenised together up to so many bytes (one text may be longer): the more, the fewer lookups a word.
+GROUP_BYTES = 8 << 20
+#: ASCII signs, of which the pattern makes words that no letter is in, wherever no letter follows.
+_SIGNS = "".join(c for c in map(chr, range(33, 127)) if not c.isalnum())
+_PACKERS = [struct.Struct(f"<{n}H").pack for n in range(64)]
 #: Up to so many chunks (of about 8 million ids each), the table of their places is broadcast; beyond, the join shuffles.
 BROADCAST_CHUNKS = 100_000
 
@@ -87,10 +93,10 @@ class _Words(dict):
         self.size = 0
 
     def __missing__(self, word: bytes) -> bytes:
-        if word[-1] in b".,;:!?" and word[:-1].isalpha():  # a sign after ASCII letters is a word of the pattern for itself
-            out = self[word[:-1]] + self[word[-1:]]
-        elif word.isalpha() and word.islower():  # so are ASCII letters, and the library's model alone makes their ids
+        if word.isalpha() and word.islower():  # ASCII letters are a word of the pattern, and the library's model alone makes its ids
             out = self._pack([t.id for t in self.model.tokenize(word.decode())])
+        elif (base := word.rstrip(_SIGNS.encode())) != word and base.isalpha():  # signs after letters are one for themselves
+            out = self[base] + self[word[len(base) :]]
         else:
             out = self._other(word.decode())
         self[word] = out
@@ -100,33 +106,58 @@ class _Words(dict):
     def _other(self, text: str) -> bytes:
         """Latin text has one form of each letter, and small ones as in Python; its words under the pattern are kept each for itself.
         Anything else goes through the library as a whole."""
-        if max(text) >= "\u0250" or "<|" in text:
+        if max(text, default="") >= "\u0250" or "<|" in text:
             return self._pack(self.library.encode(text, add_special_tokens=False).ids)
         text = text.lower()
-        parts = self.pattern.findall(text)
-        if parts == [text]:
+        if (base := text.rstrip(_SIGNS)) != text and base.isalpha():
+            return self[base.encode()] + self[text[len(base) :].encode()]
+        if text.isalpha() or (parts := self.pattern.findall(text)) == [text]:
             return self._pack([t.id for t in self.model.tokenize(text.encode().decode("latin-1").translate(self.characters))])
         return b"".join([self[p.encode()] for p in parts])
 
     def _pack(self, ids: list[int]) -> bytes:
         if ids and max(ids) > 0xFFFF:
             self._wide()
-        return struct.pack(f"<{len(ids)}H", *ids)
+        return _PACKERS[len(ids)](*ids) if len(ids) < len(_PACKERS) else struct.pack(f"<{len(ids)}H", *ids)
 
     @staticmethod
     def _wide() -> bytes:
         raise ValueError("ids from 65536 on are not supported")
 
 
-def tokenise(text: bytes, vocabulary: str, most_bytes: int = 160 << 20) -> bytes:
-    """Packed ids (uint16) of a text under a vocabulary that drops white space and case: no normaliser or pattern of it looks
+def tokenise(texts: pa.StringArray, vocabulary: str, most_bytes: int = 128 << 20) -> list[bytes]:
+    """Packed ids (uint16) of each text under a vocabulary that drops white space and case: no normaliser or pattern of it looks
     across a space, so each word between spaces is encoded for itself, and remembered by the worker, in most_bytes and what one
-    text adds. ASCII letters are made small first (but where a special string may stand), so that fewer words differ."""
+    call adds. Words are looked up once a call. ASCII letters are made small first (but where a special string may stand), so that
+    fewer words differ."""
     words = worker_memo(("token files", vocabulary), lambda: _Words(vocabulary))
     if words.size > most_bytes:
         words.clear()
         words.size = 0
-    return b"".join(map(words.__getitem__, (text if b"<|" in text else text.lower()).split()))
+    texts = texts.fill_null("")
+    found = pc.ascii_split_whitespace(pc.if_else(pc.match_substring(texts, "<|"), texts, pc.ascii_lower(texts)))
+    coded = found.values.dictionary_encode()
+    distinct = coded.dictionary.cast(pa.large_binary()).to_numpy(zero_copy_only=False).tolist()
+    ids = pa.array(map(words.__getitem__, distinct), pa.large_binary(), size=len(distinct)).take(coded.indices)
+    _, ends, packed = ids.buffers()
+    if not len(ids):
+        return [b""] * len(texts)
+    at = np.frombuffer(ends, np.int64)[ids.offset + found.offsets.to_numpy()].tolist()
+    packed = memoryview(packed) if packed else b""
+    return [bytes(packed[a:b]) for a, b in zip(at, at[1:])]
+
+
+def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[list[pa.RecordBatch]]:
+    """Batches that follow each other, of GROUP_BYTES together, or one."""
+    group, size = [], 0
+    for batch in batches:
+        if group and size + batch.nbytes > GROUP_BYTES:
+            yield group
+            group, size = [], 0
+        group.append(batch)
+        size += batch.nbytes
+    if group:
+        yield group
 
 
 def write_token_files(docs: DataFrame, path: str, vocabulary: str, end_id: int = 2) -> None:
@@ -151,13 +182,12 @@ def write_token_files(docs: DataFrame, path: str, vocabulary: str, end_id: int =
             ids, doc_ids, counts, held, chunk = [], [], [], 0, chunk + 1
             return out
 
-        for batch in batches:
-            for d, text in zip(batch.column(0).to_pylist(), batch.column(1).cast(pa.binary()).to_pylist()):
-                packed = tokenise(text or b"", vocabulary) + end
-                n = len(packed) // 2
+        for group in _groups(batches):
+            for d, packed in zip(pa.concat_arrays([b.column(0) for b in group]).to_pylist(), tokenise(pa.concat_arrays([b.column(1) for b in group]), vocabulary)):
+                n = len(packed) // 2 + 1
                 if held and held + n > CHUNK_IDS:
                     yield flush()
-                ids.append(packed)
+                ids += (packed, end)
                 doc_ids.append(d)
                 counts.append(n)
                 held += n

@@ -4,6 +4,7 @@ import zlib
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -156,6 +157,25 @@ def test_token_files_equal_the_library(spark, tmp_path):
     assert tf.read_token_files(spark, empty).count() == 0
 
 
+def test_words_are_looked_up_once_a_call(monkeypatch):
+    class Words(tf._Words):
+        asked = 0
+
+        def __getitem__(self, word):
+            Words.asked += 1
+            return super().__getitem__(word)
+
+    monkeypatch.setattr(tf, "worker_memo", lambda key, make, kept={}: kept.setdefault(key, Words(WORD)))  # noqa: B006
+    tok, r = Tokenizer.from_file(WORD), random.Random(3)
+    odd = ["it's", "l'été", "don't'", "abc$$$", "Été!?", "éa\u00b7b,", "a<|b", "<|EndOfText|>", "x<|endoftext|>.", "İİ,", "ﬁn", "日本,", "e\u0301.", "1,5%", "--", "ab--cd;", "\x1cq", "a\x85b", "a\u00a0b", "µª"]
+    texts_ = [None, "", " \t\r\n\x0b\x0c", *odd, *(c.join(r.choices(odd + ["The", "the", "THE;"], k=300)) for c in (" ", "\n ", "\t", "\x0b", "\x0c") for _ in range(20))]
+    want = [tok.encode(t or "", add_special_tokens=False).ids for t in texts_]
+    assert [np.frombuffer(p, "<u2").tolist() for p in tf.tokenise(pa.array(texts_), WORD)] == want
+    assert Words.asked < 300 and sum(len((t or "").split()) for t in texts_) > 30_000
+    assert [np.frombuffer(p, "<u2").tolist() for p in tf.tokenise(pa.array(texts_).slice(10, 50), WORD)] == want[10:60]
+    assert tf.tokenise(pa.array([None, " "], pa.string()), WORD) == [b"", b""] and tf.tokenise(pa.array([], pa.string()), WORD) == []
+
+
 def test_op8_digests(spark):
     tok, at = Tokenizer.from_file(WORD), 0
     got = {g.doc_id: g for g in QUERIES["op8_token_files"](spark, SF).collect()}
