@@ -243,6 +243,15 @@ def _sizes(n: int, block: int) -> np.ndarray:
     return np.minimum(block, n - np.arange(0, n, block))
 
 
+def _turned(a: np.ndarray, side: int = 64) -> np.ndarray:
+    """a.T, copied in squares that stay in the cache."""
+    out = np.empty(a.shape[::-1], a.dtype)
+    for i in range(0, a.shape[0], side):
+        for j in range(0, a.shape[1], side):
+            out[j : j + side, i : i + side] = a[i : i + side, j : j + side].T
+    return out
+
+
 def encode_ids(ids: np.ndarray, block: int = BLOCK, prior: Prior | None = None) -> list[bytes]:
     """Blocks of ids (each under 65536, and with a share in the prior), in order; each is `block` ids long but the last."""
     if len(ids) and int(ids.max()) > 0xFFFF:
@@ -255,7 +264,7 @@ def encode_ids(ids: np.ndarray, block: int = BLOCK, prior: Prior | None = None)
         width = int(sizes[0])
         full = np.zeros(len(sizes) * width, np.uint16)
         full[: len(part)] = part
-        out += _encode(np.ascontiguousarray(full.reshape(len(sizes), width).T), sizes, prior)
+        out += _encode(_turned(full.reshape(len(sizes), width)), sizes, prior)
     return out
 
 
@@ -265,5 +274,5 @@ def decode_ids(blocks: list[bytes], n: int, block: int = BLOCK, prior: Prior | N
     sizes, out = _sizes(n, block), []
     for a in range(0, len(blocks), LANES):
         part = sizes[a : a + LANES]
-        out.append(np.ascontiguousarray(_decode(blocks[a : a + LANES], part, prior).T).ravel()[: int(part.sum())])
+        out.append(_turned(_decode(blocks[a : a + LANES], part, prior)).ravel()[: int(part.sum())])
     return np.concatenate(out) if out else np.zeros(0, np.uint16)

@@ -116,13 +116,20 @@ class _Words(dict):
         return b"".join([self[p.encode()] for p in parts])
 
     def _pack(self, ids: list[int]) -> bytes:
-        if ids and max(ids) > 0xFFFF:
-            self._wide()
-        return _PACKERS[len(ids)](*ids) if len(ids) < len(_PACKERS) else struct.pack(f"<{len(ids)}H", *ids)
-
-    @staticmethod
-    def _wide() -> bytes:
-        raise ValueError("ids from 65536 on are not supported")
+        try:
+            return _PACKERS[len(ids)](*ids) if len(ids) < len(_PACKERS) else struct.pack(f"<{len(ids)}H", *ids)
+        except struct.error:
+            raise ValueError("ids from 65536 on are not supported") from None
+
+    def bound(self, most_bytes: int, last: list[bytes], ids: list[bytes]) -> None:
+        """Beyond most_bytes, keep only the words of the last call, which the frequent ones are among; or none, if they are too many."""
+        if self.size > most_bytes:
+            self.clear()
+            self.size = sum(map(len, last)) + sum(map(len, ids)) + 160 * len(last)
+            if self.size > most_bytes:
+                self.size = 0
+            else:
+                self.update(zip(last, ids))
 
 
 def tokenise(texts: pa.StringArray, vocabulary: str, most_bytes: int = 128 << 20) -> list[bytes]:
@@ -131,14 +138,13 @@ def tokenise(texts: pa.StringArray, vocabulary: str, most_bytes: int = 128 << 20
     call adds. Words are looked up once a call. ASCII letters are made small first (but where a special string may stand), so that
     fewer words differ."""
     words = worker_memo(("token files", vocabulary), lambda: _Words(vocabulary))
-    if words.size > most_bytes:
-        words.clear()
-        words.size = 0
     texts = texts.fill_null("")
     found = pc.ascii_split_whitespace(pc.if_else(pc.match_substring(texts, "<|"), texts, pc.ascii_lower(texts)))
     coded = found.values.dictionary_encode()
     distinct = coded.dictionary.cast(pa.large_binary()).to_numpy(zero_copy_only=False).tolist()
-    ids = pa.array(map(words.__getitem__, distinct), pa.large_binary(), size=len(distinct)).take(coded.indices)
+    known = list(map(words.__getitem__, distinct))
+    words.bound(most_bytes, distinct, known)
+    ids = pa.array(known, pa.large_binary()).take(coded.indices)
     _, ends, packed = ids.buffers()
     if not len(ids):
         return [b""] * len(texts)

@@ -173,6 +173,12 @@ def test_words_are_looked_up_once_a_call(monkeypatch):
     assert [np.frombuffer(p, "<u2").tolist() for p in tf.tokenise(pa.array(texts_), WORD)] == want
     assert Words.asked < 300 and sum(len((t or "").split()) for t in texts_) > 30_000
     assert [np.frombuffer(p, "<u2").tolist() for p in tf.tokenise(pa.array(texts_).slice(10, 50), WORD)] == want[10:60]
+    one = [b"".join(tf.tokenise(pa.array(["an apple"]), WORD, most)) for most in (1 << 20, 500, 0)]
+    words = tf.worker_memo(("token files", WORD), None)
+    assert one[0] == one[1] == one[2] and (len(words), words.size) == (0, 0)
+    tf.tokenise(pa.array(["some more words"]), WORD)
+    tf.tokenise(pa.array(["an apple"]), WORD, 500)
+    assert set(words) == {b"an", b"apple"} and 0 < words.size <= 500
     assert tf.tokenise(pa.array([None, " "], pa.string()), WORD) == [b"", b""] and tf.tokenise(pa.array([], pa.string()), WORD) == []
 
 
